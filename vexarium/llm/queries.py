@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexarium.llm import exactdedup
+from vexarium.llm import decontam, exactdedup, neardup
 from vexarium.llm.common import table
 
 
@@ -14,9 +14,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {f.__name__: f for f in (op2_decontaminate, op8_exact_dedup, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exactdedup.ORACLE}
+    return {"op2_decontaminate": decontam.ORACLE, "op8_exact_dedup": exactdedup.ORACLE}
