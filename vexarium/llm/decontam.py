@@ -145,7 +145,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **params: float) -> DataFrame:
     """The rows of `docs`, all columns, of documents that no benchmark item contaminates; rows with null ids or texts stay."""
     bad = materialise(contaminated(docs, benchmark, id_col, **params).select(F.col("doc_id").alias("_bad")).distinct(), "bench-bad")
-    return docs.join(maybe_broadcast(bad, 16), docs[id_col].cast("bigint") == F.col("_bad"), "left_anti")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("_bad"))
+    return keyed.join(maybe_broadcast(bad, 16), "_bad", "left_anti").select("row.*")
 
 
 ORACLE = f"""

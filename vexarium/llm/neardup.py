@@ -192,4 +192,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **params: int) -> DataFrame:
     """The rows of `docs`, all columns, without the near copies that near_groups finds; rows that were not grouped stay."""
     gone = materialise(near_groups(docs, id_col, **params).select(F.col("doc_id").alias("_gone")), "near-gone")
-    return docs.join(maybe_broadcast(gone, 16), docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("_gone"))
+    return keyed.join(maybe_broadcast(gone, 16), "_gone", "left_anti").select("row.*")

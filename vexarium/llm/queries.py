@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexarium.llm import decontam, exactdedup, neardup
+from vexarium.llm import decontam, exactdedup, mixing, neardup, toxicity
 from vexarium.llm.common import table
 
 
@@ -18,12 +18,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op8_exact_dedup, op9_near_dedup)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_toxicity, op6_mixing, op8_exact_dedup, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
