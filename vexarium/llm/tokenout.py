@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from vexarium.llm.common import Memo
 from vexarium.llm.exactdedup import golomb_decode, golomb_encode
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BLOCK, LANES = 8192, 1024
-SYMBOLS, TOP, MID, LOW = 8192, 32, 16, 16  # order-0 counts in three levels; SYMBOLS = TOP * MID * LOW >= BLOCK
+BLOCK, LANES = 4096, 2048
+SYMBOLS, WIDE = 4096, 16  # order-0 counts in three levels of 16; a block has at most SYMBOLS different ids
 INC, STEP, LIMIT = 2, 32, 1024
 MASK = np.int64((1 << 48) - 1)
 
@@ -50,8 +51,12 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.plain = Memo(lambda s: np.array(self.encoding.encode_ordinary(s), np.uint16).tobytes())
-        self.spaced = Memo(lambda s: np.array(self.encoding.encode_ordinary(" " + s), np.uint16).tobytes())
+        whole, single = self.encoding.encode_ordinary, self.encoding._core_bpe.encode_single_piece
+
+        def spaced(s: str) -> bytes:  # a space and letters are one piece, which needs no splitting
+            return array("H", single(b" " + s.encode()) if s.isalpha() else whole(" " + s)).tobytes()
+
+        self.plain, self.spaced = Memo(lambda s: array("H", whole(s)).tobytes()), Memo(spaced, 500_000)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -63,58 +68,68 @@ class Tokenizer:
         return np.frombuffer(head + b"".join(map(self.spaced.__getitem__, rest)), np.uint16)
 
 
-_TRI = {n: np.tril(np.ones((n, n), np.int64), -1) for n in (TOP, LOW)}
-_INIT = np.array([[STEP * (s >> 3 > 0), STEP * ((s >> 1) & 3 > 0 and not s & 1), STEP] for s in range(32)], np.int64)
+_TRI = np.tril(np.ones((WIDE, WIDE), np.int32), -1)
+_INIT = np.array([[STEP * (s >> 3 > 0), STEP * ((s >> 1) & 3 > 0 and not s & 1), STEP] for s in range(32)], np.int32)
+_NEXT = np.array([min(b + 1, 3) for b in range(4)] + [max(b - 1, 1) for b in range(4)], np.int32)
 
 
 class _Model:
-    """The adaptive state of n lanes, the same for coding and decoding."""
+    """The adaptive state of n lanes, the same for coding and decoding. A prediction is packed as id * 4 + confidence."""
 
     def __init__(self, sizes: np.ndarray):
         n = len(sizes)
-        self.low = (np.arange(SYMBOLS)[None, :] < sizes[:, None]).astype(np.int64)
-        self.mid = self.low.reshape(n, TOP * MID, LOW).sum(2)
-        self.top = self.mid.reshape(n, TOP, MID).sum(2)
+        self.low = (np.arange(SYMBOLS)[None, :] < sizes[:, None]).astype(np.int16)
+        self.mid = self.low.reshape(n, WIDE * WIDE, WIDE).sum(2, dtype=np.int16)
+        self.top = self.mid.reshape(n, WIDE, WIDE).sum(2, dtype=np.int16)
         self.low, self.mid = self.low.reshape(-1), self.mid.reshape(-1)
-        self.total = sizes.astype(np.int64)
-        self.p1, self.f1 = np.zeros(n * SYMBOLS, np.int16), np.zeros(n * SYMBOLS, np.int8)
-        self.p2, self.f2 = np.zeros(n * SYMBOLS, np.int16), np.zeros(n * SYMBOLS, np.int8)
+        self.total = sizes.astype(np.int32)
+        self.one, self.two = np.zeros(n * SYMBOLS, np.int16), np.zeros(n * SYMBOLS, np.int16)
         self.weights = np.tile(_INIT, (n, 1))
         self.c1, self.c2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.lane = np.arange(n, dtype=np.int64)
 
     def predict(self, n: int) -> None:
-        base = self.lane[:n] * SYMBOLS
-        self.i1 = base + self.c1[:n]
-        self.i2 = base + (((self.c1[:n] * 40503 + self.c2[:n] * 2654435761) >> 7) & (SYMBOLS - 1))
-        self.a1, self.b1 = self.p1[self.i1].astype(np.int64), self.f1[self.i1].astype(np.int64)
-        self.a2, self.b2 = self.p2[self.i2].astype(np.int64), self.f2[self.i2].astype(np.int64)
-        self.has1, self.has2 = self.b1 > 0, self.b2 > 0
+        base, c1 = self.lane[:n] * SYMBOLS, self.c1[:n]
+        self.i1 = base + c1
+        self.i2 = base + (((c1 * 40503 + self.c2[:n] * 2654435761) >> 7) & (SYMBOLS - 1))
+        self.v1, self.v2 = self.one.take(self.i1).astype(np.int32), self.two.take(self.i2).astype(np.int32)
+        self.a1, self.a2, b1, b2 = self.v1 >> 2, self.v2 >> 2, self.v1 & 3, self.v2 & 3
+        self.has1, self.has2 = b1 > 0, b2 > 0
         same = self.has1 & self.has2 & (self.a1 == self.a2)
         self.has1 &= ~same
-        self.state = self.lane[:n] * 32 + self.b2 * 8 + self.b1 * 2 + same
-        self.w = self.weights[self.state]
-        self.sum = self.w.sum(1)
+        self.state = self.lane[:n] * 32 + (b2 * 8 + b1 * 2 + same)
+        self.w = self.weights.take(self.state, axis=0)
+        self.w01 = self.w[:, 0] + self.w[:, 1]
+        self.sum = self.w01 + self.w[:, 2]
 
     def update(self, n: int, x: np.ndarray, event: np.ndarray) -> None:
-        self.w[self.lane[:n], event] += STEP
+        lane = self.lane[:n]
+        self.w.reshape(-1)[lane * 3 + event] += STEP
         big = np.flatnonzero(self.sum > LIMIT - STEP)
         if len(big):
             self.w[big] = (self.w[big] + 1) >> 1
         self.weights[self.state] = self.w
-        for p, f, i, a, b in ((self.p1, self.f1, self.i1, self.a1, self.b1), (self.p2, self.f2, self.i2, self.a2, self.b2)):
+        x4 = x << 2
+        for table, i, v, a in ((self.one, self.i1, self.v1, self.a1), (self.two, self.i2, self.v2, self.a2)):
+            b = v & 3
             hit = (a == x) & (b > 0)
-            new = np.where(hit, np.minimum(b + 1, 3), np.maximum(b - 1, 1))
-            p[i] = np.where(hit | (b > 1), a, x)
-            f[i] = new
-        lane = self.lane[:n]
+            table[i] = np.where(hit | (b > 1), v & ~3, x4) | _NEXT.take(b + 4 * ~hit)
         self.low[lane * SYMBOLS + x] += INC
-        self.mid[lane * (TOP * MID) + (x >> 4)] += INC
-        self.top[lane, x >> 8] += INC
+        self.mid[lane * (WIDE * WIDE) + (x >> 4)] += INC
+        self.top.reshape(-1)[lane * WIDE + (x >> 8)] += INC
         self.total[:n] += INC
         self.c2[:n] = self.c1[:n]
         self.c1[:n] = x
 
+    def excluded(self, j: np.ndarray | slice, base: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids that orders 1 and 2 predicted, and their order-0 counts, which are left out of order 0."""
+        return [(a[j], np.where(has[j], self.low.take(base + a[j]), 0).astype(np.int32)) for a, has in ((self.a2, self.has2), (self.a1, self.has1))]
+
+
+def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b; exact in doubles because a is below 2 ** 48."""
+    return (a / b).astype(np.int64)
+
 
 def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block's ids (at most BLOCK of them) as bytes: the block's alphabet, Golomb coded, then the range coder's words."""
@@ -137,32 +152,34 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     low, rng = np.zeros(n, np.int64), np.full(n, MASK, np.int64)
     out, pos = np.zeros((n, 2 * steps + 4), np.uint16), np.zeros(n, np.int64)
     active = np.searchsorted(-lens, -np.arange(steps), side="left")  # lanes longer than t
+    low_rows, mid_rows = m.low.reshape(-1, WIDE), m.mid.reshape(-1, WIDE)
     for t in range(steps):
         k = int(active[t])
         m.predict(k)
-        s = x[t, :k].astype(np.int64)
-        event = np.where(m.has2 & (s == m.a2), 0, np.where(m.has1 & (s == m.a1), 1, 2))
-        r = rng[:k] // m.sum
+        s = x[t, :k].astype(np.int32)
+        two = m.has2 & (s == m.a2)
+        one = m.has1 & (s == m.a1) & ~two
+        miss = ~(one | two)
+        event = one + 2 * miss
         lo, ra = low[:k], rng[:k]
-        w0 = m.w[:, 0]
-        lo += r * np.where(event == 0, 0, np.where(event == 1, w0, w0 + m.w[:, 1]))
-        ra[:] = r * m.w[m.lane[:k], event]
-        j = np.flatnonzero(event == 2)
+        r = _divide(ra, m.sum)
+        lo += r * np.where(two, 0, np.where(one, m.w[:, 0], m.w01))
+        ra[:] = r * m.w.reshape(-1).take(m.lane[:k] * 3 + event)
+        j = np.flatnonzero(miss)
         if len(j):
             y = s[j]
             hi, mi = y >> 8, y >> 4
-            row = j * (TOP * MID)
-            cum = np.einsum("ij,ij->i", m.top[j], _TRI[TOP][hi])
-            cum += np.einsum("ij,ij->i", m.mid.reshape(-1, MID)[j * TOP + hi], _TRI[LOW][mi & 15])
-            cum += np.einsum("ij,ij->i", m.low.reshape(-1, LOW)[row + mi], _TRI[LOW][y & 15])
-            total = m.total[j].copy()
-            for a, has in ((m.a2[j], m.has2[j]), (m.a1[j], m.has1[j])):
-                gone = np.where(has, m.low[j * SYMBOLS + a], 0)
+            base = j * SYMBOLS
+            cum = np.einsum("ij,ij->i", m.top.take(j, axis=0), _TRI.take(hi, axis=0))
+            cum += np.einsum("ij,ij->i", mid_rows.take(j * WIDE + hi, axis=0), _TRI.take(mi & 15, axis=0))
+            cum += np.einsum("ij,ij->i", low_rows.take(j * (WIDE * WIDE) + mi, axis=0), _TRI.take(y & 15, axis=0))
+            total = m.total[j]
+            for a, gone in m.excluded(j, base):
                 total -= gone
-                cum -= np.where(a < y, gone, 0)
-            r = ra[j] // np.maximum(total, 1)
+                cum -= gone * (a < y)
+            r = _divide(ra[j], np.maximum(total, 1))
             lo[j] += r * cum
-            ra[j] = r * m.low[j * SYMBOLS + y]
+            ra[j] = r * m.low.take(base + y)
         m.update(k, s, event)
         over = np.flatnonzero(lo > MASK)
         if len(over):
@@ -210,39 +227,36 @@ def decode_lanes(payloads: list[bytes]) -> list[np.ndarray]:
         k = int(active[t])
         m.predict(k)
         re_, ra = rel[:k], rng[:k]
-        r = ra // m.sum
-        v = np.minimum(re_ // r, m.sum - 1)
-        w0, w01 = m.w[:, 0], m.w[:, 0] + m.w[:, 1]
-        event = np.where(v < w0, 0, np.where(v < w01, 1, 2))
-        re_ -= r * np.where(event == 0, 0, np.where(event == 1, w0, w01))
+        r = _divide(ra, m.sum)
+        v = np.minimum(_divide(re_, r), m.sum - 1)
+        event = np.where(v < m.w[:, 0], 0, np.where(v < m.w01, 1, 2))
+        re_ -= r * np.where(event == 0, 0, np.where(event == 1, m.w[:, 0], m.w01))
         ra[:] = r * m.w[m.lane[:k], event]
         s = np.where(event == 0, m.a2, m.a1)
         j = np.flatnonzero(event == 2)
         if len(j):
-            total, undo = m.total[j].copy(), []
-            for a, has in ((m.a2[j], m.has2[j]), (m.a1[j], m.has1[j])):
-                gone = np.where(has, m.low[j * SYMBOLS + a], 0)
+            total, base = m.total[j], j * SYMBOLS
+            undo = m.excluded(j, base)
+            for a, gone in undo:
                 total -= gone
-                undo.append((a, gone))
-                m.low[j * SYMBOLS + a] -= gone
-                m.mid[j * (TOP * MID) + (a >> 4)] -= gone
-                m.top[j, a >> 8] -= gone
-            r = ra[j] // np.maximum(total, 1)
-            v = np.minimum(re_[j] // r, total - 1)
-            rest, at, base = v.copy(), np.zeros(len(j), np.int64), j
-            for table, width in ((m.top, TOP), (m.mid.reshape(-1, MID), MID), (m.low.reshape(-1, LOW), LOW)):
-                sums = np.cumsum(table[base * 1 if width == TOP and table is m.top else base], axis=1)
+                m.low[base + a] -= gone.astype(np.int16)
+                m.mid[j * (WIDE * WIDE) + (a >> 4)] -= gone.astype(np.int16)
+                m.top[j, a >> 8] -= gone.astype(np.int16)
+            r = _divide(ra[j], np.maximum(total, 1))
+            v = np.minimum(_divide(re_[j], r), total - 1)
+            rest, at, row = v.copy(), np.zeros(len(j), np.int64), j
+            for table in (m.top, m.mid.reshape(-1, WIDE), m.low.reshape(-1, WIDE)):
+                sums = np.cumsum(table[row], axis=1, dtype=np.int64)
                 c = (sums <= rest[:, None]).sum(1)
                 rest -= np.where(c > 0, sums[np.arange(len(j)), np.maximum(c - 1, 0)], 0)
-                at = at * width + c
-                base = base * width + c
-            f = m.low[j * SYMBOLS + at]
+                at, row = at * WIDE + c, row * WIDE + c
+            f = m.low[base + at]
             re_[j] -= r * (v - rest)
             ra[j] = r * f
             for a, gone in undo:
-                m.low[j * SYMBOLS + a] += gone
-                m.mid[j * (TOP * MID) + (a >> 4)] += gone
-                m.top[j, a >> 8] += gone
+                m.low[base + a] += gone.astype(np.int16)
+                m.mid[j * (WIDE * WIDE) + (a >> 4)] += gone.astype(np.int16)
+                m.top[j, a >> 8] += gone.astype(np.int16)
             s[j] = at
         out[t, :k] = s
         m.update(k, s, event)
