@@ -1,0 +1,102 @@
+"""Every operator on nulls, empty and very long texts, repeated rows, empty tables and extra columns with clashing names."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from vexarium.llm import decontam, exactdedup, htmltext, lmscore, mixing, neardup, pii, secretscan, tokenout, toxicity
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, h string, key string, sig string, row string, size string, _len string, item_id string, host string, path string, ids string"
+LONG = " ".join(f"w{i % 977} x{i % 31}" for i in range(60_000))
+TEXTS = [(None, "a b c d e f g h"), (1, None), (2, ""), (3, " \t\n"), (4, LONG), (5, "same text here now"), (5, "same text here now"), (6, "same text here now"), (7, "ünïcode ßtraße 漢字 🙂 text"), (8, "...!!!"), (9, LONG)]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, None, None if i == 7 else "s", None, "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11") for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, TEXTS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+def pages_of(df):
+    return df.withColumnsRenamed({"doc_id": "page_id", "text": "html", "source": "url"})
+
+
+def bench(spark):
+    return spark.createDataFrame([(1, "same text here now"), (2, None), (None, "w1 x1 w2 x2"), (3, ""), (4, "漢字 🙂"), (5, "one")], "item_id bigint, text string")
+
+
+def model(spark):
+    return toxicity.OrdinalModel({b"same": 4.0}, toxicity.np.array([1.0, 2.0, 3.0]))
+
+
+OPERATORS = {
+    "pii": lambda s, d: pii.personal_data(d),
+    "redact": lambda s, d: pii.redact(d),
+    "decontam": lambda s, d: decontam.contaminated(d, bench(s)),
+    "decontaminate": lambda s, d: decontam.decontaminate(d, bench(s)),
+    "toxicity": lambda s, d: toxicity.severity(d, model(s)),
+    "drop_toxic": lambda s, d: toxicity.drop_toxic(d, model(s)),
+    "secrets": lambda s, d: secretscan.scan_versions(d),
+    "tokens": lambda s, d: tokenout.token_blocks(d, lanes=8),
+    "mixing": lambda s, d: mixing.selection(d),
+    "mixture": lambda s, d: mixing.mixture(d),
+    "html": lambda s, d: htmltext.extract(pages_of(d)),
+    "exact": lambda s, d: exactdedup.exact_duplicates(d),
+    "near": lambda s, d: neardup.near_groups(d),
+    "keep_one": lambda s, d: neardup.keep_one(d),
+    "lm": lambda s, d: lmscore.lm_scores(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, none, name):
+    assert OPERATORS[name](spark, none).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows(spark, docs, name):
+    rows = OPERATORS[name](spark, docs).collect()
+    ids = sorted((r["doc_id"] if "doc_id" in r else -1) for r in rows if "doc_id" in r and r["doc_id"] is not None)
+    n = len(TEXTS)
+    if name in ("redact", "toxicity", "lm"):
+        assert len(rows) == n
+    elif name == "drop_toxic":
+        assert ids == [1, 2, 3, 4, 7, 8, 9]
+    elif name == "exact":
+        assert {(r["doc_id"], r["keep_id"], r["n_copies"]) for r in rows} == {(4, 4, 2), (9, 4, 2), (5, 5, 3), (6, 5, 3)} and ids == [4, 5, 5, 6, 9]
+    elif name == "near":
+        assert {(r["doc_id"], r["keep_id"]) for r in rows} == {(9, 4), (6, 5)}
+    elif name == "keep_one":
+        assert ids == [1, 2, 3, 4, 5, 5, 7, 8] and len(rows) == n - 2
+    elif name == "decontam":
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == {(5, 1), (6, 1), (7, 4)}
+    elif name == "decontaminate":
+        assert ids == [1, 2, 3, 4, 8, 9] and len(rows) == 7
+    elif name in ("pii", "secrets"):
+        assert rows == []
+    elif name == "html":
+        assert len(rows) == n
+        assert {r["page_id"]: (r["kept"], r["n_tokens"]) for r in rows}[1] == (0, 0)
+    elif name == "tokens":
+        seen = [d for r in rows for d in r["doc_ids"]]
+        assert set(seen) == {None, 1, 2, 3, 4, 5, 6, 7, 8, 9} and seen.count(5) == 2
+    elif name == "mixing":
+        assert set(rows[0].asDict()) == set(SCHEMA.replace(",", "").split()[::2])
+
+
+def test_null_labels(spark, docs):
+    labels = spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.drop_toxic(docs, toxicity.train(docs, labels)).count() == len(TEXTS)
+
+
+def test_empty_benchmark(spark, docs):
+    empty = bench(spark).filter(F.lit(False))
+    assert decontam.contaminated(docs, empty).count() == 0
+    assert decontam.decontaminate(docs, empty).count() == len(TEXTS)

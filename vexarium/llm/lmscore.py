@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vexarium.llm.common import materialise, words
 
 CLASS, CLASSES, DIM, CONTEXT = 64, 64, 16, 2  # a vocabulary of CLASS * CLASSES ids: 0 is any other word, 1 the start of a text
-NOISE, BATCH, RATE, ROUNDS, SEED = 16, 32768, 0.05, 1, 11
+NOISE, BATCH, LEARN, RATE, ROUNDS, SEED = 16, 32768, 8192, 0.05, 1, 11
 UNKNOWN, START = 0, 1
 
 
@@ -95,8 +95,8 @@ class LogBilinear:
         logk = np.log(NOISE)
         clog, wlog = (np.log(cuni) + logk).astype(np.float32), (np.log(within).ravel() + logk).astype(np.float32)
         squares = [np.full(x.shape, 1e-6, np.float32) for x in (self.vec, self.bias, self.cvec, self.cbias, self.pos)]
-        for k in range(0, len(at), BATCH):
-            part = at[k : k + BATCH]
+        for k in range(0, len(at), LEARN):
+            part = at[k : k + LEARN]
             part = part[np.argsort((flow[part] // CLASS).astype(np.int16), kind="stable")]
             target = flow[part]
             cls = target // CLASS
@@ -218,14 +218,17 @@ def encode(docs: DataFrame, model: LogBilinear, id_col: str = "doc_id", text_col
 
 def train(encoded: DataFrame, model: LogBilinear, rounds: int = ROUNDS) -> LogBilinear:
     """The model after `rounds` rounds of training on all of `encoded`; without any words, as it was."""
-    for _ in range(rounds):
+    from pyspark import TaskContext
+
+    for number in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(model)
 
         def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m, rng, seen = shared.value.copy(), np.random.default_rng(SEED), 0
+            # Noise and order differ by task and round, the same when a task is repeated; later rounds take smaller steps.
+            m, rng, seen = shared.value.copy(), np.random.default_rng([SEED, number, TaskContext.get().partitionId()]), 0
             for pdf in batches:
                 flow, at, _ = _encoded(pdf["ids"])
-                m.learn(flow, rng.permutation(at), rng)
+                m.learn(flow, rng.permutation(at), rng, RATE / (1 + number))
                 seen += len(at)
             if seen:
                 rows = np.vstack([np.hstack([m.vec, m.bias[:, None]]), np.hstack([m.cvec, m.cbias[:, None]]), np.hstack([m.pos, np.zeros((CONTEXT, 1), np.float32)])])

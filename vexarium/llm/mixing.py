@@ -28,31 +28,45 @@ def token_length(text) -> F.Column:
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, at most `counts`, so that the total is at most and nearly always exactly `budget`."""
+    """How many documents of each length to take, at most `counts`: their total is the largest sum of lengths up to `budget`.
+
+    The knapsack is given a rest of a few longest documents. If it doesn't fill that exactly, as with few documents, the rest grows until
+    it does, or until the knapsack has the whole budget."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    take = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if budget >= total:
+    if budget >= int((lengths * counts).sum()):
         return counts.copy()
     if budget <= 0 or not len(lengths):
-        return take
-    longest = int(lengths.max())
-    # Proportional floor below the budget, leaving one to three longest documents' worth to the knapsack.
-    share = max(0.0, (budget - 2 * longest) / total)
+        return np.zeros(len(lengths), np.int64)
+    goal = budget - budget % max(1, int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)])))
+    slack = 2
+    while True:
+        take, whole = _fit(lengths, counts, budget, slack)
+        if whole or int((lengths * take).sum()) == goal:
+            return take
+        slack *= 4
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int) -> tuple[np.ndarray, bool]:
+    """The counts, and whether the knapsack had all of the budget."""
+    total, longest = int((lengths * counts).sum()), int(lengths.max())
+    # Proportional floor below the budget, leaving `slack` longest documents' worth, and one more, to the knapsack.
+    share = max(0.0, (budget - slack * longest) / total)
     take = np.floor(counts * share).astype(np.int64)
     rest = budget - int((lengths * take).sum())
-    # Floors lose up to one document a length: give those back in order of lost share while enough rest remains.
-    for i in np.lexsort((lengths, -(counts * share - take))):
-        if rest <= 3 * longest:
-            break
-        if take[i] < counts[i] and lengths[i] <= rest - longest:
-            take[i] += 1
-            rest -= int(lengths[i])
-    if rest > 3 * longest:
-        for i in np.argsort(-lengths, kind="stable"):
-            n = min(int(counts[i] - take[i]), max(0, (rest - longest) // max(1, int(lengths[i]))))
-            take[i] += n
-            rest -= n * int(lengths[i])
+    if share > 0:
+        # Floors lose up to one document a length: give those back in order of lost share while enough rest remains.
+        for i in np.lexsort((lengths, -(counts * share - take))):
+            if rest <= (slack + 1) * longest:
+                break
+            if take[i] < counts[i] and lengths[i] <= rest - slack * longest:
+                take[i] += 1
+                rest -= int(lengths[i])
+        if rest > (slack + 1) * longest:
+            for i in np.argsort(-lengths, kind="stable"):
+                n = min(int(counts[i] - take[i]), max(0, (rest - slack * longest) // max(1, int(lengths[i]))))
+                take[i] += n
+                rest -= n * int(lengths[i])
+    whole = not take.any()
     # Bounded knapsack: multiplicities in binary parts, one bit set of reachable sums after each part.
     items = []
     for i in np.flatnonzero((counts > take) & (lengths > 0) & (lengths <= rest)):
@@ -76,7 +90,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         if not before >> at & 1:
             take[i] += n
             at -= n * int(lengths[i])
-    return take
+    return take, whole
 
 
 def plan(hist: DataFrame, weights: dict[str, float] | None, budget: int | None) -> DataFrame:
