@@ -31,13 +31,14 @@ def published(x: Column | str, as_of: Column) -> Column:
 
 _MON = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _LONG = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_MM, _DD = "(?:1[0-2]|0[1-9])", r"(?:3[01]|0[1-9]|[12]\d)"
 _DAY = r"(?:[12]\d|3[01]|[1-9])"
 #: Raw dates inside text, tried in this order.
 RAW_DATES = [
     r"^\d{8}$",
     r"^\d{1,2}-\d{1,2}-\d{4}$",
-    r"[12]\d{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])",
-    r"(?:0?[1-9]|1[012])[-/.](?:0?[1-9]|[12][0-9]|3[01])[-/.](?:19|20)\d\d",
+    rf"[12]\d{{3}}-{_MM}-{_DD}",
+    rf"(?:{_MM}|[1-9])[-/.](?:{_DD}|[1-9])[-/.](?:20|19)\d{{2}}",
     r"^\d{4}/\d{1,2}/\d{1,2}$",
     rf"{_DAY}\s{_MON}\s[12]\d{{3}}",
     rf"{_DAY}\s{_LONG}\s[12]\d{{3}}",

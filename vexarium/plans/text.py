@@ -56,7 +56,7 @@ def parser_routing(d: Domain) -> DataFrame:
     return d.page.select("page_id", pages.parser_name("url").alias("parser"))
 
 
-_DATES = [r"[12]\d{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"]
+_DATES = [r"[12]\d{3}-(?:1[0-2]|0[1-9])-(?:3[01]|0[1-9]|[12]\d)"]
 _NEAR = "substring(t, strpos(lower(t), 'published'), 40)"
 
 
