@@ -187,6 +187,8 @@ def test_mixture_meets_quotas(spark):
 
 # ---------------------------------------------------------------- token blocks
 
+TOKENS = tokenout.Tokenizer()
+
 
 def test_lanes_round_trip():
     rng = np.random.default_rng(1)
@@ -196,6 +198,12 @@ def test_lanes_round_trip():
     assert len(payloads[2]) < 60 and all(len(tokenout.encode_lanes([b])[0]) == len(p) for b, p in zip(blocks, payloads))
 
 
+@given(st.text(alphabet=" \n\tabAB.,;!'s19é漢🙂\u00a0-", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_tokenizer_agrees_with_the_library(text):
+    assert TOKENS.encode(text).tolist() == TOKENS.encoding.encode_ordinary(text)
+
+
 def test_token_blocks_round_trip_and_damage(spark):
     texts = [prose(RNG.randint(0, 400)) + RNG.choice(["", "\n\n ", "  é漢🙂 1,234.5 it's"]) for _ in range(60)] + [None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)

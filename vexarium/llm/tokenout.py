@@ -29,7 +29,7 @@ from vexarium.llm.common import Memo
 from vexarium.llm.exactdedup import golomb_decode, golomb_encode
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 4096, 4096
 SYMBOLS, WIDE = 4096, 16  # order-0 counts in three levels of 16; a block has at most SYMBOLS different ids
 INC, STEP, LIMIT = 2, 32, 1024
 MASK = np.int64((1 << 48) - 1)
@@ -53,8 +53,15 @@ class Tokenizer:
             raise ValueError("ids must fit 16 bits")
         whole, single = self.encoding.encode_ordinary, self.encoding._core_bpe.encode_single_piece
 
-        def spaced(s: str) -> bytes:  # a space and letters are one piece, which needs no splitting
-            return array("H", single(b" " + s.encode()) if s.isalpha() else whole(" " + s)).tobytes()
+        marks = {m: array("H", whole(m)).tobytes() for m in ".,;:!?"}
+        self.line = array("H", whole("\n")).tobytes()
+
+        def spaced(s: str) -> bytes:  # a space and letters are one piece, which needs no splitting; a mark after them is another
+            if s.isalpha():
+                return array("H", single(b" " + s.encode())).tobytes()
+            if s[-1:] in marks and s[:-1].isalpha():
+                return self.spaced[s[:-1]] + marks[s[-1]]
+            return array("H", whole(" " + s)).tobytes()
 
         self.plain, self.spaced = Memo(lambda s: array("H", whole(s)).tobytes()), Memo(spaced, 500_000)
 
@@ -63,9 +70,16 @@ class Tokenizer:
             return np.zeros(0, np.uint16)
         if _TWO.search(text):
             return np.frombuffer(b"".join(map(self.plain.__getitem__, _CHUNKS.findall(text))), np.uint16)
-        first, *rest = text.split(" ")
-        head = self.plain[first] if first else b""
-        return np.frombuffer(head + b"".join(map(self.spaced.__getitem__, rest)), np.uint16)
+        # White space stands alone here: a space joins the word after it, a line feed is a piece by itself.
+        parts: list[bytes] = []
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            if k:
+                parts.append(self.line)
+            if first:
+                parts.append(self.plain[first])
+            parts.extend(map(self.spaced.__getitem__, rest))
+        return np.frombuffer(b"".join(parts), np.uint16)
 
 
 _TRI = np.tril(np.ones((WIDE, WIDE), np.int32), -1)
@@ -105,7 +119,7 @@ class _Model:
     def update(self, n: int, x: np.ndarray, event: np.ndarray) -> None:
         lane = self.lane[:n]
         self.w.reshape(-1)[lane * 3 + event] += STEP
-        big = np.flatnonzero(self.sum > LIMIT - STEP)
+        big = (self.sum > LIMIT - STEP).nonzero()[0]
         if len(big):
             self.w[big] = (self.w[big] + 1) >> 1
         self.weights[self.state] = self.w
@@ -165,7 +179,7 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         r = _divide(ra, m.sum)
         lo += r * np.where(two, 0, np.where(one, m.w[:, 0], m.w01))
         ra[:] = r * m.w.reshape(-1).take(m.lane[:k] * 3 + event)
-        j = np.flatnonzero(miss)
+        j = miss.nonzero()[0]
         if len(j):
             y = s[j]
             hi, mi = y >> 8, y >> 4
@@ -181,7 +195,7 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
             lo[j] += r * cum
             ra[j] = r * m.low.take(base + y)
         m.update(k, s, event)
-        over = np.flatnonzero(lo > MASK)
+        over = (lo > MASK).nonzero()[0]
         if len(over):
             lo[over] &= MASK
             at = pos[over] - 1
@@ -190,7 +204,7 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
                 more = out[over, at] == 0
                 over, at = over[more], at[more] - 1
         for _ in range(2):
-            j = np.flatnonzero(ra < 1 << 32)
+            j = (ra < 1 << 32).nonzero()[0]
             if not len(j):
                 break
             v = lo[j]
@@ -261,7 +275,7 @@ def decode_lanes(payloads: list[bytes]) -> list[np.ndarray]:
         out[t, :k] = s
         m.update(k, s, event)
         for _ in range(2):
-            j = np.flatnonzero(ra < 1 << 32)
+            j = (ra < 1 << 32).nonzero()[0]
             if not len(j):
                 break
             re_[j] = (re_[j] << 16) | words[j, pos[j]]
