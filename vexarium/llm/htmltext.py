@@ -5,22 +5,25 @@ whole (by prefix doubling, up to RUN tokens) puts equal substrings next to each
 two distinct pages hold is boilerplate; all tokens it covers are removed and the runs between are kept.
 
 A repeated substring of RUN tokens or more is the union of its windows of RUN tokens, so it is enough to rank suffixes by their first
-RUN tokens. Hosts of more than HOST_TOKENS tokens use that: their suffixes are spread over tasks by a hash of those first RUN tokens, each task
-groups its share, and the covered positions go back to the pages. Both ways cover the same tokens, and no host is too large.
+RUN tokens. Hosts of more than HOST_TOKENS tokens use that: the hashes of their suffixes' first RUN tokens are spread over tasks, each
+task groups its share, and a bit for each goes back to the pages. Both ways cover the same tokens, and no host is too large.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexarium.llm.common import Memo, materialise, maybe_broadcast, word_hash
+from vexarium.llm.common import BROADCAST_BYTES, Memo, materialise, maybe_broadcast, word_hash
+from vexarium.llm.exactdedup import golomb_decode, golomb_encode
 
 RUN = 12
 HOST_TOKENS = 1_500_000
@@ -112,6 +115,38 @@ def _keep(text: str, gone: np.ndarray) -> tuple[str, int, int]:
     return "\n".join(" ".join(w[r[0] : r[-1] + 1]) for r in runs), len(stay), len(w)
 
 
+def _pack(texts: list[str]) -> bytes:
+    """Pages as one compressed blob; tokens hold no white space, so a line feed parts pages."""
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(texts).encode("utf-8", "replace"))
+
+
+def _unpack(blob: bytes) -> list[str]:
+    return zstandard.ZstdDecompressor().decompress(blob).decode("utf-8").split("\n")
+
+
+def _windows(texts: list[str], run: int, memo: Memo) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each page's window hashes, the distinct ones of all the pages in order, and which of those two of the pages hold."""
+    each = [window_hashes(_hashes(t, memo), run) for t in texts]
+    h = np.concatenate(each)
+    owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    order = np.argsort(h, kind="stable")
+    distinct, starts = np.unique(h[order], return_index=True)
+    if not len(distinct):
+        return each, distinct, np.zeros(0, bool)
+    o = owner[order]
+    return each, distinct, np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)
+
+
+def _match(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each list of a bucket: which of its hashes another list holds too, or two pages behind one list."""
+    lists = [golomb_decode(d, n, k) for d, n, k in zip(pdf["data"], pdf["n"], pdf["k"])]
+    twice = [np.unpackbits(np.frombuffer(m, np.uint8))[:n].astype(bool) for m, n in zip(pdf["twice"], pdf["n"])]
+    every = np.sort(np.concatenate(lists))
+    hot = np.union1d(np.concatenate([x[m] for x, m in zip(lists, twice)]), every[1:][every[1:] == every[:-1]])
+    marks = [np.packbits(np.isin(x, hot)).tobytes() for x in lists]
+    return pd.DataFrame({"host": pdf["host"], "chunk": pdf["chunk"], "bucket": pdf["bucket"], "n": pdf["n"], "marks": marks})
+
+
 def extract(pages: DataFrame, run: int = RUN, host_tokens: int = HOST_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, text, kept, n_tokens): each page's words outside its host's boilerplate, runs separated by line feeds.
 
@@ -121,79 +156,73 @@ def extract(pages: DataFrame, run: int = RUN, host_tokens: int = HOST_TOKENS, id
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words_ = [page_tokens(x) for x in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "host": pdf["host"], "tokens": [" ".join(w) for w in words_], "n": [len(w) for w in words_]})
+            rows = []
+            for host_, part in pdf.groupby("host", sort=False):
+                words_ = [page_tokens(x) for x in part["html"]]
+                ids = [None if i is pd.NA else int(i) for i in part["page_id"].astype("Int64")]
+                rows.append((host_, uuid.uuid4().hex, ids, sum(map(len, words_)), _pack([" ".join(w) for w in words_])))
+            yield pd.DataFrame(rows, columns=["host", "chunk", "ids", "n", "pages"])
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    parsed = materialise(base.mapInPandas(parse, "page_id bigint, host string, tokens string, n int").withColumn("row", F.expr("uuid()")), "html-tokens")
-    size = materialise(parsed.groupBy("host").agg(F.sum("n").alias("tokens")), "html-hosts")
-    large = size.filter(F.col("tokens") > host_tokens).select("host")
+    parsed = materialise(base.mapInPandas(parse, "host string, chunk string, ids array<bigint>, n bigint, pages binary"), "html-tokens")
+    large = materialise(parsed.groupBy("host").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > host_tokens).select("host"), "html-hosts")
     few = maybe_broadcast(large, 64)
+    out = "page_id bigint, host string, text string, kept int, n_tokens int"
+    columns = ["page_id", "host", "text", "kept", "n_tokens"]
 
     def by_host(pdf: pd.DataFrame) -> pd.DataFrame:
         memo = _memo()
-        gone = covered([_hashes(t, memo).view(np.int64) & 0x7FFFFFFFFFFFFFFF for t in pdf["tokens"]], run) if len(pdf) else []
-        rows = [(i, h, *_keep(t, g)) for i, h, t, g in zip(pdf["page_id"].astype("Int64"), pdf["host"], pdf["tokens"], gone)]
-        return pd.DataFrame(rows, columns=["page_id", "host", "text", "kept", "n_tokens"]).astype({"page_id": "Int64"})
+        ids = [None if i is None or i != i else int(i) for x in pdf["ids"] for i in x]
+        texts = [t for x in pdf["pages"] for t in _unpack(x)]
+        gone = covered([_hashes(t, memo).view(np.int64) & 0x7FFFFFFFFFFFFFFF for t in texts], run)
+        rows = [(i, pdf["host"].iloc[0], *_keep(t, g)) for i, t, g in zip(ids, texts, gone)]
+        return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
 
-    out = "page_id bigint, host string, text string, kept int, n_tokens int"
     small = parsed.join(few, "host", "left_anti").groupBy("host").applyInPandas(by_host, out)
     if large.isEmpty():
         return small
-    # Large hosts: suffixes by the hash of their first `run` tokens. A batch of pages sends each bucket one packed record.
+    # Large hosts: each chunk of pages sends the distinct hashes of its suffixes' first `run` tokens, sorted and Golomb coded, to the
+    # owners of their ranges, and gets a bit for each back. Neither texts nor positions move.
     big = parsed.join(few, "host", "left_semi")
     buckets = max(2, 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = (1 << 63) // buckets + 1
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _memo()
         for pdf in batches:
-            for host_, part in pdf.groupby("host"):
-                hs, owner, pos = [], [], []
-                rows = list(part["row"])
-                for k, t in enumerate(part["tokens"]):
-                    h = window_hashes(_hashes(t, memo), run)
-                    hs.append(h)
-                    owner.append(np.full(len(h), k, np.int32))
-                    pos.append(np.arange(len(h), dtype=np.int32))
-                h, own, at = np.concatenate(hs), np.concatenate(owner), np.concatenate(pos)
-                bucket = (h % buckets).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                h, own, at, bucket = h[order], own[order], at[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, b in zip(cuts, np.append(cuts[1:], len(h))):
-                    yield pd.DataFrame({"host": [host_], "bucket": [int(bucket[a])], "rows": [rows], "h": [h[a:b].tobytes()], "own": [own[a:b].tobytes()], "at": [at[a:b].tobytes()]})
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.concatenate([np.array(list(r), object) for r in pdf["rows"]])
-        base_ = np.cumsum([0, *[len(r) for r in pdf["rows"]]])[:-1]
-        h = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["h"]])
-        own = np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(pdf["own"], base_)])
-        at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
-        order = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.diff(h[order], prepend=-1))
-        o = own[order]
-        low, high = np.minimum.reduceat(o, starts), np.maximum.reduceat(o, starts)
-        hit = order[np.repeat(low != high, np.diff(np.append(starts, len(order))))]
-        hit = hit[np.lexsort((at[hit], own[hit]))]
-        cuts = np.flatnonzero(np.diff(own[hit], prepend=-1))
-        rows = [(names[own[hit[a]]], at[hit[a:b]].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(hit)))]
-        return pd.DataFrame(rows, columns=["row", "at"])
-
-    hits = big.select("host", "row", "tokens").mapInPandas(send, "host string, bucket int, rows array<string>, h binary, own binary, at binary")
-    hits = hits.groupBy("host", "bucket").applyInPandas(match, "row string, at binary").groupBy("row").agg(F.collect_list("at").alias("ats"))
+            for host_, chunk, blob in zip(pdf["host"], pdf["chunk"], pdf["pages"]):
+                _, h, two = _windows(_unpack(blob), run, memo)
+                edges = np.append(np.searchsorted(h, np.array([b * width for b in range(buckets)], np.int64)), len(h))
+                rows = []
+                for b in np.flatnonzero(np.diff(edges)):
+                    x, y = edges[b], edges[b + 1]
+                    data, k = golomb_encode((h[x:y] - int(b) * width).astype(np.uint64))
+                    rows.append((host_, chunk, int(b), int(y - x), k, data, np.packbits(two[x:y]).tobytes()))
+                yield pd.DataFrame(rows, columns=["host", "chunk", "bucket", "n", "k", "data", "twice"])
+
+    lists = big.select("host", "chunk", "pages").mapInPandas(send, "host string, chunk string, bucket int, n int, k int, data binary, twice binary")
+    marks = lists.groupBy("host", "bucket").applyInPandas(_match, "host string, chunk string, bucket int, n int, marks binary")
+    answers = materialise(marks.groupBy("host", "chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "marks"))).alias("marks")), "html-marks")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _memo()
         for pdf in batches:
             rows = []
-            for i, h, t, n, ats in zip(pdf["page_id"].astype("Int64"), pdf["host"], pdf["tokens"], pdf["n"], pdf["ats"]):
-                marks = np.zeros(n + 1, np.int64)
-                if ats is not None:
-                    p = np.concatenate([np.frombuffer(a, np.int32) for a in ats])
-                    np.add.at(marks, p, 1)
-                    np.add.at(marks, p + run, -1)
-                rows.append((i, h, *_keep(t, np.cumsum(marks[:n]) > 0)))
-            yield pd.DataFrame(rows, columns=["page_id", "host", "text", "kept", "n_tokens"]).astype({"page_id": "Int64"})
-
-    joined = big.join(hits, "row", "left").select("page_id", "host", "tokens", "n", "ats")
+            for host_, ids, blob, answer in zip(pdf["host"], pdf["ids"], pdf["pages"], pdf["marks"]):
+                texts = _unpack(blob)
+                each, distinct, _ = _windows(texts, run, memo)
+                bits = [np.unpackbits(np.frombuffer(m["marks"], np.uint8))[: m["n"]] for m in (answer if answer is not None else [])]
+                hot = np.concatenate([np.zeros(0, np.uint8), *bits])
+                for i, t, h in zip(ids, texts, each):
+                    n = t.count(" ") + 1 if t else 0
+                    step = np.zeros(n + run, np.int64)
+                    at = np.flatnonzero(hot[np.searchsorted(distinct, h)])
+                    np.add.at(step, at, 1)
+                    np.add.at(step, at + run, -1)
+                    rows.append((None if i is None or i != i else int(i), host_, *_keep(t, np.cumsum(step[:n]) > 0)))
+            yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
+
+    answered = answers.agg(F.coalesce(F.sum(F.expr("aggregate(marks, 0L, (a, m) -> a + length(m.marks) + 40)")), F.lit(0))).first()[0]
+    joined = big.join(F.broadcast(answers) if answered <= BROADCAST_BYTES else answers, ["host", "chunk"], "left").select("host", "ids", "pages", "marks")
     return small.unionByName(joined.mapInPandas(finish, out))
