@@ -45,7 +45,7 @@ RAW_DATES = [
     *[rf"^{d}(?:\s\d{{1,2}}:\d{{2}}(?::\d{{2}})?)?$" for d in (r"\d{1,2}-\d{1,2}-\d{4}", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{1,2}\s[a-z]{3,}\s\d{4}")],
     r"^\d{12}(?:\d{2})?$",
     r"^\d{8}\s\d{4}(?:\d{2})?$",
-    r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*?\s+\d{1,2}(?:[a-z]{2})?(?:\s+|,\s*)\d{4}\b",
+    rf"(?i){_MON}[a-z]*?\s+\d{{1,2}}(?:[a-z]{{2}})?(?:,\s*|\s+)\d{{4}}\b",
     rf"\b{_LONG}\s\d{{4}}",
 ]
 

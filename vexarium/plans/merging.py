@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexarium.operators import catalog, reconcile, reports
 from vexarium.plans.bindings import AS_OF, Domain
 from vexarium.plans.registry import query
 
-_NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def _now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
 _LONGEST = "length(raw_description) DESC, created_date, raw_description_id"
 
 
@@ -75,7 +79,7 @@ _UPSERT = f"SELECT cve_id, coalesce(f.status, o.status) AS status, CASE WHEN f.s
 
 def _upserted(d: Domain) -> DataFrame:
     fresh = d.raw.filter("n % 2 = 0").select("cve_id", F.expr("CASE WHEN n % 3 = 0 THEN 'Analyzed' ELSE 'Received' END").alias("status")).distinct()
-    return reconcile.upsert(d.nvd, fresh, _NOW)
+    return reconcile.upsert(d.nvd, fresh, _now())
 
 
 @query("upsert_nvd", _UPSERT)
@@ -106,7 +110,7 @@ def pointer_switch(d: Domain) -> DataFrame:
 @query("version_write_bridge", "SELECT cve_id, count(*) AS sources FROM d_raw WHERE source_type <> 'user' GROUP BY cve_id")
 def version_write_bridge(d: Domain) -> DataFrame:
     used = d.raw.filter("source_type <> 'user'")
-    out = reconcile.version_write(used, reconcile.merge_fold(d.raw), d.vulnerability, _NOW)
+    out = reconcile.version_write(used, reconcile.merge_fold(d.raw), d.vulnerability, _now())
     return out["raw_description_jt"].join(out["description"].select("description_id", "cve_id"), "description_id").groupBy("cve_id").agg(F.count("*").alias("sources"))
 
 

@@ -9,8 +9,27 @@ from vexarium.operators import pages
 from vexarium.plans.bindings import Domain
 from vexarium.plans.registry import query
 
-for _name in ("table", "list", "accordion", "description"):
-    query(f"html_{_name}")(lambda d, s=_name: pages.by_strategy(d.page, s))
+#: What a page of each kind ends with, around the page's own id; the supplied pages have no such parts.
+_TAILS = {
+    "table": "<table><thead><tr><th>CVE</th><th>Text</th></tr></thead><tbody><tr><td>{0}</td><td>A flaw allows attack. Published 2021-03-04</td></tr><tr><td>none</td></tr></tbody></table>",
+    "list": "<ul><li><b>{0}</b><p>A flaw allows attack. Updated 2021-04-05</p></li></ul><dl><dt>{0}9</dt><dd>fix</dd><dt>other</dt><dd>x</dd></dl>",
+    "accordion": "<div class='accordion'><div>{0} allows attack</div><div>{0}8 and {0}9 were fixed</div></div>",
+    "bulletin": "",
+    "description": "<p>{0}1, {0}2 let anyone execute code on the host, which nobody who runs it would want to see happen at all</p>",
+}
+
+
+def _with_tail(d: Domain, kind: str) -> DataFrame:
+    before, *rest = _TAILS[kind].split("{0}")
+    own = F.concat(F.lit("CVE-2020-"), F.lpad(F.col("page_id").cast("string"), 7, "0"))
+    pieces = [F.lit(before)]
+    for r in rest:
+        pieces += [own, F.lit(r)]
+    return d.page.select("page_id", "url", F.concat("html", *pieces).alias("html"))
+
+
+for _name in _TAILS:
+    query(f"html_{_name}")(lambda d, s=_name: pages.by_strategy(_with_tail(d, s), s))
 
 
 @query("html_generic")
