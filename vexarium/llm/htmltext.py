@@ -117,7 +117,7 @@ def _keep(text: str, gone: np.ndarray) -> tuple[str, int, int]:
 
 def _pack(texts: list[str]) -> bytes:
     """Pages as one compressed blob; tokens hold no white space, so a line feed parts pages."""
-    return zstandard.ZstdCompressor(level=3).compress("\n".join(texts).encode("utf-8", "replace"))
+    return zstandard.ZstdCompressor(level=9).compress("\n".join(texts).encode("utf-8", "replace"))
 
 
 def _unpack(blob: bytes) -> list[str]:
