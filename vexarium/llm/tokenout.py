@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,12 @@ class Tokenizer:
         return np.frombuffer(b"".join(parts), np.uint16)
 
 
+@cache
+def _tokenizer(path: str) -> Tokenizer:
+    """One for each worker process, so its memo serves all the tasks that the worker runs."""
+    return Tokenizer(path)
+
+
 _TRI = np.tril(np.ones((WIDE, WIDE), np.int32), -1)
 _INIT = np.array([[STEP * (s >> 3 > 0), STEP * ((s >> 1) & 3 > 0 and not s & 1), STEP] for s in range(32)], np.int32)
 _NEXT = np.array([min(b + 1, 3) for b in range(4)] + [max(b - 1, 1) for b in range(4)], np.int32)
@@ -329,7 +336,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok, shard, first = Tokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        tok, shard, first = _tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         ids, streams, size = [], [], 0
         for pdf in batches:
             for i, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
