@@ -332,6 +332,27 @@ def test_log_bilinear_is_normalised_and_learns(spark):
     assert len(out) == 400 and (out["n_tokens"] == 200).all() and (out["log_prob"] < 0).all()
 
 
+def test_words_without_an_id_are_spelled(spark):
+    rng = random.Random(4)
+    rare = lambda: "".join(rng.choice(["ba", "ke", "lo", "mi"]) for _ in range(8))
+    rows = [(i, " ".join(rng.choice(WORDS) if k % 2 else rare() for k in range(200))) for i in range(100)]
+    rows += [(1000, " ".join(rare() for _ in range(50))), (1001, " ".join("".join(rng.choice("qxzvwj9") for _ in range(16)) for _ in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    m = lmscore.start(docs.select("text"))
+    p = np.exp(m.spell.reshape(lmscore.CODES, lmscore.CODES, lmscore.CODES).astype(float))
+    p[:, 0, 0] = 0
+    assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
+    one, two = m.spelled([[b"bakelo"]])[0], m.spelled([[b"mi"]])[0]
+    assert np.allclose(m.spelled([[], [b"bakelo", b"mi"], [b"mi"]]), [0, one + two, two])
+    out = lmscore.lm_scores(docs).toPandas().set_index("doc_id")
+    assert out["unknown"].sum() > 5000 and out["perplexity"][1001] > 100 * out["perplexity"][1000]
+    assert out["perplexity"][1001] > out["perplexity"].drop([1000, 1001]).max()
+
+
+def test_the_vocabulary_grows_with_the_words():
+    assert [lmscore.side(n) for n in (10, 280_729, 899_189, 10**9)] == [64, 66, 97, 1000]
+
+
 # ---------------------------------------------------------------- pipeline
 
 

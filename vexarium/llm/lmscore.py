@@ -2,9 +2,13 @@
 
 Every word has a vector r and a bias b, every context position j a vector c_j that scales its word's own. A context h predicts the
 vector q = sum over j of c_j * r(h_j), and a word scores q . r(w) + b(w). The vocabulary is factored: its words, by falling frequency, form
-classes of CLASS words, and log P(w | h) = log P(class | h) + log P(w | class, h), both log-bilinear and both normalised exactly, by
+as many classes as each has words, and log P(w | h) = log P(class | h) + log P(w | class, h), both log-bilinear and both normalised exactly, by
 products of the matrix of a batch's contexts with the matrix of the classes, and with that of the words of each class.
 
+The vocabulary grows with the corpus: D distinct words give D ** (2/3) ids, CLASS * CLASSES at least. Every other word is UNKNOWN followed by
+its spelling, log P(w | h) = log P(UNKNOWN | h) + log P(letters of w), where the letters follow an interpolated trigram model of bytes that
+is counted over all words without an id.
+
 Word counts cover the whole corpus. Training covers every position of it: each task runs noise-contrastive estimation (a
 binary choice between the true word and noise drawn from the unigram distribution, normaliser fixed at one) over its own texts from
 the same start, and the parameters of all tasks are averaged, each weighted by the positions it saw. A further round starts from there.
@@ -14,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -24,14 +28,21 @@ from pyspark.sql import functions as F
 
 from vexarium.llm.common import materialise, words
 
-CLASS, CLASSES, DIM, CONTEXT = 64, 64, 16, 2  # a vocabulary of CLASS * CLASSES ids: 0 is any other word, 1 the start of a text
+CLASS, CLASSES, DIM, CONTEXT = 64, 64, 16, 2  # the least number of words of a class, and of classes; id 0 is any word that is spelled out, 1 the start of a text
 NOISE, BATCH, LEARN, RATE, ROUNDS, SEED = 16, 32768, 8192, 0.05, 1, 11
 UNKNOWN, START = 0, 1
+SMOOTH = 4.0  # the weight of the next shorter context of a letter
+# Codes of the bytes that words() leaves, 0 for the end of a word.
+_LETTERS = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum() and not 65 <= c <= 90)
+_CODE = np.zeros(256, np.int32)
+_CODE[list(_LETTERS)] = np.arange(1, len(_LETTERS) + 1)
+CODES = len(_LETTERS) + 1
 
 
 @dataclass
 class LogBilinear:
-    """`words` holds the ids' words; `vec` and `bias` have a row for each id, `cvec` and `cbias` for each class, `pos` for each position."""
+    """`words` holds the ids' words; `vec` and `bias` have a row for each id, `cvec` and `cbias` for each class, `pos` for each position.
+    `spell` is the log-probability of a letter after two others, by their codes."""
 
     index: dict[bytes, int]
     unigram: np.ndarray
@@ -40,17 +51,34 @@ class LogBilinear:
     cvec: np.ndarray
     cbias: np.ndarray
     pos: np.ndarray
+    spell: np.ndarray | None = None
 
     @property
     def size(self) -> int:
         return len(self.bias)
 
+    @property
+    def width(self) -> int:
+        """Words of a class."""
+        return self.size // len(self.cbias)
+
     def ids(self, text: str | None) -> np.ndarray:
         w = words(text)
-        return np.fromiter(map(self.index.get, w, repeat(UNKNOWN)), np.int16, len(w))
+        return np.fromiter(map(self.index.get, w, repeat(UNKNOWN)), np.int32, len(w))
+
+    def spelled(self, texts: list[list[bytes]]) -> np.ndarray:
+        """For each list of words, the sum of their log-probabilities letter by letter."""
+        out = np.zeros(len(texts))
+        at = [i for i, w in enumerate(texts) if w]
+        if at:
+            parts = [b"  ".join(texts[i]) for i in at]
+            cells = _trigrams(b"  ".join(parts))
+            starts = np.cumsum([0, *(len(x) + 2 for x in parts[:-1])])
+            out[at] = np.add.reduceat(self.spell[cells].astype(np.float64), starts)
+        return out
 
     def copy(self) -> LogBilinear:
-        return LogBilinear(self.index, self.unigram, self.vec.copy(), self.bias.copy(), self.cvec.copy(), self.cbias.copy(), self.pos.copy())
+        return LogBilinear(self.index, self.unigram, self.vec.copy(), self.bias.copy(), self.cvec.copy(), self.cbias.copy(), self.pos.copy(), self.spell)
 
     def context(self, flow: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The predicted vectors at the positions `at` of a flow."""
@@ -65,19 +93,19 @@ class LogBilinear:
         for k in range(0, len(at), BATCH):
             part = at[k : k + BATCH]
             target = flow[part]
-            order = np.argsort((target // CLASS).astype(np.int16), kind="stable")
+            order = np.argsort((target // self.width).astype(np.int16), kind="stable")
             target, q = target[order], self.context(flow, part[order])
-            cls = target // CLASS
+            cls = target // self.width
             s = q @ self.cvec.T
             s += self.cbias
             got = s[np.arange(len(s)), cls]
             np.exp(s, out=s)
             lp = got - np.log(s.sum(axis=1))
-            edges = np.searchsorted(cls, np.arange(self.size // CLASS + 1))
+            edges = np.searchsorted(cls, np.arange(len(self.cbias) + 1))
             for c in np.unique(cls):
-                a, b, lo = edges[c], edges[c + 1], c * CLASS
-                s = q[a:b] @ self.vec[lo : lo + CLASS].T
-                s += self.bias[lo : lo + CLASS]
+                a, b, lo = edges[c], edges[c + 1], c * self.width
+                s = q[a:b] @ self.vec[lo : lo + self.width].T
+                s += self.bias[lo : lo + self.width]
                 got = s[np.arange(b - a), target[a:b] - lo]
                 np.exp(s, out=s)
                 lp[a:b] += got - np.log(s.sum(axis=1))
@@ -88,18 +116,20 @@ class LogBilinear:
         """One pass of minibatch NCE over the positions `at` of a flow, in place, with AdaGrad steps.
 
         A batch shares its noise: NOISE classes, and NOISE words of each class for the positions whose word is of that class."""
-        n_classes = len(self.cbias)
-        cuni = self.unigram.reshape(-1, CLASS).sum(axis=1)
-        within = self.unigram.reshape(-1, CLASS) / cuni[:, None]
-        ccdf, wcdf = np.cumsum(cuni), np.cumsum(within, axis=1)
+        n_classes, width = len(self.cbias), self.width
+        cuni = self.unigram.reshape(-1, width).sum(axis=1)
+        within = self.unigram.reshape(-1, width) / cuni[:, None]
+        ccdf, wcdf = np.cumsum(cuni), np.cumsum(self.unigram)
+        low = np.concatenate([[0.0], wcdf[width - 1 : -1 : width]])
         logk = np.log(NOISE)
         clog, wlog = (np.log(cuni) + logk).astype(np.float32), (np.log(within).ravel() + logk).astype(np.float32)
         squares = [np.full(x.shape, 1e-6, np.float32) for x in (self.vec, self.bias, self.cvec, self.cbias, self.pos)]
+        used, place = np.zeros(self.size, bool), np.zeros(self.size, np.int32)
         for k in range(0, len(at), LEARN):
             part = at[k : k + LEARN]
-            part = part[np.argsort((flow[part] // CLASS).astype(np.int16), kind="stable")]
+            part = part[np.argsort((flow[part] // width).astype(np.int16), kind="stable")]
             target = flow[part]
-            cls = target // CLASS
+            cls = target // width
             n, q = np.float32(len(part)), self.context(flow, part)
             rc, rt = self.cvec[cls], self.vec[target]
             # P(the true one is taken for noise), for both factors
@@ -107,30 +137,42 @@ class LogBilinear:
             gt = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, rt) + (self.bias - wlog)[target]))
             grad = gc[:, None] * rc
             grad += gt[:, None] * rt
-            d_vec, d_bias = _sums(target, gt[:, None] * q, self.size), np.bincount(target, gt, self.size)
             d_cvec, d_cbias = _sums(cls, gc[:, None] * q, n_classes), np.bincount(cls, gc, n_classes)
             noise = np.minimum(np.searchsorted(ccdf, rng.random(NOISE) * ccdf[-1]), n_classes - 1)
             taken, back = _noise(q, self.cvec[noise], (self.cbias - clog)[noise])
             grad -= back
             np.subtract.at(d_cvec, noise, taken[:, :DIM])
             np.subtract.at(d_cbias, noise, taken[:, DIM])
-            drawn = np.minimum((rng.random((n_classes, NOISE))[:, :, None] * wcdf[:, None, -1:] > wcdf[:, None, :]).sum(axis=2), CLASS - 1)
             edges = np.searchsorted(cls, np.arange(n_classes + 1))
-            for c in np.flatnonzero(np.diff(edges)):
-                a, b, ids = edges[c], edges[c + 1], drawn[c] + c * CLASS
+            present = np.flatnonzero(np.diff(edges))
+            drawn = np.searchsorted(wcdf, low[present, None] + rng.random((len(present), NOISE)) * cuni[present, None])
+            drawn = np.clip(drawn, present[:, None] * width, present[:, None] * width + width - 1)
+            against = []
+            for c, ids in zip(present, drawn):
+                a, b = edges[c], edges[c + 1]
                 taken, back = _noise(q[a:b], self.vec[ids], self.bias[ids] - wlog[ids])
                 grad[a:b] -= back
-                np.subtract.at(d_vec, ids, taken[:, :DIM])
-                np.subtract.at(d_bias, ids, taken[:, DIM])
+                against.append(taken)
+            # Sums and steps are of the words of this batch alone, whatever the size of the vocabulary.
+            heard = [flow[part - 1 - j] for j in range(CONTEXT)]
+            drawn, against = drawn.ravel(), np.concatenate(against)
+            used[:] = False
+            for ids in (target, drawn, *heard):
+                used[ids] = True
+            own = np.flatnonzero(used)
+            place[own] = np.arange(len(own), dtype=np.int32)
+            d_vec, d_bias = _sums(place[target], gt[:, None] * q, len(own)), np.bincount(place[target], gt, len(own))
+            d_vec -= _sums(place[drawn], against[:, :DIM], len(own))
+            d_bias -= np.bincount(place[drawn], against[:, DIM], len(own))
             d_pos = np.empty_like(self.pos)
-            for j in range(CONTEXT):
-                h = flow[part - 1 - j]
+            for j, h in enumerate(heard):
                 d_pos[j] = np.einsum("ij,ij->j", grad, self.vec[h])
-                d_vec += _sums(h, grad * self.pos[j], self.size)
-            for x, d, sq in zip((self.vec, self.bias, self.cvec, self.cbias, self.pos), (d_vec, d_bias, d_cvec, d_cbias, d_pos), squares):
+                d_vec += _sums(place[h], grad * self.pos[j], len(own))
+            every = slice(None)
+            for x, d, sq, rows in zip((self.vec, self.bias, self.cvec, self.cbias, self.pos), (d_vec, d_bias, d_cvec, d_cbias, d_pos), squares, (own, own, every, every, every)):
                 d = (d / n).astype(np.float32)
-                sq += d * d
-                x += rate * d / np.sqrt(sq)
+                sq[rows] += d * d
+                x[rows] += rate * d / np.sqrt(sq[rows])
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -150,21 +192,47 @@ def _noise(q: np.ndarray, r: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.
     return np.hstack([s.T @ q, s.sum(axis=0)[:, None]]), s @ r
 
 
-def begin(counts: list[tuple[bytes, int]], unknown: int) -> LogBilinear:
-    """The start of training: the unigram model (biases are log frequencies) with small random vectors."""
-    n = CLASS * CLASSES
+def _trigrams(joined: bytes) -> np.ndarray:
+    """The cell of each letter of words that are joined by two blanks, and of the end of each, by its code and those of the two before."""
+    c = _CODE[np.frombuffer(b"  " + joined + b" ", np.uint8)]
+    return (c[:-2] * CODES + c[1:-1]) * CODES + c[2:]
+
+
+def spelling(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The table of log P(letter | two before) from the counts `n` of trigram cells; no word is empty, and the blank between words is free."""
+    tri = np.bincount(cells, n, CODES**3).astype(float).reshape(CODES, CODES, CODES)
+    tri[:, 0, 0] = 0
+    bi = tri.sum(axis=0)
+    p = (bi.sum(axis=0) + 1) / (bi.sum() + CODES)
+    p = (bi + SMOOTH * p) / (bi.sum(axis=1, keepdims=True) + SMOOTH)
+    p[0, 0] = 0
+    p[0] /= p[0].sum()
+    tri += SMOOTH * p
+    tri /= tri.sum(axis=2, keepdims=True)
+    tri[:, 0, 0] = 1
+    return np.log(tri, out=tri).astype(np.float32).ravel()
+
+
+def side(distinct: int) -> int:
+    """The number of classes, and of words of a class: the vocabulary is its square."""
+    return max(CLASSES, int(np.ceil(round(distinct ** (1 / 3), 6))))
+
+
+def begin(counts: list[tuple[bytes, int]], unknown: int, k: int = CLASSES, spell: np.ndarray | None = None) -> LogBilinear:
+    """The start of training: the unigram model (biases are log frequencies) with small random vectors, k classes of k words."""
+    n = k * k
     freq = np.ones(n)
     freq[UNKNOWN] += unknown
     index = {}
     for i, (w, c) in enumerate(counts[: n - 2], 2):
         index[w], freq[i] = i, c + 1
     unigram = freq / freq.sum()
-    cuni = unigram.reshape(-1, CLASS).sum(axis=1)
+    cuni = unigram.reshape(-1, k).sum(axis=1)
     rng = np.random.default_rng(SEED)
     vec = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
-    cvec = rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32)
-    bias = np.log(unigram / np.repeat(cuni, CLASS)).astype(np.float32)
-    return LogBilinear(index, unigram, vec, bias, cvec, np.log(cuni).astype(np.float32), np.ones((CONTEXT, DIM), np.float32) / CONTEXT)
+    cvec = rng.normal(0, 0.1, (k, DIM)).astype(np.float32)
+    bias = np.log(unigram / np.repeat(cuni, k)).astype(np.float32)
+    return LogBilinear(index, unigram, vec, bias, cvec, np.log(cuni).astype(np.float32), np.ones((CONTEXT, DIM), np.float32) / CONTEXT, spell)
 
 
 def _flow(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,12 +240,12 @@ def _flow(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lens = np.array([len(x) for x in ids], np.int64)
     at = np.arange(int(lens.sum())) + np.repeat(CONTEXT * np.arange(1, len(ids) + 1), lens)
     flow = np.full(len(at) + CONTEXT * len(ids), START, np.int32)
-    flow[at] = np.concatenate([np.zeros(0, np.int16), *ids])
+    flow[at] = np.concatenate([np.zeros(0, np.int32), *ids])
     return flow, at, lens
 
 
 def _encoded(ids: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _flow([np.frombuffer(x, np.int16) for x in ids])
+    return _flow([np.frombuffer(x, np.int32) for x in ids])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -196,24 +264,54 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(f, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def letter_counts(counts: DataFrame) -> DataFrame:
+    """(cell, n): how often each trigram of letters occurs in the words (word, n), a word n times."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CODES**3, np.int64)
+        for pdf in batches:
+            if len(pdf):
+                cells = _trigrams(b"  ".join(pdf["word"]))
+                times = np.repeat(pdf["n"].to_numpy(), pdf["word"].str.len().to_numpy() + 2)[: len(cells)]
+                total += np.bincount(cells, times, CODES**3).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
+
+    return counts.mapInPandas(f, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
 def start(texts: DataFrame) -> LogBilinear:
-    """The untrained model of `texts` (text), from the word counts of all of them. The vocabulary's size is a parameter."""
+    """The untrained model of `texts` (text), from the word counts of all of them. Words of the counts that fit into the vocabulary have ids."""
     counts = materialise(word_counts(texts), "lm-words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(CLASS * CLASSES - 2).collect()]
-    return begin(top, total - sum(n for _, n in top))
+    by_count = sorted(((r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count("*").alias("m")).collect()), reverse=True)
+    distinct, taken, least = sum(m for _, m in by_count), 0, 0
+    k = side(distinct)
+    for n, m in by_count:
+        if taken + m > k * k - 2:
+            least = n + 1
+            break
+        taken += m
+    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
+    cells = letter_counts(counts.filter(F.col("n") < least)).toPandas()
+    return begin(top, sum(n * m for n, m in by_count if n < least), k, spelling(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)))
 
 
 def encode(docs: DataFrame, model: LogBilinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each row's words as 16-bit ids, none for a null text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, ids, spelled): each row's words as 32-bit ids, none for a null text, and the log-probability of the letters of those without one."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, unigram=None, vec=None, bias=None))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [m.ids(t).tobytes() for t in pdf["text"]]})
+            ids, rest = [], []
+            for t in pdf["text"]:
+                w = words(t)
+                x = np.fromiter(map(m.index.get, w, repeat(UNKNOWN)), np.int32, len(w))
+                ids.append(x.tobytes())
+                rest.append([w[i] for i in np.flatnonzero(x == UNKNOWN)])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "spelled": m.spelled(rest)})
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(f, "doc_id bigint, ids binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(f, "doc_id bigint, ids binary, spelled double")
 
 
 def train(encoded: DataFrame, model: LogBilinear, rounds: int = ROUNDS) -> LogBilinear:
@@ -221,7 +319,7 @@ def train(encoded: DataFrame, model: LogBilinear, rounds: int = ROUNDS) -> LogBi
     from pyspark import TaskContext
 
     for number in range(rounds):
-        shared = encoded.sparkSession.sparkContext.broadcast(model)
+        shared = encoded.sparkSession.sparkContext.broadcast(replace(model, index={}, spell=None))
 
         def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Noise and order differ by task and round, the same when a task is repeated; later rounds take smaller steps.
@@ -239,22 +337,22 @@ def train(encoded: DataFrame, model: LogBilinear, rounds: int = ROUNDS) -> LogBi
         got = parts.groupBy("row").agg(*mean).toPandas().sort_values("row").to_numpy()[:, 1:].astype(np.float32)  # as long as the vocabulary
         if not len(got):
             break
-        n = model.size
-        cut = [got[a:b, :DIM].copy() for a, b in ((0, n), (n, n + CLASSES), (n + CLASSES, None))]
-        model = LogBilinear(model.index, model.unigram, cut[0], got[:n, DIM].copy(), cut[1], got[n : n + CLASSES, DIM].copy(), cut[2])
+        n, k = model.size, len(model.cbias)
+        cut = [got[a:b, :DIM].copy() for a, b in ((0, n), (n, n + k), (n + k, None))]
+        model = LogBilinear(model.index, model.unigram, cut[0], got[:n, DIM].copy(), cut[1], got[n : n + k, DIM].copy(), cut[2], model.spell)
     return model
 
 
 def score(encoded: DataFrame, model: LogBilinear) -> DataFrame:
     """(doc_id, n_tokens, unknown, log_prob, perplexity) for each row of `encoded`."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(replace(model, index={}, spell=None))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
             flow, at, lens = _encoded(pdf["ids"])
             owner = np.repeat(np.arange(len(lens)), lens)
-            lp = np.bincount(owner, m.log_probs(flow, at), minlength=len(lens))
+            lp = np.bincount(owner, m.log_probs(flow, at), minlength=len(lens)) + pdf["spelled"].to_numpy()
             unknown = np.bincount(owner, flow[at] == UNKNOWN, minlength=len(lens)).astype(np.int64)
             perplexity = pd.Series(np.round(np.exp(-lp / np.maximum(lens, 1)), 4), index=pdf.index).where(lens > 0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": lens, "unknown": unknown, "log_prob": np.round(lp, 4), "perplexity": perplexity})
@@ -266,7 +364,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """Train on all of `docs` and score each of its rows: (doc_id, n_tokens, unknown, log_prob, perplexity).
 
     log_prob is the sum of the normalised natural log-probabilities of the text's words, perplexity exp of minus its mean, unknown the
-    number of words outside the vocabulary, which count as one word. Null texts, and texts without words, have n_tokens 0, log_prob 0
+    number of words outside the vocabulary, which are spelled out. Null texts, and texts without words, have n_tokens 0, log_prob 0
     and a null perplexity. Repeated rows and null ids are trained on and scored as they are. Extra columns aren't read. An empty table
     gives an empty result. Texts are read whole."""
     model = start(docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null"))
