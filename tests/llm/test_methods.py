@@ -86,6 +86,23 @@ def test_near_copies_are_found_and_clean_documents_stay(spark):
     assert not clean & {i for i, _ in got} and got <= expected
 
 
+def test_a_shared_passage_makes_no_near_copies(spark):
+    rng = random.Random(5)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = own(55)
+    rows = [(i, " ".join(passage + own(55))) for i in range(1000)]
+    w = own(100)
+    rows += [(5000, " ".join(w)), (5001, " ".join(w[:-5] + own(5)))]
+    assert {tuple(r) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {(5001, 5000)}
+
+
+def test_members_are_held_against_the_kept_document(spark):
+    grams = {1: range(0, 100), 2: range(30, 130), 3: range(60, 160), 4: range(62, 162)}
+    sets = spark.createDataFrame([(i, bytearray(np.array(g, np.uint32).tobytes())) for i, g in grams.items()], "id bigint, grams binary")
+    roots = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "id bigint, root bigint")
+    assert {tuple(r) for r in neardup.confirmed(roots, sets).collect()} == {(2, 1), (4, 3)}
+
+
 # ---------------------------------------------------------------- decontamination
 
 

@@ -8,15 +8,17 @@ components, by pigeonhole some chunk holds at most e = R // CHUNKS of the differ
 enumerated: for every choice of e of its components to leave out, the rest of the chunk is a key. So two signatures within R
 share at least one key, whatever values the differing components take, and every pair that shares a key is compared in full.
 
-Groups are the connected components of all pairs within R. Equal signatures are collapsed before the join, and each bucket
-of a key yields a spanning forest of its pairs within R rather than the pairs themselves: the components are the same and
+A pair within R is only a candidate: it becomes an edge if the two sets of bigrams share LEAST of their union, counted over 32-bit hashes
+of all bigrams. Groups are the connected components of the edges, and a member of a group goes only if it shares as much with the
+document that is kept for it; members too far from the least id of their group are grouped among themselves. Equal signatures are collapsed before the join, and each bucket
+of a key yields a spanning forest of its edges rather than the pairs themselves: the components are the same and
 the output stays linear however large the bucket.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from vexarium.llm.common import Memo, materialise, maybe_broadcast, word_hash, words
 
 K, B, CHUNKS, R = 32, 16, 8, 15
+LEAST = 0.5  # the Jaccard similarity of near copies
 
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1 << 31, size=256, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -39,17 +42,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bigrams(text: str | None, memo: Memo) -> np.ndarray:
+    """A 32-bit hash of each word bigram, of the word itself for a single word."""
+    w = words(text)
+    if not w:
+        return np.zeros(0, np.uint32)
+    h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+    s = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h * np.uint64(0x9E3779B97F4A7C15)
+    s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def signatures(texts: list[str | None], k: int = K, memo: Memo | None = None) -> list[bytes | None]:
     """One signature of k 16-bit components for each text; None for a text without words. A single word counts as a bigram."""
     memo = Memo(word_hash) if memo is None else memo
     parts, sizes, where = [], [], []
     for i, text in enumerate(texts):
-        w = words(text)
-        if w:
-            h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
-            s = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h * np.uint64(0x9E3779B97F4A7C15)
-            s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            parts.append((s >> np.uint64(32)).astype(np.uint32))
+        s = bigrams(text, memo)
+        if len(s):
+            parts.append(s)
             sizes.append(len(s))
             where.append(i)
     out: list[bytes | None] = [None] * len(texts)
@@ -96,8 +113,8 @@ def sig_keys(sigs: list[bytes], k: int, chunks: int, radius: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bucket_forest(ids: np.ndarray, sigs: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph of all pairs within `radius`: every member is searched for its unreached neighbours."""
+def bucket_forest(ids: np.ndarray, sigs: np.ndarray, radius: int, grams: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of all pairs within `radius`, and with `grams` LEAST alike: every member is searched for its unreached neighbours."""
     left = np.arange(len(ids))
     edges = []
     while len(left):
@@ -105,6 +122,9 @@ def bucket_forest(ids: np.ndarray, sigs: np.ndarray, radius: int) -> list[tuple[
         while queue and len(left):
             at = queue.pop()
             near = (sigs[left] != sigs[at]).sum(axis=1) <= radius
+            if grams is not None:
+                hit = np.flatnonzero(near)
+                near[hit] = [jaccard(grams[at], grams[x]) >= LEAST for x in left[hit]]
             hit = left[near]
             edges += [(int(ids[at]), int(x)) for x in ids[hit]]
             queue += list(hit)
@@ -112,10 +132,11 @@ def bucket_forest(ids: np.ndarray, sigs: np.ndarray, radius: int) -> list[tuple[
     return edges
 
 
-def hamming_pairs(sig_table: DataFrame, k: int = K, chunks: int = CHUNKS, radius: int = R, forest: bool = False) -> DataFrame:
+def hamming_pairs(sig_table: DataFrame, k: int = K, chunks: int = CHUNKS, radius: int = R, forest: bool = False, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """From (id bigint, sig binary), the pairs (a, b, dist) with a < b and at most `radius` differing components.
 
-    All such pairs, each once, with forest=False. With forest=True, edges that connect the same components."""
+    All such pairs, each once, with forest=False. With forest=True, edges that connect the same components.
+    `confirm` gives (id, sig, grams) for a table of ids; the forest then holds pairs LEAST alike only."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -127,13 +148,15 @@ def hamming_pairs(sig_table: DataFrame, k: int = K, chunks: int = CHUNKS, radius
     # Ids alone are shuffled by key; signatures are fetched only for the ids of buckets with company, and equal buckets once.
     buckets = sig_table.mapInPandas(keys, "key bigint, id bigint").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
     buckets = materialise(buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")), "near-buckets")
-    members = buckets.join(sig_table, "id")
+    members = buckets.join(sig_table if confirm is None else confirm(buckets.select("id").distinct()), "id")
+
+    exact = confirm is not None
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
         ids, s = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), k)
         if forest:
-            e = bucket_forest(ids, s, radius)
+            e = bucket_forest(ids, s, radius, [np.frombuffer(x, np.uint32) for x in pdf["grams"]] if exact else None)
             return pd.DataFrame(e, columns=["a", "b"]).assign(dist=0) if e else pd.DataFrame({"a": [], "b": [], "dist": []}).astype(int)
         out = []
         for i in range(len(ids) - 1):
@@ -165,10 +188,37 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def confirmed(roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, root) for the ids of `roots` (id, root) that are LEAST alike to root; the others of a group are grouped among themselves.
+
+    sets (id, grams) has every id and root once. Among the others, each in the order of ids goes to the first kept one alike, or is kept."""
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            near = [jaccard(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= LEAST for a, b in zip(pdf["grams"], pdf["kept"])]
+            yield pd.DataFrame({"id": pdf["id"], "root": pdf["root"], "near": near})
+
+    def regroup(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, out = [], []
+        for i, x in pdf.sort_values("id")[["id", "grams"]].itertuples(index=False):
+            x = np.frombuffer(x, np.uint32)
+            root = next((k for k, y in kept if jaccard(x, y) >= LEAST), None)
+            if root is None:
+                kept.append((i, x))
+            else:
+                out.append((i, root))
+        return pd.DataFrame(out, columns=["id", "root"]).astype("int64")
+
+    kept = sets.join(roots.select(F.col("root").alias("id")).distinct(), "id").select(F.col("id").alias("root"), F.col("grams").alias("kept"))
+    held = materialise(roots.join(sets, "id").join(kept, "root").select("id", "root", "grams", "kept").mapInPandas(alike, "id bigint, root bigint, near boolean"), "near-held")
+    rest = held.filter("not near").join(sets, "id").groupBy("root").applyInPandas(regroup, "id bigint, root bigint")
+    return held.filter("near").select("id", "root").unionByName(rest)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, chunks: int = CHUNKS, radius: int = R) -> DataFrame:
     """(doc_id, keep_id) for every document that is a near copy of another and is not the one to keep.
 
-    keep_id is the least id of the group (the least such, if rows of one id with different texts fall into several groups).
+    keep_id is the least id of the group that is LEAST alike to the document, by all bigrams (the least such, if rows of one id with different texts fall into several groups).
     Repeated rows collapse: an id has one row at most, and rows that share the id to keep aren't told apart. Null ids, null texts and
     texts without a word (empty, blank, punctuation) are never grouped. Extra columns are not read. An empty table gives an
     empty result. Texts of any length are read whole."""
@@ -184,7 +234,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = materialise(base.mapInPandas(sign, "doc_id bigint, sig binary"), "near-sigs")
     # Each distinct signature once, under its least id.
     heads = materialise(signed.groupBy("sig").agg(F.min("doc_id").alias("id")), "near-heads")
-    roots = components(hamming_pairs(heads, k, chunks, radius, forest=True))
+    sets: list[DataFrame] = []
+
+    def with_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Memo(word_hash)
+        for pdf in batches:
+            sigs, grams = signatures(list(pdf["text"]), k, memo), [np.unique(bigrams(t, memo)).tobytes() for t in pdf["text"]]
+            keep = [i for i, s in enumerate(sigs) if s is not None]
+            yield pd.DataFrame({"id": pdf["doc_id"].to_numpy()[keep], "sig": [sigs[i] for i in keep], "grams": [grams[i] for i in keep]})
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        # Bigrams of the candidates alone; an id of several texts has one of them.
+        own = base.join(maybe_broadcast(materialise(ids.select(F.col("id").alias("doc_id")), "near-wanted"), 16), "doc_id", "left_semi")
+        own = own.mapInPandas(with_grams, "id bigint, sig binary, grams binary").join(heads, ["id", "sig"], "left_semi")
+        sets.append(materialise(own.groupBy("id").agg(F.min(F.struct("sig", "grams")).alias("x")).select("id", "x.sig", "x.grams"), "near-grams"))
+        return sets[0]
+
+    roots = components(hamming_pairs(heads, k, chunks, radius, forest=True, confirm=fetch))
+    roots = confirmed(roots, sets[0].select("id", "grams"))
     final = heads.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("keep_id"))
     return signed.join(final, "sig").filter("doc_id <> keep_id").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
 
