@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from vexarium.llm.exactdedup import golomb_decode, golomb_encode
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK, LANES = 4096, 4096
-SYMBOLS, WIDE = 4096, 16  # order-0 counts in three levels of 16; a block has at most SYMBOLS different ids
+SYMBOLS, WIDE = 4096, 16  # order-0 counts in groups of WIDE; a block has at most SYMBOLS different ids
 INC, STEP, LIMIT = 2, 32, 1024
 MASK = np.int64((1 << 48) - 1)
 
@@ -54,14 +55,14 @@ class Tokenizer:
             raise ValueError("ids must fit 16 bits")
         whole, single = self.encoding.encode_ordinary, self.encoding._core_bpe.encode_single_piece
 
-        marks = {m: array("H", whole(m)).tobytes() for m in ".,;:!?"}
         self.line = array("H", whole("\n")).tobytes()
 
-        def spaced(s: str) -> bytes:  # a space and letters are one piece, which needs no splitting; a mark after them is another
+        def spaced(s: str) -> bytes:  # a space and letters are one piece, which needs no splitting; the marks after them are another
             if s.isalpha():
                 return array("H", single(b" " + s.encode())).tobytes()
-            if s[-1:] in marks and s[:-1].isalpha():
-                return self.spaced[s[:-1]] + marks[s[-1]]
+            head = s.rstrip(string.punctuation)
+            if head.isalpha():
+                return self.spaced[head] + self.plain[s[len(head) :]]
             return array("H", whole(" " + s)).tobytes()
 
         self.plain, self.spaced = Memo(lambda s: array("H", whole(s)).tobytes()), Memo(spaced, 500_000)
@@ -89,61 +90,84 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-_TRI = np.tril(np.ones((WIDE, WIDE), np.int32), -1)
-_INIT = np.array([[STEP * (s >> 3 > 0), STEP * ((s >> 1) & 3 > 0 and not s & 1), STEP] for s in range(32)], np.int32)
+#: The starting weights of a state, and its counter, as three fields of FIELD bits.
+FIELD = 16
+_INIT = np.array([sum(w << FIELD * e for e, w in enumerate((STEP * (s >> 3 > 0), STEP * ((s >> 1) & 3 > 0 and not s & 1), STEP))) for s in range(32)], np.int64)
 _NEXT = np.array([min(b + 1, 3) for b in range(4)] + [max(b - 1, 1) for b in range(4)], np.int32)
+_ONE = (1 << FIELD) - 1
+# Which of a group's 16 counts, four to a 64-bit word, come before the i-th; the counts of a group sum to less than 2 ** 16.
+_BEFORE = np.frombuffer((np.tril(np.ones((WIDE, WIDE), np.int16), -1) * np.int16(-1)).astype("<i2").tobytes(), np.uint64).reshape(WIDE, WIDE // 4)
+_FOLD = np.uint64(0x0001000100010001)
 
 
 class _Model:
-    """The adaptive state of n lanes, the same for coding and decoding. A prediction is packed as id * 4 + confidence."""
+    """The adaptive state of n lanes, the same for coding and decoding. A prediction is packed as id * 4 + confidence.
+
+    Order 0 keeps the counts of the ids, `low`, and for each group of WIDE ids the sum of the groups before it, `top`. The tables are
+    as wide as the largest alphabet of the lanes, which bounds the memory that a step touches."""
 
     def __init__(self, sizes: np.ndarray):
         n = len(sizes)
-        self.low = (np.arange(SYMBOLS)[None, :] < sizes[:, None]).astype(np.int16)
-        self.mid = self.low.reshape(n, WIDE * WIDE, WIDE).sum(2, dtype=np.int16)
-        self.top = self.mid.reshape(n, WIDE, WIDE).sum(2, dtype=np.int16)
-        self.low, self.mid = self.low.reshape(-1), self.mid.reshape(-1)
+        self.groups = max(1, -(-int(sizes.max(initial=1)) // WIDE))
+        self.stride = self.groups * WIDE
+        low = (np.arange(self.stride)[None, :] < sizes[:, None]).astype(np.int16)
+        sums = low.reshape(n, self.groups, WIDE).sum(2, dtype=np.int16)
+        self.top = np.cumsum(sums, axis=1, dtype=np.int16) - sums
+        self.low = low.reshape(-1)
+        self.words = self.low.view(np.uint64).reshape(-1, WIDE // 4)
+        self.later = (np.arange(self.groups)[None, :] > np.arange(self.groups)[:, None]).astype(np.int16) * np.int16(INC)
         self.total = sizes.astype(np.int32)
-        self.one, self.two = np.zeros(n * SYMBOLS, np.int16), np.zeros(n * SYMBOLS, np.int16)
-        self.weights = np.tile(_INIT, (n, 1))
+        self.one, self.two = np.zeros(n * self.stride, np.int16), np.zeros(n * SYMBOLS, np.int16)
+        self.weights = np.tile(_INIT, n)
         self.c1, self.c2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.lane = np.arange(n, dtype=np.int64)
+        lane = np.arange(n, dtype=np.int64)
+        self.at_state, self.at_id, self.at_pair, self.at_group = lane * 32, lane * self.stride, lane * SYMBOLS, lane * self.groups
 
     def predict(self, n: int) -> None:
-        base, c1 = self.lane[:n] * SYMBOLS, self.c1[:n]
-        self.i1 = base + c1
-        self.i2 = base + (((c1 * 40503 + self.c2[:n] * 2654435761) >> 7) & (SYMBOLS - 1))
-        self.v1, self.v2 = self.one.take(self.i1).astype(np.int32), self.two.take(self.i2).astype(np.int32)
+        c1 = self.c1[:n]
+        self.i1 = self.at_id[:n] + c1
+        self.i2 = self.at_pair[:n] + (((c1 * 40503 + self.c2[:n] * 2654435761) >> 7) & (SYMBOLS - 1))
+        self.v1, self.v2 = self.one.take(self.i1), self.two.take(self.i2)
         self.a1, self.a2, b1, b2 = self.v1 >> 2, self.v2 >> 2, self.v1 & 3, self.v2 & 3
         self.has1, self.has2 = b1 > 0, b2 > 0
         same = self.has1 & self.has2 & (self.a1 == self.a2)
         self.has1 &= ~same
-        self.state = self.lane[:n] * 32 + (b2 * 8 + b1 * 2 + same)
-        self.w = self.weights.take(self.state, axis=0)
-        self.w01 = self.w[:, 0] + self.w[:, 1]
-        self.sum = self.w01 + self.w[:, 2]
+        self.state = self.at_state[:n] + (b2 * 8 + b1 * 2 + same)
+        self.w = self.weights.take(self.state)
+        self.w0 = self.w & _ONE
+        self.w01 = self.w0 + ((self.w >> FIELD) & _ONE)
+        self.sum = self.w01 + (self.w >> 2 * FIELD)
 
     def update(self, n: int, x: np.ndarray, event: np.ndarray) -> None:
-        lane = self.lane[:n]
-        self.w.reshape(-1)[lane * 3 + event] += STEP
+        """`x` are the ids, 64-bit."""
+        w = self.w + (STEP << event * FIELD)
         big = (self.sum > LIMIT - STEP).nonzero()[0]
         if len(big):
-            self.w[big] = (self.w[big] + 1) >> 1
-        self.weights[self.state] = self.w
-        x4 = x << 2
+            v = w[big]
+            w[big] = sum((((v >> e * FIELD) & _ONE) + 1 >> 1) << e * FIELD for e in range(3))
+        self.weights[self.state] = w
+        narrow = x.astype(np.int16)
+        x4 = narrow << 2
         for table, i, v, a in ((self.one, self.i1, self.v1, self.a1), (self.two, self.i2, self.v2, self.a2)):
             b = v & 3
-            hit = (a == x) & (b > 0)
+            hit = (a == narrow) & (b > 0)
             table[i] = np.where(hit | (b > 1), v & ~3, x4) | _NEXT.take(b + 4 * ~hit)
-        self.low[lane * SYMBOLS + x] += INC
-        self.mid[lane * (WIDE * WIDE) + (x >> 4)] += INC
-        self.top.reshape(-1)[lane * WIDE + (x >> 8)] += INC
+        at = self.at_id[:n] + x
+        self.low[at] = self.low.take(at) + np.int16(INC)
+        self.top[:n] += self.later.take(x >> 4, axis=0)
         self.total[:n] += INC
         self.c2[:n] = self.c1[:n]
         self.c1[:n] = x
 
-    def excluded(self, j: np.ndarray | slice, base: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def before(self, j: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How much the ids less than y have in order 0 of the lanes j."""
+        w = self.words.take((self.at_id.take(j) + y) >> 4, axis=0) & _BEFORE.take(y & 15, axis=0)
+        part = ((w[:, 0] + w[:, 1] + w[:, 2] + w[:, 3]) * _FOLD) >> np.uint64(48)
+        return self.top.reshape(-1).take(self.at_group.take(j) + (y >> 4)) + part.astype(np.int64)
+
+    def excluded(self, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids that orders 1 and 2 predicted, and their order-0 counts, which are left out of order 0."""
+        base = self.at_id.take(j)
         return [(a[j], np.where(has[j], self.low.take(base + a[j]), 0).astype(np.int32)) for a, has in ((self.a2, self.has2), (self.a1, self.has1))]
 
 
@@ -156,7 +180,7 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block's ids (at most BLOCK of them) as bytes: the block's alphabet, Golomb coded, then the range coder's words."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n, steps = len(blocks), max((len(b) for b in blocks), default=0)
-    x = np.zeros((steps, n), np.int16)
+    x = np.zeros((n, steps), np.int16)
     heads, sizes, lens = [], np.zeros(n, np.int64), np.array([len(blocks[i]) for i in order], np.int64)
     seen, rank = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int16)
     for lane, i in enumerate(order):
@@ -165,42 +189,38 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         seen[ids] = 1
         alphabet = np.flatnonzero(seen)
         rank[alphabet] = np.arange(len(alphabet))
-        x[: len(ids), lane] = rank[ids]
+        x[lane, : len(ids)] = rank[ids]
         sizes[lane] = len(alphabet)
         data, k = golomb_encode(alphabet.astype(np.uint64), 16)
         heads.append(len(ids).to_bytes(2, "little") + len(alphabet).to_bytes(2, "little") + bytes([k]) + len(data).to_bytes(3, "little") + data)
+    x = np.ascontiguousarray(x.T)
     m = _Model(sizes)
     low, rng = np.zeros(n, np.int64), np.full(n, MASK, np.int64)
     out, pos = np.zeros((n, 2 * steps + 4), np.uint16), np.zeros(n, np.int64)
     active = np.searchsorted(-lens, -np.arange(steps), side="left")  # lanes longer than t
-    low_rows, mid_rows = m.low.reshape(-1, WIDE), m.mid.reshape(-1, WIDE)
     for t in range(steps):
         k = int(active[t])
         m.predict(k)
-        s = x[t, :k].astype(np.int32)
+        s = x[t, :k]
         two = m.has2 & (s == m.a2)
         one = m.has1 & (s == m.a1) & ~two
         miss = ~(one | two)
         event = one + 2 * miss
+        s = s.astype(np.int64)
         lo, ra = low[:k], rng[:k]
         r = _divide(ra, m.sum)
-        lo += r * np.where(two, 0, np.where(one, m.w[:, 0], m.w01))
-        ra[:] = r * m.w.reshape(-1).take(m.lane[:k] * 3 + event)
+        lo += r * np.where(two, 0, np.where(one, m.w0, m.w01))
+        ra[:] = r * ((m.w >> event * FIELD) & _ONE)
         j = miss.nonzero()[0]
         if len(j):
             y = s[j]
-            hi, mi = y >> 8, y >> 4
-            base = j * SYMBOLS
-            cum = np.einsum("ij,ij->i", m.top.take(j, axis=0), _TRI.take(hi, axis=0))
-            cum += np.einsum("ij,ij->i", mid_rows.take(j * WIDE + hi, axis=0), _TRI.take(mi & 15, axis=0))
-            cum += np.einsum("ij,ij->i", low_rows.take(j * (WIDE * WIDE) + mi, axis=0), _TRI.take(y & 15, axis=0))
-            total = m.total[j]
-            for a, gone in m.excluded(j, base):
+            cum, total = m.before(j, y), m.total[j]
+            for a, gone in m.excluded(j):
                 total -= gone
                 cum -= gone * (a < y)
             r = _divide(ra[j], np.maximum(total, 1))
             lo[j] += r * cum
-            ra[j] = r * m.low.take(base + y)
+            ra[j] = r * m.low.take(m.at_id.take(j) + y)
         m.update(k, s, event)
         over = (lo > MASK).nonzero()[0]
         if len(over):
@@ -244,41 +264,36 @@ def decode_lanes(payloads: list[bytes]) -> list[np.ndarray]:
     pos, rng = np.full(n, 3, np.int64), np.full(n, MASK, np.int64)
     out = np.zeros((steps, n), np.int64)
     active = np.searchsorted(-lens, -np.arange(steps), side="left")
+    groups, within = np.arange(m.groups), np.arange(WIDE)
     for t in range(steps):
         k = int(active[t])
         m.predict(k)
         re_, ra = rel[:k], rng[:k]
         r = _divide(ra, m.sum)
         v = np.minimum(_divide(re_, r), m.sum - 1)
-        event = np.where(v < m.w[:, 0], 0, np.where(v < m.w01, 1, 2))
-        re_ -= r * np.where(event == 0, 0, np.where(event == 1, m.w[:, 0], m.w01))
-        ra[:] = r * m.w[m.lane[:k], event]
-        s = np.where(event == 0, m.a2, m.a1)
+        event = np.where(v < m.w0, 0, np.where(v < m.w01, 1, 2))
+        re_ -= r * np.where(event == 0, 0, np.where(event == 1, m.w0, m.w01))
+        ra[:] = r * ((m.w >> event * FIELD) & _ONE)
+        s = np.where(event == 0, m.a2, m.a1).astype(np.int64)
         j = np.flatnonzero(event == 2)
         if len(j):
-            total, base = m.total[j], j * SYMBOLS
-            undo = m.excluded(j, base)
+            total, base, undo = m.total[j], m.at_id[j], m.excluded(j)
+            sums = m.top[j].astype(np.int32)
             for a, gone in undo:
                 total -= gone
-                m.low[base + a] -= gone.astype(np.int16)
-                m.mid[j * (WIDE * WIDE) + (a >> 4)] -= gone.astype(np.int16)
-                m.top[j, a >> 8] -= gone.astype(np.int16)
+                sums -= gone[:, None] * (groups[None, :] > (a >> 4)[:, None])
             r = _divide(ra[j], np.maximum(total, 1))
             v = np.minimum(_divide(re_[j], r), total - 1)
-            rest, at, row = v.copy(), np.zeros(len(j), np.int64), j
-            for table in (m.top, m.mid.reshape(-1, WIDE), m.low.reshape(-1, WIDE)):
-                sums = np.cumsum(table[row], axis=1, dtype=np.int64)
-                c = (sums <= rest[:, None]).sum(1)
-                rest -= np.where(c > 0, sums[np.arange(len(j)), np.maximum(c - 1, 0)], 0)
-                at, row = at * WIDE + c, row * WIDE + c
-            f = m.low[base + at]
-            re_[j] -= r * (v - rest)
-            ra[j] = r * f
+            group = (sums <= v[:, None]).sum(1) - 1
+            each = m.low.reshape(-1, WIDE)[(base >> 4) + group].astype(np.int32)
             for a, gone in undo:
-                m.low[base + a] += gone.astype(np.int16)
-                m.mid[j * (WIDE * WIDE) + (a >> 4)] += gone.astype(np.int16)
-                m.top[j, a >> 8] += gone.astype(np.int16)
-            s[j] = at
+                each -= gone[:, None] * (group[:, None] * WIDE + within[None, :] == a[:, None])
+            ends = np.cumsum(each, axis=1) + sums[np.arange(len(j)), group][:, None]
+            cell = (ends <= v[:, None]).sum(1)
+            f = each[np.arange(len(j)), cell]
+            re_[j] -= r * (ends[np.arange(len(j)), cell] - f)
+            ra[j] = r * f
+            s[j] = group * WIDE + cell
         out[t, :k] = s
         m.update(k, s, event)
         for _ in range(2):
