@@ -1,14 +1,19 @@
 """Each operator against brute force, an exact round trip or held-out accuracy."""
 
+import hashlib
 import itertools
 import math
+import os
 import random
+import re
+import string
 from collections import defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vexarium.llm import common, decontam, exactdedup, htmltext, lmscore, mixing, neardup, pii, secretscan, tokenout, toxicity
 
@@ -45,6 +50,14 @@ def test_exact_against_brute_force(spark):
 # ---------------------------------------------------------------- near duplicates
 
 
+@pytest.mark.parametrize("owners", [1, 7])
+def test_the_exchange_finds_all_repeats(spark, owners, monkeypatch):
+    rng = random.Random(owners)
+    values = [rng.choice([rng.randrange(300), rng.randrange(1 << 63)]) for _ in range(3000)] + [0, (1 << 63) - 1, (1 << 63) - 1]
+    got = exactdedup.duplicated_fingerprints(spark.createDataFrame([(v,) for v in values], "fp bigint").repartition(5), owners)
+    assert sorted(r[0] for r in got.collect()) == sorted(v for v in set(values) if values.count(v) > 1)
+
+
 def test_hamming_join_is_complete(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 16, (20, 32), dtype=np.uint16)
@@ -144,6 +157,43 @@ def test_decontamination_against_brute_force(spark, broadcast):
 # ---------------------------------------------------------------- toxicity
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (1, "four five six seven eight nine ten x"), (2, item), (2, "clean text")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item), (7, "another item of some seven words here")], "item_id bigint, text string")
+    assert {tuple(r) for r in decontam.contaminated(docs.filter("doc_id = 1"), bench, theta=0.8).collect()} == set()
+    assert {tuple(r)[:4] for r in decontam.contaminated(docs, bench, theta=0.8).collect()} == {(2, 7, 8, 8)}
+    assert {tuple(r) for r in decontam.decontaminate(docs, bench, theta=0.8).collect()} == {tuple(r) for r in docs.collect()} - {(2, item)}
+
+
+def test_the_first_of_equally_good_windows(spark):
+    item = "one two three four five"
+    docs = spark.createDataFrame([(1, f"x {item} y y {item}")], "doc_id bigint, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()] == [(1, 1, 3, 3, 1)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 1)), min_size=1, max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_the_cut_is_the_best(rows):
+    p, y = np.array([r[0] / 10 for r in rows]), np.array([r[1] for r in rows])
+    value = lambda c: (p[y == 1] >= c).mean() - toxicity.COST * ((p[y == 0] >= c).mean() if (y == 0).any() else 0) if (y == 1).any() else -1
+    best = max((value(c) for c in p if not (y == 0).any() or (p[y == 0] >= c).mean() <= toxicity.FALSE_REJECTS), default=-1)
+    cut = toxicity.choose_cut(p, y)
+    assert cut == toxicity.REJECT_AT if best <= 0 else abs(value(cut) - best) < 1e-9
+
+
+def test_toxicity_on_held_out_rows_of_the_tables(spark):
+    d = "/root/testdata/sf0.1"
+    if not os.path.exists(d):
+        pytest.skip("no tables here")
+    docs, labels = (common.table(spark, d, t) for t in ("documents", "labels"))
+    part = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4))
+    m = toxicity.train(docs, labels.filter(part > 0))
+    got = toxicity.severity(docs, m).join(labels.filter(part == 0), "doc_id").groupBy("toxic").agg(F.avg(F.col("rejected").cast("int"))).collect()
+    share = {r[0]: r[1] for r in got}
+    assert share[1] >= 0.9 and share[0] <= 0.04
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     bad = ["vile", "scum", "rotten", "filthy"]
@@ -266,6 +316,22 @@ def test_large_hosts_agree_with_small(spark):
     assert all(foot not in r[2] for r in small) and any(r[3] > 20 for r in small)
 
 
+def test_short_boilerplate_goes(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):
+        nav = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "About", "Contact"))
+        body = "".join(f"<p>{prose(rng.randint(20, 60), rng)}</p>" for _ in range(3))
+        rows.append((i, "https://short.example.org/", f"<html><body><ul>{nav}</ul>{body}<div>buy now at once</div><footer>Example Press all rights reserved</footer></body></html>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for tokens in (htmltext.HOST_TOKENS, 50):  # one block, and one for each page or so
+        out = htmltext.extract(pages, host_tokens=tokens).collect()
+        assert len(out) == 12
+        for r in out:
+            assert not {"Home", "News", "About", "Contact", "Press", "buy"} & set(r["text"].split())
+            assert r["kept"] == len(r["text"].split()) == r["n_tokens"] - 13
+
+
 # ---------------------------------------------------------------- personal data and secrets
 
 
@@ -295,6 +361,88 @@ def test_personal_data(text, kinds):
     assert [s[0] for s in pii.find_spans(text)] == kinds
 
 
+def brute_emails(text):
+    """Every @ with the longest local part before it and the longest host after it, without regular expressions."""
+    local, host = set(string.ascii_letters + string.digits + "!#$%&'*+/=?^_`{|}~.-"), set(string.ascii_letters + string.digits + "-")
+    out = []
+    for at in (i for i, c in enumerate(text) if c == "@"):
+        a = at
+        while a > max(0, at - 64) and text[a - 1] in local:
+            a -= 1
+        while a < at and text[a] in ".'`*":
+            a += 1
+        ends = []
+        for b in range(at + 4, len(text) + 1):
+            labels = text[at + 1 : b].split(".")
+            if not set(text[at + 1 : b]) <= host | {"."}:
+                break
+            tld = labels[-1]
+            if 2 <= len(labels) <= 9 and all(1 <= len(x) <= 63 for x in labels) and 2 <= len(tld) <= 24 and set(tld) <= set(string.ascii_letters) and (b == len(text) or text[b] not in host | {"@"}):
+                ends.append(b)
+        s = text[a : max(ends, default=0)]
+        if a < at and ends and ".." not in s and text[a] != "." and text[at - 1] != "." and not any(x[0] == "-" or x[-1] == "-" for x in text[at + 1 : ends[-1]].split(".")):
+            out.append((a, max(ends)))
+    return out
+
+
+@given(st.text(alphabet="ab1.@'`*-_ é", max_size=40))
+@settings(max_examples=2000, deadline=None)
+@example("'@example.com")
+@example("`@example.com` and .@example.com")
+@example("x@a.bc@d.ef")
+def test_emails_against_brute_force(text):
+    got = {(a, b) for k, a, b, _ in pii.find_spans(text) if k == "email"}
+    want = brute_emails(text)
+    assert got <= set(want)
+    clear = [x for x in want if not any(y != x and y[0] < x[1] and x[0] < y[1] for y in want)]
+    assert {x for x in clear} <= got
+
+
+def brute_numbers(text):
+    """Every substring that is a card or an address of four numbers, held apart from its surroundings, by trying all of them."""
+    cards, ips = set(), set()
+    for a in range(len(text)):
+        for b in range(a + 7, min(len(text), a + 38) + 1):
+            s, before, after = text[a:b], text[a - 1 : a], text[b : b + 1]
+            if set(s) <= set("0123456789 -") and s[0].isdigit() and s[-1].isdigit() and not any(x in s for x in ("  ", "--", " -", "- ")):
+                d = [int(c) for c in s if c.isdigit()]
+                total = sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])
+                if 13 <= len(d) <= 19 and len(set(d)) > 1 and d[0] in (2, 3, 4, 5, 6) and total % 10 == 0:
+                    cards.add((a, b))
+            p = s.split(".")
+            if len(p) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) < 256 and (x == "0" or x[0] != "0") for x in p) and p[0] not in ("0", "127") and s != "255.255.255.255" and not (before.isalnum() or before in ("_", ".") and before) and not (after.isalnum() or after == "_"):
+                if not (after == "." and text[b + 1 : b + 2].isdigit()):
+                    ips.add((a, b))
+    return cards, ips
+
+
+@given(st.text(alphabet="0123459.- x", max_size=36), st.sampled_from(["", "4111 1111 1111 1111", "10.20.30.40", "5500-0000-0000-0004"]), st.text(alphabet="01 .-x", max_size=6))
+@settings(max_examples=1500, deadline=None)
+def test_numbers_against_brute_force(a, b, c):
+    text = f"{a}{b}{c}"
+    cards, ips = brute_numbers(text)
+    for kind, x, y, _ in pii.find_spans(text):
+        assert kind != "card" or (x, y) in cards
+        assert kind != "ipv4" or (x, y) in ips
+
+
+@given(st.text(alphabet="ab@.'`*09- +()DE٣\n\u00a0", max_size=80))
+@settings(max_examples=10_000, deadline=None)
+def test_spans_are_in_order_and_apart(text):
+    at = 0
+    for _, a, b, score in pii.find_spans(text):
+        assert at <= a < b <= len(text) and pii.THRESHOLD <= score <= 1
+        at = b
+
+
+def test_personal_data_of_odd_rows(spark):
+    long = prose(30_000) + " write to jo.do@mail.example.org"
+    rows = [(None, "mail a.b@example.com"), (1, "mail a.b@example.com"), (1, "mail a.b@example.com"), (2, long), (3, None), (4, ""), (5, "`@example.com`")]
+    got = sorted(((r["doc_id"], r["kind"], r["start"], r["end"], r["masked"]) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    one = ("email", 5, 20, "*" * 13 + "om")
+    assert got == sorted([(None, *one), (1, *one), (1, *one), (2, "email", len(long) - 22, len(long), "*" * 20 + "rg")], key=str)
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "mail a.b@example.com or 10.20.30.40"), (2, None)], "doc_id bigint, text string")
     assert {r["doc_id"]: r["text"] for r in pii.redact(d).collect()} == {1: "mail <email> or <ipv4>", 2: None}
@@ -317,6 +465,26 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert {tuple(r) for r in secretscan.scan_versions(two).collect()} == {tuple(r) for r in got}
 
 
+def test_secrets_query_against_brute_force(spark, tmp_path):
+    from vexarium.llm import queries
+
+    rng = random.Random(12)
+    keys = ["AKIA" + "".join(rng.choice(string.ascii_uppercase) for _ in range(16)), "ghp_" + "a1B2" * 9, "xoxb-1234567890ab", "token = 'q8Zr71LmXcVb09Ty'", "password: hunter22x", "-----BEGIN RSA PRIVATE KEY-----", "secret=aaaaaaaaaaaaaaaaaaaa"]
+    texts = [f"{prose(rng.randint(0, 30), rng)} {rng.choice(keys) if i % 3 else ''} {prose(rng.randint(0, 5), rng)}" for i in range(60)] + [None, "", prose(40_000, rng) + " " + keys[0]]
+    rows = [(i, t, f"p{i % 4}") for i, t in enumerate(texts)] + [(1, texts[1], "p1"), (None, texts[2], None), (900, texts[1], "p9")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t, p in rows:
+        for r in secretscan.RULES if t else ():
+            for m in re.finditer(r.pattern, t):
+                s = m.group(1)
+                bits = -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+                if bits >= r.min_entropy or r.min_entropy <= 0:
+                    want.append((i, p, hashlib.sha256(t.encode()).hexdigest(), r.rule_id, 1, m.start(1), m.end(1), hashlib.sha256(s.encode()).hexdigest()[:16]))
+    got = [tuple(r) for r in queries.op4_secrets(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({r[3] for r in got}) == 6
+
+
 # ---------------------------------------------------------------- language model
 
 
