@@ -2,8 +2,9 @@
 
 Every input partition sends, to each owner of a range of fingerprints, one sorted and Golomb-Rice coded list of
 its 63-bit fingerprints. An owner answers each sender with a bitmap: bit i says that the i-th fingerprint of that
-list occurs more than once in the whole input. Only the suspects so marked are shuffled with their texts and compared
-byte by byte, so the texts of unique documents never move.
+list occurs more than once in the whole input. The bitmaps alone go back; a sender reads its marked fingerprints off its own
+list. Only the suspects so marked are shuffled with their texts and compared byte by byte, so the texts of unique documents
+never move. There are as many owners as the rows need for OWNER_ROWS each.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from vexarium.llm.common import materialise, maybe_broadcast
 
 FP_BITS = 63
+LIST_ROWS = 1 << 20  # fingerprints of a sender's list
+OWNER_ROWS = 2_000_000  # fingerprints that an owner gets, about
 
 
 def golomb_encode(values: np.ndarray, universe_bits: int = FP_BITS) -> tuple[bytes, int]:
@@ -58,30 +61,44 @@ def golomb_decode(data: bytes, n: int, k: int) -> np.ndarray:
 def _send(owners: int):
     width = (1 << FP_BITS) // owners + 1
 
+    def lists(fp: np.ndarray, sender: str) -> pd.DataFrame:
+        fp = np.sort(fp).astype(np.uint64)
+        own = (fp // np.uint64(width)).astype(np.int64)
+        out, edges = [], np.flatnonzero(np.diff(own, prepend=-1, append=owners))
+        for a, b in zip(edges[:-1], edges[1:]):
+            o = int(own[a])
+            data, k = golomb_encode(fp[a:b] - np.uint64(o * width))
+            out.append((sender, o, int(b - a), k, data))
+        return pd.DataFrame(out, columns=["sender", "owner", "n", "k", "data"])
+
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:  # one list per Arrow batch keeps memory bounded; a batch is a sender
-            fp = np.sort(pdf["fp"].to_numpy(np.int64)).astype(np.uint64)
-            sender = int(pdf["sender"].iloc[0]) if len(pdf) else 0
-            own = (fp // np.uint64(width)).astype(np.int64)
-            out = []
-            for o in np.unique(own):
-                mine = fp[own == o]
-                data, k = golomb_encode(mine - np.uint64(int(o) * width))
-                out.append((int(o), sender, len(mine), k, data))
-            yield pd.DataFrame(out, columns=["owner", "sender", "n", "k", "data"])
+        from pyspark import TaskContext
+
+        held, n, part = [], 0, 0
+        name = TaskContext.get().partitionId()
+        for pdf in batches:  # a sender is a partition, or each LIST_ROWS rows of it, which bounds its memory
+            held.append(pdf["fp"].to_numpy(np.int64))
+            n += len(pdf)
+            if n >= LIST_ROWS:
+                yield lists(np.concatenate(held), f"{name}-{part}")
+                held, n, part = [], 0, part + 1
+        if n:
+            yield lists(np.concatenate(held), f"{name}-{part}")
 
     return f
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """An owner's bitmap for each of its senders' lists; nothing else goes back."""
     lists = [golomb_decode(d, n, k) for d, n, k in zip(pdf["data"], pdf["n"], pdf["k"])]
     every = np.sort(np.concatenate(lists))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     marks = [np.packbits(np.isin(x, twice)).tobytes() for x in lists]
-    return pd.DataFrame({"owner": pdf["owner"], "sender": pdf["sender"], "n": pdf["n"], "k": pdf["k"], "data": pdf["data"], "marks": marks})
+    return pd.DataFrame({"sender": pdf["sender"], "owner": pdf["owner"], "marks": marks})
 
 
 def _marked(owners: int):
+    """A sender's own fingerprints that its owners marked, from its list and the bitmaps."""
     width = (1 << FP_BITS) // owners + 1
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,10 +113,12 @@ def _marked(owners: int):
 
 
 def duplicated_fingerprints(fps: DataFrame, owners: int) -> DataFrame:
-    """Distinct values of `fp` (bigint, >= 0) that occur more than once in `fps`, by the coded exchange."""
-    lists = fps.select("fp", F.spark_partition_id().alias("sender")).mapInPandas(_send(owners), "owner int, sender int, n int, k int, data binary")
-    answers = lists.groupBy("owner").applyInPandas(_answer, "owner int, sender int, n int, k int, data binary, marks binary")
-    return answers.mapInPandas(_marked(owners), "fp bigint").distinct()
+    """Distinct values of `fp` (bigint, >= 0) that occur more than once in `fps`, by the coded exchange.
+
+    The senders' lists are a table, so they are the same lists when the answers come back, whatever is lost in between."""
+    lists = materialise(fps.select("fp").mapInPandas(_send(owners), "sender string, owner int, n int, k int, data binary"), "dup-lists")
+    answers = lists.repartition(owners, "owner").groupBy("owner").applyInPandas(_answer, "sender string, owner int, marks binary")
+    return lists.join(answers, ["sender", "owner"]).mapInPandas(_marked(owners), "fp bigint").distinct()
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
@@ -110,7 +129,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     never chosen as keep_id unless all the copies have null ids. Only the two named columns are read, so extra columns of any
     name do no harm. An empty table gives an empty result."""
     spark = docs.sparkSession
-    owners = owners or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owners = owners or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     fp = F.xxhash64("text").bitwiseAND(F.lit((1 << FP_BITS) - 1))
     twice = materialise(duplicated_fingerprints(base.select(fp.alias("fp")), owners), "dup-fp")

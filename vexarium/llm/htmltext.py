@@ -1,12 +1,17 @@
-"""Text of web pages without the boilerplate of their host, by a suffix array over each host's pages.
+"""Text of web pages without the boilerplate of their host, by suffix arrays over each host's pages.
 
 The pages of a host are turned into token streams and concatenated, a different separator after each page. The suffix array of the
 whole (by prefix doubling, up to RUN tokens) puts equal substrings next to each other. A substring of at least RUN tokens that
-two distinct pages hold is boilerplate; all tokens it covers are removed and the runs between are kept.
+two distinct pages hold is boilerplate; all tokens it covers are removed and the runs between are kept. A repeated substring of RUN
+tokens or more is the union of its windows of RUN tokens, so suffixes need no ranks beyond their first RUN tokens.
 
-A repeated substring of RUN tokens or more is the union of its windows of RUN tokens, so it is enough to rank suffixes by their first
-RUN tokens. Hosts of more than HOST_TOKENS tokens use that: the hashes of their suffixes' first RUN tokens are spread over tasks, each
-task groups its share, and a bit for each goes back to the pages. Both ways cover the same tokens, and no host is too large.
+The bounds of blocks (navigation, footers, headings, list items, paragraphs) are in the streams too, MARKS marks each. They count in a run,
+so a short block that is repeated as a whole, from bound to bound, is boilerplate with RUN - 2 * MARKS words, while a chance
+repetition inside a paragraph needs RUN.
+
+A host's pages are one block if they have at most HOST_TOKENS tokens, else as many as they were parsed in. Each block has its suffix
+array. The arrays of a host's blocks are merged without moving texts: a block sends the fingerprints of its distinct suffix prefixes, sorted
+and Golomb coded, to the owners of their ranges, and each owner says by a bitmap which of them another block holds too.
 """
 
 from __future__ import annotations
@@ -25,18 +30,29 @@ from pyspark.sql import functions as F
 from vexarium.llm.common import BROADCAST_BYTES, Memo, materialise, maybe_broadcast, word_hash
 from vexarium.llm.exactdedup import golomb_decode, golomb_encode
 
-RUN = 12
+RUN, MARKS = 12, 4
 HOST_TOKENS = 1_500_000
+MARK = "\x1e"  # the bound of a block; no word is it, as it is white space
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>?")
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>?", re.I)
 
 
 def page_tokens(page: str | None) -> list[str]:
-    """The visible words: comments, scripts, styles and tags go, character references are resolved, white space splits."""
+    """The visible words, with a MARK between blocks: comments, scripts, styles and tags go, character references are resolved, white space splits."""
     if not page:
         return []
-    return html.unescape(_TAG.sub(" ", _DROP.sub(" ", page))).split()
+    blocks = _BLOCK.sub(MARK, _DROP.sub(" ", page)).split(MARK)
+    out: list[str] = []
+    for b in blocks:
+        w = html.unescape(_TAG.sub(" ", b)).split()
+        if w:
+            out.append(MARK)
+            out += w
+    if out:
+        out.append(MARK)
+    return out
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -59,29 +75,38 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, np.flatnonzero(np.diff(rank[order], prepend=-1))
 
 
-def covered(pages: list[np.ndarray], run: int) -> list[np.ndarray]:
-    """For each page of a host, which tokens lie in a substring of at least `run` tokens that another of the pages holds too."""
+def groups(pages: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the concatenated pages, as the flow with its separators, the order of its suffixes, where each group of those
+    that are equal in their first `run` tokens begins, and the least and largest page of each group."""
     lens = np.array([len(p) for p in pages], np.int64)
-    total = int(lens.sum())
-    out = np.zeros(total, bool)
-    if total >= run and len(pages) > 1:
-        flow = np.empty(total + len(pages), np.int64)
-        owner = np.repeat(np.arange(len(pages)), lens + 1)
-        ends = np.cumsum(lens + 1) - 1
-        mask = np.ones(len(flow), bool)
-        mask[ends] = False
-        flow[mask] = np.concatenate(pages)
-        flow[ends] = -1 - np.arange(len(pages))  # separators differ, so no match crosses one
-        order, starts = suffix_array(flow, run)
-        o = owner[order]
-        low, high = np.minimum.reduceat(o, starts), np.maximum.reduceat(o, starts)
-        sizes = np.diff(np.append(starts, len(order)))
-        hit = order[np.repeat(low != high, sizes)]
-        marks = np.zeros(len(flow) + 1, np.int64)
-        np.add.at(marks, hit, 1)
-        np.add.at(marks, np.minimum(hit + run, len(flow)), -1)
-        out = (np.cumsum(marks[:-1]) > 0)[mask]
-    return np.split(out, np.cumsum(lens)[:-1])
+    flow = np.empty(int(lens.sum()) + len(pages), np.int64)
+    owner, ends = np.repeat(np.arange(len(pages)), lens + 1), np.cumsum(lens + 1) - 1
+    mask = np.ones(len(flow), bool)
+    mask[ends] = False
+    flow[mask] = np.concatenate([np.zeros(0, np.int64), *pages])
+    flow[ends] = -1 - np.arange(len(pages))  # separators differ, so no match crosses one
+    order, starts = suffix_array(flow, run)
+    o = owner[order]
+    return flow, order, starts, np.minimum.reduceat(o, starts), np.maximum.reduceat(o, starts)
+
+
+def _cover(lens: list[int], order: np.ndarray, starts: np.ndarray, hot: np.ndarray, run: int) -> list[np.ndarray]:
+    """For each page, which tokens lie in the first `run` tokens of a suffix of a hot group."""
+    hit = order[np.repeat(hot, np.diff(np.append(starts, len(order))))]
+    marks = np.zeros(len(order) + 1, np.int64)
+    np.add.at(marks, hit, 1)
+    np.add.at(marks, np.minimum(hit + run, len(order)), -1)
+    out = np.cumsum(marks[:-1]) > 0
+    ends = np.cumsum(np.array(lens, np.int64) + 1)
+    return [out[e - n - 1 : e - 1] for n, e in zip(lens, ends)]
+
+
+def covered(pages: list[np.ndarray], run: int) -> list[np.ndarray]:
+    """For each page of a block, which tokens lie in a substring of at least `run` tokens that another of the pages holds too."""
+    if len(pages) < 2:
+        return [np.zeros(len(p), bool) for p in pages]
+    _, order, starts, low, high = groups(pages, run)
+    return _cover([len(p) for p in pages], order, starts, low != high, run)
 
 
 def window_hashes(h: np.ndarray, run: int) -> np.ndarray:
@@ -96,9 +121,14 @@ def window_hashes(h: np.ndarray, run: int) -> np.ndarray:
     return (s >> np.uint64(1)).astype(np.int64)
 
 
+_MARK_HASH = np.uint64(word_hash(MARK.encode()))
+
+
 def _hashes(text: str, memo: Memo) -> np.ndarray:
+    """The stream of a page: its words' hashes, MARKS for each mark."""
     w = text.split(" ") if text else []
-    return np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+    return np.repeat(h, np.where(h == _MARK_HASH, MARKS, 1)).view(np.int64)
 
 
 def _memo() -> Memo:
@@ -106,13 +136,17 @@ def _memo() -> Memo:
 
 
 def _keep(text: str, gone: np.ndarray) -> tuple[str, int, int]:
-    """The kept runs joined by line feeds, the number of kept tokens and of all."""
+    """The kept runs joined by line feeds, the number of kept words and of all; `gone` is by the stream's tokens."""
     w = text.split(" ") if text else []
-    stay = np.flatnonzero(~gone)
+    mark = np.fromiter((x == MARK for x in w), bool, len(w))
+    width = np.where(mark, MARKS, 1)
+    out = gone[np.cumsum(width) - width] if len(w) else np.zeros(0, bool)
+    words_ = [x for x in w if x != MARK]
+    stay = np.flatnonzero(~out[~mark])
     if not len(stay):
-        return "", 0, len(w)
+        return "", 0, len(words_)
     runs = np.split(stay, np.flatnonzero(np.diff(stay) > 1) + 1)
-    return "\n".join(" ".join(w[r[0] : r[-1] + 1]) for r in runs), len(stay), len(w)
+    return "\n".join(" ".join(words_[r[0] : r[-1] + 1]) for r in runs), len(stay), len(words_)
 
 
 def _pack(texts: list[str]) -> bytes:
@@ -124,21 +158,22 @@ def _unpack(blob: bytes) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(blob).decode("utf-8").split("\n")
 
 
-def _windows(texts: list[str], run: int, memo: Memo) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each page's window hashes, the distinct ones of all the pages in order, and which of those two of the pages hold."""
-    each = [window_hashes(_hashes(t, memo), run) for t in texts]
-    h = np.concatenate(each)
-    owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    order = np.argsort(h, kind="stable")
-    distinct, starts = np.unique(h[order], return_index=True)
-    if not len(distinct):
-        return each, distinct, np.zeros(0, bool)
-    o = owner[order]
-    return each, distinct, np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)
+def _prefixes(texts: list[str], run: int, memo: Memo) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's suffix array: the lengths of its pages, the order, the groups' starts, each group's fingerprint (that of the first `run` tokens
+    of its suffixes; -1 if a page ends before) and whether two of the block's pages hold it."""
+    pages = [_hashes(t, memo) for t in texts]
+    lens = [len(p) for p in pages]
+    flow, order, starts, low, high = groups(pages, run)
+    at = order[starts]
+    last = np.repeat(np.cumsum(np.array(lens, np.int64) + 1) - 1, np.array(lens, np.int64) + 1)
+    h = np.full(len(flow), -1, np.int64)
+    w = window_hashes(flow.view(np.uint64), run)
+    h[: len(w)] = w
+    return lens, order, starts, np.where(at + run <= last[at], h[at], -1), low != high
 
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each list of a bucket: which of its hashes another list holds too, or two pages behind one list."""
+    """The merge of the blocks' suffix prefixes in a bucket: which of each block's another block holds too, or two pages of one block."""
     lists = [golomb_decode(d, n, k) for d, n, k in zip(pdf["data"], pdf["n"], pdf["k"])]
     twice = [np.unpackbits(np.frombuffer(m, np.uint8))[:n].astype(bool) for m, n in zip(pdf["twice"], pdf["n"])]
     every = np.sort(np.concatenate(lists))
@@ -158,9 +193,17 @@ def extract(pages: DataFrame, run: int = RUN, host_tokens: int = HOST_TOKENS, id
         for pdf in batches:
             rows = []
             for host_, part in pdf.groupby("host", sort=False):
-                words_ = [page_tokens(x) for x in part["html"]]
-                ids = [None if i is pd.NA else int(i) for i in part["page_id"].astype("Int64")]
-                rows.append((host_, uuid.uuid4().hex, ids, sum(map(len, words_)), _pack([" ".join(w) for w in words_])))
+                ids, texts, n = [], [], 0
+                for i, x in zip(part["page_id"].astype("Int64"), part["html"]):
+                    w = page_tokens(x)
+                    ids.append(None if i is pd.NA else int(i))
+                    texts.append(" ".join(w))
+                    n += len(w)
+                    if n >= host_tokens:
+                        rows.append((host_, uuid.uuid4().hex, ids, n, _pack(texts)))
+                        ids, texts, n = [], [], 0
+                if ids:
+                    rows.append((host_, uuid.uuid4().hex, ids, n, _pack(texts)))
             yield pd.DataFrame(rows, columns=["host", "chunk", "ids", "n", "pages"])
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -175,15 +218,15 @@ def extract(pages: DataFrame, run: int = RUN, host_tokens: int = HOST_TOKENS, id
         memo = _memo()
         ids = [None if i is None or i != i else int(i) for x in pdf["ids"] for i in x]
         texts = [t for x in pdf["pages"] for t in _unpack(x)]
-        gone = covered([_hashes(t, memo).view(np.int64) & 0x7FFFFFFFFFFFFFFF for t in texts], run)
+        gone = covered([_hashes(t, memo) for t in texts], run)
         rows = [(i, pdf["host"].iloc[0], *_keep(t, g)) for i, t, g in zip(ids, texts, gone)]
         return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
 
     small = parsed.join(few, "host", "left_anti").groupBy("host").applyInPandas(by_host, out)
     if large.isEmpty():
         return small
-    # Large hosts: each chunk of pages sends the distinct hashes of its suffixes' first `run` tokens, sorted and Golomb coded, to the
-    # owners of their ranges, and gets a bit for each back. Neither texts nor positions move.
+    # Hosts of several blocks: each block sends the fingerprints of its distinct suffix prefixes to the owners of their ranges, and gets a bit
+    # for each back. Neither texts nor positions move.
     big = parsed.join(few, "host", "left_semi")
     buckets = max(2, 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = (1 << 63) // buckets + 1
@@ -192,7 +235,9 @@ def extract(pages: DataFrame, run: int = RUN, host_tokens: int = HOST_TOKENS, id
         memo = _memo()
         for pdf in batches:
             for host_, chunk, blob in zip(pdf["host"], pdf["chunk"], pdf["pages"]):
-                _, h, two = _windows(_unpack(blob), run, memo)
+                _, _, _, h, two = _prefixes(_unpack(blob), run, memo)
+                order = np.argsort(h, kind="stable")[np.count_nonzero(h < 0) :]
+                h, two = h[order], two[order]
                 edges = np.append(np.searchsorted(h, np.array([b * width for b in range(buckets)], np.int64)), len(h))
                 rows = []
                 for b in np.flatnonzero(np.diff(edges)):
@@ -211,16 +256,12 @@ def extract(pages: DataFrame, run: int = RUN, host_tokens: int = HOST_TOKENS, id
             rows = []
             for host_, ids, blob, answer in zip(pdf["host"], pdf["ids"], pdf["pages"], pdf["marks"]):
                 texts = _unpack(blob)
-                each, distinct, _ = _windows(texts, run, memo)
+                lens, order, starts, h, _ = _prefixes(texts, run, memo)
                 bits = [np.unpackbits(np.frombuffer(m["marks"], np.uint8))[: m["n"]] for m in (answer if answer is not None else [])]
-                hot = np.concatenate([np.zeros(0, np.uint8), *bits])
-                for i, t, h in zip(ids, texts, each):
-                    n = t.count(" ") + 1 if t else 0
-                    step = np.zeros(n + run, np.int64)
-                    at = np.flatnonzero(hot[np.searchsorted(distinct, h)])
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + run, -1)
-                    rows.append((None if i is None or i != i else int(i), host_, *_keep(t, np.cumsum(step[:n]) > 0)))
+                hot = np.zeros(len(h), bool)
+                hot[np.argsort(h, kind="stable")[np.count_nonzero(h < 0) :]] = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+                for i, t, gone in zip(ids, texts, _cover(lens, order, starts, hot, run)):
+                    rows.append((None if i is None or i != i else int(i), host_, *_keep(t, gone)))
             yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
 
     answered = answers.agg(F.coalesce(F.sum(F.expr("aggregate(marks, 0L, (a, m) -> a + length(m.marks) + 40)")), F.lit(0))).first()[0]

@@ -89,11 +89,11 @@ _NUMBERS = _set("order invoice bestellung commande pedido sku serial tracking is
 KINDS = (
     # The local part is found backwards from the @, so a text without one costs a single search.
     Kind("email", re.compile(r"@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9@-])"), 0.8, _email, _set("email mail contact e-mail correo courriel kontakt write"), _set("")),
-    Kind("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"), 0.6, _card, _set("card credit visa mastercard amex debit karte kreditkarte carte tarjeta payment cvv expiry"), _NUMBERS),
-    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.85, _iban, _set("iban account konto compte cuenta bank transfer"), _set("")),
-    Kind("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), 0.55, _phone, _set("phone tel telephone call fax mobile cell telefon téléphone teléfono handy whatsapp"), _NUMBERS),
-    Kind("ipv4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), 0.55, _ipv4, _set("ip address host server login client remote addr"), _set("version build release section v rev")),
-    Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), 0.5, _ssn, _set("ssn social security sozialversicherung"), _NUMBERS),
+    Kind("card", re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])"), 0.6, _card, _set("card credit visa mastercard amex debit karte kreditkarte carte tarjeta payment cvv expiry"), _NUMBERS),
+    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.85, _iban, _set("iban account konto compte cuenta bank transfer"), _set("")),
+    Kind("phone", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-]|\.[0-9])"), 0.55, _phone, _set("phone tel telephone call fax mobile cell telefon téléphone teléfono handy whatsapp"), _NUMBERS),
+    Kind("ipv4", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), 0.55, _ipv4, _set("ip address host server login client remote addr"), _set("version build release section v rev")),
+    Kind("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), 0.5, _ssn, _set("ssn social security sozialversicherung"), _NUMBERS),
 )
 _LOCAL = re.compile(r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]{1,64}\Z")
 
@@ -103,8 +103,9 @@ def _proposals(kind: Kind, text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@")
         while at >= 0:
             left, right = _LOCAL.search(text[max(0, at - 64) : at]), kind.pattern.match(text, at)
-            if left and right and left.group().strip("."):
-                yield at - len(left.group().lstrip(".'`*")), right.end()
+            local = left.group().lstrip(".'`*") if left and right else ""
+            if local:
+                yield at - len(local), right.end()
             at = text.find("@", at + 1)
     else:
         for m in kind.pattern.finditer(text):
@@ -159,7 +160,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, with each span of personal data replaced by its kind in angle brackets; nulls stay null."""
+    """The rows of `docs`, all columns, with each span of personal data replaced by its kind in angle brackets.
+
+    Null texts stay null, empty ones empty; null ids, repeated rows and further columns of any name are carried along. An empty table gives
+    an empty result. Texts are read whole."""
 
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:

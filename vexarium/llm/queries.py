@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vexarium.llm import decontam, exactdedup, htmltext, lmscore, mixing, neardup, pii, secretscan, tokenout, toxicity
-from vexarium.llm.common import table
+from vexarium.llm.common import shared_dir, table
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.scan_versions(table(spark, sf_dir, "documents"))
+    """The findings in all versions, over a ledger of this run's own in the shared folder: the rules that were known first are scanned and
+    recorded, then all the rules, of which the ledger leaves the new ones to scan."""
+    versions, ledger = table(spark, sf_dir, "documents"), secretscan.Ledger(spark, os.path.join(shared_dir(spark), f"vexarium-ledger-{uuid.uuid4().hex}"))
+    secretscan.record(versions, ledger, secretscan.RULES[: secretscan.FIRST])
+    return secretscan.scan_versions(versions, ledger)
 
 
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,8 @@ RULES = (
     Rule("token_assignment", 1, ("token", "secret", "api_key", "apikey", "api-key"), r"(?i)(?<![a-z0-9])(?:token|secret|api[_-]?key)[\"']? ?[:=] ?[\"']?([A-Za-z0-9+/_=-]{16,})", True, 3.0),
     Rule("password_assignment", 1, ("password", "passwd", "pwd"), r"(?i)(?<![a-z0-9])(?:password|passwd|pwd)[\"']? ?[:=] ?[\"']?([^\s\"']{6,})", True),
 )
+#: So many of the rules were known first; the registered query records them before it scans by all.
+FIRST = 6
 
 
 def entropy(s: str) -> float:
@@ -97,16 +99,13 @@ class Ledger:
         scanned.write.mode("append").parquet(os.path.join(self.path, "scanned"))
 
 
-def scan_versions(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", path_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, path, blob_id, rule_id, rule_version, start, end, secret_digest) for every version that holds a finding.
+def _named(versions: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
+    return versions.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
 
-    Null texts have no blob; empty texts have one, without findings. Repeated rows give repeated rows. Null ids and paths are
-    carried along. Extra columns aren't read. An empty table gives an empty result. Offsets are in characters; texts are scanned
-    whole. Without a ledger everything is unseen; with one, unseen pairs are scanned and appended, and known findings are joined."""
-    spark = versions.sparkSession
-    text = F.col(text_col).cast("string")
-    named = versions.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(path_col).cast("string").alias("path"), text.alias("text")).filter("text is not null")
-    blobs = materialise(named.select("doc_id", "path", F.sha2("text", 256).alias("blob_id")), "blob-paths")
+
+def _scan(named: DataFrame, blobs: DataFrame, ledger: Ledger | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """The findings of the unseen pairs of the blobs, and those pairs as (blob_id, rule_id, rule_version); both are tables."""
+    spark = named.sparkSession
     current = spark.createDataFrame([(r.rule_id, r.version) for r in rules], "rule_id string, rule_version int")
     everything = sorted(r.rule_id for r in rules)
     # The head of a blob is its least id; only the head's text is scanned.
@@ -114,8 +113,10 @@ def scan_versions(versions: DataFrame, ledger: Ledger | None = None, rules: tupl
     if ledger is None:
         todo = heads.withColumn("todo", F.array(*map(F.lit, everything)))
     else:
-        pairs = heads.crossJoin(F.broadcast(current)).join(ledger.scanned(), ["blob_id", "rule_id", "rule_version"], "left_anti")
-        todo = pairs.groupBy("blob_id", "head").agg(F.sort_array(F.collect_set("rule_id")).alias("todo"))
+        # One row for each blob on both sides: what is seen is folded to an array of rules first.
+        seen = ledger.scanned().join(F.broadcast(current), ["rule_id", "rule_version"], "left_semi").groupBy("blob_id").agg(F.collect_set("rule_id").alias("seen"))
+        left = F.array_except(F.array(*map(F.lit, everything)), F.coalesce("seen", F.array().cast("array<string>")))
+        todo = heads.join(seen, "blob_id", "left").select("blob_id", "head", F.sort_array(left).alias("todo")).filter("size(todo) > 0")
     todo = materialise(todo, "blob-todo")
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,13 +130,33 @@ def scan_versions(versions: DataFrame, ledger: Ledger | None = None, rules: tupl
         source = texts.join(F.broadcast(todo), "blob_id").filter(F.col("doc_id").eqNullSafe(F.col("head")))
     else:
         skip = materialise(blobs.join(todo, "blob_id", "left").filter("todo is null OR doc_id <> head").select("doc_id", "blob_id").distinct(), "blob-skip")
-        partly = todo.filter(F.size("todo") < len(everything)).isEmpty() is False
-        if not partly and rows_within(skip, 120):  # nearly everything is unseen
-            source = texts.join(F.broadcast(skip), ["doc_id", "blob_id"], "left_anti").withColumn("todo", F.array(*map(F.lit, everything)))
+        sets = todo.select("todo").distinct().limit(2).collect()
+        if len(sets) == 1 and rows_within(skip, 120):  # nearly every blob is unseen, by the same rules
+            source = texts.join(F.broadcast(skip), ["doc_id", "blob_id"], "left_anti").withColumn("todo", F.array(*map(F.lit, sets[0]["todo"])))
         else:
             source = texts.join(todo.hint("shuffle_hash"), "blob_id").filter(F.col("doc_id").eqNullSafe(F.col("head")))
     fresh = materialise(source.select("blob_id", "todo", "text").mapInPandas(f, FINDING).distinct(), "blob-findings")
+    return fresh, todo.select("blob_id", F.explode("todo").alias("rule_id")).join(F.broadcast(current), "rule_id").select("blob_id", "rule_id", "rule_version")
+
+
+def record(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", path_col: str = "source", text_col: str = "text") -> None:
+    """Scan what the ledger hasn't seen of `versions` and append it; the rows of scan_versions hold here too."""
+    named = _named(versions, id_col, path_col, text_col)
+    blobs = materialise(named.select("doc_id", "path", F.sha2("text", 256).alias("blob_id")), "blob-paths")
+    ledger.append(*_scan(named, blobs, ledger, rules))
+
+
+def scan_versions(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", path_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(doc_id, path, blob_id, rule_id, rule_version, start, end, secret_digest) for every version that holds a finding.
+
+    Null texts have no blob; empty texts have one, without findings. Repeated rows give repeated rows. Null ids and paths are
+    carried along. Extra columns aren't read. An empty table gives an empty result. Offsets are in characters; texts are scanned
+    whole. Without a ledger everything is unseen; with one, unseen pairs are scanned and appended, and known findings are joined."""
+    named = _named(versions, id_col, path_col, text_col)
+    blobs = materialise(named.select("doc_id", "path", F.sha2("text", 256).alias("blob_id")), "blob-paths")
+    fresh, pairs = _scan(named, blobs, ledger, rules)
     if ledger is not None:
-        ledger.append(fresh, todo.select("blob_id", F.explode("todo").alias("rule_id")).join(F.broadcast(current), "rule_id").select("blob_id", "rule_id", "rule_version"))
+        ledger.append(fresh, pairs)
+        current = versions.sparkSession.createDataFrame([(r.rule_id, r.version) for r in rules], "rule_id string, rule_version int")
         fresh = ledger.findings().join(F.broadcast(current), ["rule_id", "rule_version"], "left_semi")
     return blobs.join(fresh, "blob_id").select("doc_id", "path", "blob_id", "rule_id", "rule_version", "start", "end", "secret_digest")
