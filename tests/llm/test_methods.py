@@ -58,14 +58,15 @@ def test_the_exchange_finds_all_repeats(spark, owners, monkeypatch):
     assert sorted(r[0] for r in got.collect()) == sorted(v for v in set(values) if values.count(v) > 1)
 
 
-def test_hamming_join_is_complete(spark):
+@pytest.mark.parametrize("bucket", [neardup.BUCKET, 3])
+def test_hamming_join_is_complete(spark, bucket):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 16, (20, 32), dtype=np.uint16)
     sigs = [s for b in base for s in (b, *[np.where(rng.random(32) < p, rng.integers(0, 1 << 16, 32), b).astype(np.uint16) for p in (0.1, 0.3, 0.45, 0.5, 0.6)])]
     table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "id bigint, sig binary")
     want = {(i, j, int(d)) for i, j in itertools.combinations(range(len(sigs)), 2) if (d := (sigs[i] != sigs[j]).sum()) <= neardup.R}
-    assert {tuple(r) for r in neardup.hamming_pairs(table).collect()} == want
-    groups = neardup.components(neardup.hamming_pairs(table, forest=True)).collect()
+    assert {tuple(r) for r in neardup.hamming_pairs(table, bucket=bucket).collect()} == want
+    groups = neardup.components(neardup.hamming_pairs(table, forest=True, bucket=bucket)).collect()
     parent = list(range(len(sigs)))
 
     def root(x):
@@ -109,6 +110,13 @@ def test_a_shared_passage_makes_no_near_copies(spark):
     assert {tuple(r) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {(5001, 5000)}
 
 
+def test_a_copy_shares_its_id_with_another_text(spark):
+    rng = random.Random(15)
+    w, other = prose(100, rng), prose(100, rng)
+    docs = spark.createDataFrame([(1, w), (2, w + " extra"), (2, other), (1, w)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in neardup.keep_one(docs).collect()) == sorted([(1, w), (1, w), (2, other)])
+
+
 def test_members_are_held_against_the_kept_document(spark):
     grams = {1: range(0, 100), 2: range(30, 130), 3: range(60, 160), 4: range(62, 162)}
     sets = spark.createDataFrame([(i, bytearray(np.array(g, np.uint32).tobytes())) for i, g in grams.items()], "id bigint, grams binary")

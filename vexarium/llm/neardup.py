@@ -8,11 +8,13 @@ components, by pigeonhole some chunk holds at most e = R // CHUNKS of the differ
 enumerated: for every choice of e of its components to leave out, the rest of the chunk is a key. So two signatures within R
 share at least one key, whatever values the differing components take, and every pair that shares a key is compared in full.
 
-A pair within R is only a candidate: it becomes an edge if the two sets of bigrams share LEAST of their union, counted over 32-bit hashes
-of all bigrams. Groups are the connected components of the edges, and a member of a group goes only if it shares as much with the
-document that is kept for it; members too far from the least id of their group are grouped among themselves. Equal signatures are collapsed before the join, and each bucket
-of a key yields a spanning forest of its edges rather than the pairs themselves: the components are the same and
-the output stays linear however large the bucket.
+A pair within R is only a candidate: it becomes an edge if a longer signature, of LONG components, agrees in LEAST of them. Groups are the
+connected components of the edges, and a member of a group goes only if its set of bigrams, by 32-bit hashes of all of them, shares LEAST
+of the union with that of the document that is kept for it; members too far from the least id of their group are grouped among themselves.
+
+Equal signatures are collapsed before the join, and each bucket of a key yields a spanning forest of its edges rather than the pairs
+themselves: the components are the same and the output stays linear however large the bucket. A bucket of more than BUCKET signatures
+is cut into blocks, and each two of them are searched by a task of their own, so no task holds more than twice BUCKET.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexarium.llm.common import Memo, materialise, maybe_broadcast, word_hash, words
 
 K, B, CHUNKS, R = 32, 16, 8, 15
 LEAST = 0.5  # the Jaccard similarity of near copies
+LONG, BUCKET = 128, 4096
 
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1 << 31, size=256, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -113,18 +116,20 @@ def sig_keys(sigs: list[bytes], k: int, chunks: int, radius: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bucket_forest(ids: np.ndarray, sigs: np.ndarray, radius: int, grams: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the graph of all pairs within `radius`, and with `grams` LEAST alike: every member is searched for its unreached neighbours."""
+def bucket_forest(ids: np.ndarray, sigs: np.ndarray, radius: int, k: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of all pairs within `radius` in their first k components that agree in LEAST of the others beyond, if there
+    are any: every member is searched for its unreached neighbours."""
+    k = sigs.shape[1] if k is None else k
     left = np.arange(len(ids))
     edges = []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = (sigs[left] != sigs[at]).sum(axis=1) <= radius
-            if grams is not None:
+            near = (sigs[left, :k] != sigs[at, :k]).sum(axis=1) <= radius
+            if sigs.shape[1] > k:
                 hit = np.flatnonzero(near)
-                near[hit] = [jaccard(grams[at], grams[x]) >= LEAST for x in left[hit]]
+                near[hit] = (sigs[left[hit]] == sigs[at]).sum(axis=1) >= LEAST * sigs.shape[1]
             hit = left[near]
             edges += [(int(ids[at]), int(x)) for x in ids[hit]]
             queue += list(hit)
@@ -132,11 +137,11 @@ def bucket_forest(ids: np.ndarray, sigs: np.ndarray, radius: int, grams: list[np
     return edges
 
 
-def hamming_pairs(sig_table: DataFrame, k: int = K, chunks: int = CHUNKS, radius: int = R, forest: bool = False, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def hamming_pairs(sig_table: DataFrame, k: int = K, chunks: int = CHUNKS, radius: int = R, forest: bool = False, longer: Callable[[DataFrame], DataFrame] | None = None, bucket: int = BUCKET) -> DataFrame:
     """From (id bigint, sig binary), the pairs (a, b, dist) with a < b and at most `radius` differing components.
 
     All such pairs, each once, with forest=False. With forest=True, edges that connect the same components.
-    `confirm` gives (id, sig, grams) for a table of ids; the forest then holds pairs LEAST alike only."""
+    `longer` gives (id, sig) with longer signatures for a table of ids; the forest then holds pairs that agree in LEAST of those."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -145,27 +150,36 @@ def hamming_pairs(sig_table: DataFrame, k: int = K, chunks: int = CHUNKS, radius
                 m = sig_keys(list(part["sig"]), k, chunks, radius)
                 yield pd.DataFrame({"key": m.ravel(), "id": np.repeat(part["id"].to_numpy(), m.shape[1])})
 
-    # Ids alone are shuffled by key; signatures are fetched only for the ids of buckets with company, and equal buckets once.
-    buckets = sig_table.mapInPandas(keys, "key bigint, id bigint").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
-    buckets = materialise(buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")), "near-buckets")
-    members = buckets.join(sig_table if confirm is None else confirm(buckets.select("id").distinct()), "id")
-
-    exact = confirm is not None
+    # Ids alone are shuffled by key; signatures are fetched only for the ids of buckets with company. Equal buckets, known by the number and
+    # hashes of their ids, are one. No bucket is gathered: it is counted by a window, which spills.
+    own = Window.partitionBy("key")
+    h = F.xxhash64("id")
+    keyed = sig_table.mapInPandas(keys, "key bigint, id bigint").select("id", F.count("*").over(own).alias("n"), F.bit_xor(h).over(own).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(own).alias("s"))
+    member = keyed.filter("n > 1").select(F.xxhash64("n", "x", "s").alias("bucket"), "n", "id").distinct()
+    # The block of an id in its bucket, and the cells (pairs of blocks) that it is searched in.
+    blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
+    mine = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
+    buckets = materialise(member.select("bucket", "id", F.explode(cells).alias("cell")).select("bucket", "cell.i", "cell.j", "id"), "near-buckets")
+    members = buckets.join(sig_table if longer is None else longer(buckets.select("id").distinct()), "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids, s = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), k)
+        ids, s = pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
+        order = np.argsort(ids)
+        ids, s = ids[order], s[order]
         if forest:
-            e = bucket_forest(ids, s, radius, [np.frombuffer(x, np.uint32) for x in pdf["grams"]] if exact else None)
-            return pd.DataFrame(e, columns=["a", "b"]).assign(dist=0) if e else pd.DataFrame({"a": [], "b": [], "dist": []}).astype(int)
-        out = []
+            e = np.array(bucket_forest(ids, s, radius, k), np.int64).reshape(-1, 2)
+            return pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "dist": 0})
+        out = [pd.DataFrame({"a": [], "b": [], "dist": []}).astype(int)]
         for i in range(len(ids) - 1):
             d = (s[i + 1 :] != s[i]).sum(axis=1)
             near = np.flatnonzero(d <= radius)
             out.append(pd.DataFrame({"a": ids[i], "b": ids[i + 1 :][near], "dist": d[near]}))
         return pd.concat(out)
 
-    return members.groupBy("bucket").applyInPandas(compare, "a bigint, b bigint, dist int").distinct()
+    # A number of its own keeps the buckets, small in bytes but not in work, from being joined into few tasks.
+    parts = int(sig_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint, dist int").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,42 +236,56 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows collapse: an id has one row at most, and rows that share the id to keep aren't told apart. Null ids, null texts and
     texts without a word (empty, blank, punctuation) are never grouped. Extra columns are not read. An empty table gives an
     empty result. Texts of any length are read whole."""
+    return _grouped(docs, id_col, text_col, k, chunks, radius).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, chunks: int, radius: int) -> DataFrame:
+    """(doc_id, dkey, keep_id), dkey being a hash of the text, for each row that is a near copy and not the one to keep."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(word_hash)
         for pdf in batches:
             sigs = signatures(list(pdf["text"]), k, memo)
             keep = [i for i, s in enumerate(sigs) if s is not None]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[keep], "sig": [sigs[i] for i in keep]})
-
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    signed = materialise(base.mapInPandas(sign, "doc_id bigint, sig binary"), "near-sigs")
-    # Each distinct signature once, under its least id.
-    heads = materialise(signed.groupBy("sig").agg(F.min("doc_id").alias("id")), "near-heads")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[keep], "dkey": pdf["dkey"].to_numpy()[keep], "sig": [sigs[i] for i in keep]})
+
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("dkey", F.xxhash64("text"))
+    signed = materialise(base.mapInPandas(sign, "doc_id bigint, dkey bigint, sig binary"), "near-sigs")
+    # Each distinct signature once, under its least id; further signatures of an id get numbers far above all ids.
+    heads = signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    nth, far = F.row_number().over(Window.partitionBy("doc_id").orderBy("sig")), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "sig"), 2)
+    heads = materialise(heads.select("sig", "doc_id", F.when(nth == 1, F.col("doc_id")).otherwise(far).alias("id")), "near-heads")
     sets: list[DataFrame] = []
 
     def with_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(word_hash)
         for pdf in batches:
-            sigs, grams = signatures(list(pdf["text"]), k, memo), [np.unique(bigrams(t, memo)).tobytes() for t in pdf["text"]]
-            keep = [i for i, s in enumerate(sigs) if s is not None]
-            yield pd.DataFrame({"id": pdf["doc_id"].to_numpy()[keep], "sig": [sigs[i] for i in keep], "grams": [grams[i] for i in keep]})
+            for at in range(0, len(pdf), 1000):  # batches stay small, as sets are as long as their texts
+                part = pdf.iloc[at : at + 1000]
+                sigs, grams = signatures(list(part["text"]), max(k, LONG), memo), [np.unique(bigrams(t, memo)).tobytes() for t in part["text"]]
+                keep = [i for i, s in enumerate(sigs) if s is not None]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[keep], "sig": [sigs[i][: 2 * k] for i in keep], "long": [sigs[i] for i in keep], "grams": [grams[i] for i in keep]})
 
     def fetch(ids: DataFrame) -> DataFrame:
-        # Bigrams of the candidates alone; an id of several texts has one of them.
-        own = base.join(maybe_broadcast(materialise(ids.select(F.col("id").alias("doc_id")), "near-wanted"), 16), "doc_id", "left_semi")
-        own = own.mapInPandas(with_grams, "id bigint, sig binary, grams binary").join(heads, ["id", "sig"], "left_semi")
-        sets.append(materialise(own.groupBy("id").agg(F.min(F.struct("sig", "grams")).alias("x")).select("id", "x.sig", "x.grams"), "near-grams"))
-        return sets[0]
-
-    roots = components(hamming_pairs(heads, k, chunks, radius, forest=True, confirm=fetch))
+        # Bigrams of the candidates alone.
+        wanted = materialise(heads.join(ids, "id", "left_semi").select("doc_id").distinct(), "near-wanted")
+        own = base.select("doc_id", "text").join(maybe_broadcast(wanted, 16), "doc_id", "left_semi")
+        own = own.mapInPandas(with_grams, "doc_id bigint, sig binary, long binary, grams binary").join(heads, ["doc_id", "sig"])
+        sets.append(materialise(own.groupBy("id").agg(F.min(F.struct("sig", "long", "grams")).alias("x")).select("id", "x.long", "x.grams"), "near-grams"))
+        return sets[0].select("id", F.col("long").alias("sig"))
+
+    roots = components(hamming_pairs(heads.select("id", "sig"), k, chunks, radius, forest=True, longer=fetch))
     roots = confirmed(roots, sets[0].select("id", "grams"))
-    final = heads.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("keep_id"))
-    return signed.join(final, "sig").filter("doc_id <> keep_id").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
+    kept = roots.join(heads.select(F.col("id").alias("root"), F.col("doc_id").alias("keep_id")), "root").select("id", "keep_id")
+    final = heads.join(kept, "id", "left").select("sig", F.coalesce("keep_id", "doc_id").alias("keep_id"))
+    return signed.join(final, "sig").filter("doc_id <> keep_id").select("doc_id", "dkey", "keep_id")
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, chunks: int = CHUNKS, radius: int = R) -> DataFrame:
+    """The rows of `docs`, all columns, without the near copies that near_groups finds; rows that were not grouped stay.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **params: int) -> DataFrame:
-    """The rows of `docs`, all columns, without the near copies that near_groups finds; rows that were not grouped stay."""
-    gone = materialise(near_groups(docs, id_col, **params).select(F.col("doc_id").alias("_gone")), "near-gone")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("_gone"))
-    return keyed.join(maybe_broadcast(gone, 16), "_gone", "left_anti").select("row.*")
+    A row goes by its id and its own text, so another text under the same id stays. Null ids, null texts and texts without a word stay,
+    rows that repeat the one to keep stay with it, columns of any name are carried along, and an empty table gives an empty result."""
+    gone = materialise(_grouped(docs, id_col, text_col, k, chunks, radius).select(F.col("doc_id").alias("_gone"), F.col("dkey").alias("_key")).distinct(), "near-gone")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("_gone"), F.xxhash64(F.col(text_col).cast("string")).alias("_key"))
+    return keyed.join(maybe_broadcast(gone, 32), ["_gone", "_key"], "left_anti").select("row.*")
