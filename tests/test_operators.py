@@ -302,3 +302,76 @@ def test_classifiers(spark):
     got = features.VotingClassifier.fit(d, ("NB", "LR", "DT")).predict(d)
     best = {r["doc_id"]: r["label"] for r in got.filter("p > 0.5").collect()}
     assert all(best[i] == y for i, _, y in rows)
+
+
+# ---------------------------------------------------------------- word rules against the loops they stand for
+
+
+def loop_rules(rows, titles, near=30, reach=41):
+    """rows of one document: dicts in order; the two passes word by word, with what each changes for the next."""
+    words = [r["word"] for r in rows]
+    kind, conf = [r["kind"] for r in rows], [r["confidence"] for r in rows]
+    titles = [t.lower().split() for t in titles]
+
+    def fits(i):
+        low, found = words[i].lower(), False
+        for t in titles:
+            if low not in t:
+                continue
+            k = t.index(low)
+            if len(t) == 1:
+                found = True
+                continue
+            if k < len(t) - 1 and i + 1 < len(words) and words[i + 1].lower() == t[k + 1]:
+                kind[i + 1], conf[i + 1], found = "NAME", 1, True
+            if k > 0 and i > 0 and words[i - 1].lower() == t[k - 1]:
+                kind[i - 1], conf[i - 1], found = "NAME", 1, True
+        return found
+
+    for i, r in enumerate(rows):
+        if kind[i] == "NAME" and conf[i] < 0.9:
+            if not fits(i):
+                kind[i], conf[i] = ("OTHER", r["p_other"]) if r["p_other"] >= r["p_version"] else ("VERSION", r["p_version"])
+        elif "http" in words[i].lower():
+            kind[i] = "OTHER"
+        elif r["nnp"] and words[i].lower() not in ("the", "a", "http") and i < reach and kind[i] == "OTHER" and fits(i):
+            kind[i] = "NAME"
+    for i in range(1, len(rows) - 1):
+        if kind[i] != "NAME" and len(words[i]) > 1 and kind[i - 1] == kind[i + 1] == "NAME":
+            kind[i] = "NAME"
+    for i in range(len(rows)):
+        if kind[i] == "VERSION" and conf[i] < 0.8:
+            kind[i] = "OTHER"
+    since, prev = -1, False
+    for i, w in enumerate(words):
+        since += since >= 0
+        low = w.lower()
+        if kind[i] == "OTHER" and (any(c.isdigit() for c in low) or any(t in low for t in products.TRIGGERS)):
+            if 0 <= since <= near or prev:
+                kind[i], prev, since = "VERSION", True, -1
+        elif kind[i] == "NAME":
+            since = 0
+        elif kind[i] == "VERSION":
+            prev, since = True, -1
+        else:
+            prev = False
+    for i in range(1, len(rows) - 1):
+        if kind[i] != "VERSION" and ("and" in words[i].lower() or "or" in words[i].lower()) and kind[i - 1] == kind[i + 1] == "VERSION":
+            kind[i] = "VERSION"
+    return kind
+
+
+def test_word_rules_are_the_loops(spark):
+    rng = random.Random(4)
+    vocabulary = ["Apache", "Tomcat", "Server", "Web", "the", "http://x", "1.2", "before", "and", "or", "x", "plain", "flaw", "in", "v.2", "Vendor"]
+    titles = ["Apache Tomcat Server", "Web Server", "Tomcat", "vendor web apache", "x server x", "plain"]
+    rows, want = [], []
+    for d in range(150):
+        mine = []
+        for pos in range(1, rng.choice([1, 2, 12, 60]) + 1):
+            w = rng.choice(vocabulary)
+            mine.append({"doc_id": d, "pos": pos, "word": w, "kind": rng.choice(["NAME", "NAME", "VERSION", "OTHER", "OTHER", "OTHER"]), "confidence": rng.choice([0.5, 0.85, 0.95]), "p_version": rng.choice([0.1, 0.4, 0.85]), "p_other": rng.choice([0.2, 0.4]), "nnp": w[0].isupper()})
+        rows += mine
+        want += [(d, r["pos"], k) for r, k in zip(mine, loop_rules(mine, titles))]
+    got = products.word_rules(spark.createDataFrame(rows), spark.createDataFrame([(t,) for t in titles], "title string")).select("doc_id", "pos", "kind").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -87,11 +87,11 @@ def compare_registry(composites: DataFrame, nvd: DataFrame, mitre: DataFrame) ->
 
 
 def extract_products(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(doc_id, name, group_id, version, cpe_version) from classified words (doc_id, pos, word, kind, confidence).
+    """(doc_id, name, group_id, version) from classified words, as word_rules has them.
 
     Words become products by island, names meet dictionary groups by shared tokens, version words become ranges, and the dictionary
     says which versions they cover; a product without any gets *."""
-    found = products.product_islands(products.word_rules(words))
+    found = products.product_islands(products.word_rules(words, dictionary.select("title")))
     groups = products.match_groups(found.select("name"), products.common_title(dictionary))
     named = found.join(groups, "name").select("doc_id", "name", "group_id", F.split("versions", ";").alias("words"))
     r = named.select("doc_id", "name", "group_id", F.explode_outer(ranges("words")).alias("r")).select("doc_id", "name", "group_id", "r.kind", "r.a", "r.b")

@@ -9,7 +9,10 @@ from vexarium.functions.text import _c
 
 CPE = r"cpe:2\.3:[aho*-]:([^:]*):([^:]*):([^:]*):"
 #: Single words too generic to stand for a product.
-GENERIC_NAMES = tuple(sorted("security hub server store statistics view remote notification scripting agent generator request update network access image business accessibility release mail mobile data service runtime date safety account web driver".split(), reverse=True))
+GENERIC_NAMES = tuple(sorted("access accessibility account agent business data date driver generator hub image mail mobile network notification release remote request runtime safety scripting security server service statistics store update view web".split()))
+
+#: The digest of every tag's payload.
+PAYLOAD = "a314fc2dc663ae7a6b6bc6787594057396e6b3f569cd50fd5ddb4d1bbafd2b6a"
 
 
 def vendor(x: Column | str) -> Column:
@@ -48,9 +51,16 @@ def purl(vendor_: Column | str, product_: Column | str, version_: Column | str)
 
 
 def swid(vendor_: Column | str, product_: Column | str, version_: Column | str) -> Column:
-    """A software identification tag; the tag's id has no spaces."""
-    tag = F.regexp_replace(F.concat_ws("-", _c(vendor_), _c(product_), _c(version_)), " ", "")
-    return F.concat(F.lit('<SoftwareIdentity name="'), _c(product_), F.lit('" tagId="'), tag, F.lit('" version="'), _c(version_), F.lit('"><Entity name="'), _c(vendor_), F.lit('" role="softwareCreator"/></SoftwareIdentity>'))
+    """A software identification tag. The product has no white space in the tag's id and the file's name; a wildcard or empty version has no
+    dot before it in the id and is empty as the version, and the payload's size and digest are always the same."""
+    v, known = _c(version_), (_c(version_) != "*") & (_c(version_) != "")
+    bare = F.regexp_replace(_c(product_), r"\s+", "")
+    return F.concat(
+        F.lit('<SoftwareIdentity xmlns="http://standards.iso.org/iso/19770/-2/2015/schema.xsd" name="'), _c(product_),
+        F.lit('" tagId="'), _c(vendor_), F.lit("."), bare, F.when(known, ".").otherwise(""), v, F.lit('" version="'), F.when(known, v).otherwise(""),
+        F.lit('"><Entity name="'), _c(vendor_), F.lit('" regid="com.'), _c(vendor_), F.lit('"><Meta product="'), _c(product_), F.lit('" colloquialVersion="'), v,
+        F.lit('"/><Payload><File name="'), bare, F.lit(f'.exe" size="532712" SHA256:hash="{PAYLOAD}"/></Payload></SoftwareIdentity>'),
+    )
 
 
 def build(vendor_: Column | str, product_: Column | str, version_: Column | str) -> Column:

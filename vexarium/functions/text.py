@@ -68,8 +68,14 @@ def identifier_words(x: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(_c(x), F.lit("([A-Z][a-z]+|[a-z]+|[A-Z]+)"), 1), F.lower)
 
 
-def remove_words(words: Column, stop: list[str]) -> Column:
-    return F.filter(words, lambda w: ~w.isin(stop))
+#: Common English words without meaning of their own; a caller may pass a list of its own, such as one of a programming language's keywords.
+STOP_WORDS = tuple(
+    "a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself me more most my myself no nor not of off on once only or other ought our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up upon very was we were what when where which while who whom why with would you your yours yourself yourselves".split()
+)
+
+
+def remove_words(words: Column, stop: list[str] | tuple[str, ...] = STOP_WORDS) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*stop))
 
 
 def csv_safe(x: Column | str) -> Column:

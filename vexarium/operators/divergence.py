@@ -1,10 +1,13 @@
 """Label classification by information divergence between word histograms, and selection among scored labels.
 
-Histograms are long tables (id, term, cnt). An instance is compared with every label model; the join is on the term, and what the terms
-that a model lacks add is derived from totals, so no table of all terms for all pairs arises."""
+Histograms are long tables (id, term, cnt). All labels are compared in one pass: the model has a row for each term with the counts of all
+labels side by side, joined once to the instances on the term, and a document's sums for all labels come from one aggregate."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,6 @@ def histogram(rows: DataFrame, key: str, term: str = "term", value: str | None =
     return rows.groupBy(key, term).agg(n.cast("bigint").alias("cnt")).filter("cnt <> 0")
 
 
-
 def entropy(h: DataFrame, key: str) -> DataFrame:
     """(key, total, entropy): normalised by the log of the total; 0 where the total is 1."""
     t = h.withColumn("_t", F.sum("cnt").over(Window.partitionBy(key)))
@@ -23,43 +25,55 @@ def entropy(h: DataFrame, key: str) -> DataFrame:
     return t.groupBy(key).agg(F.first("_t").alias("total"), F.when(F.first("_t") > 1, -F.sum(p * F.log(p)) / F.log(F.first("_t"))).otherwise(0.0).alias("entropy"))
 
 
-def _pairs(inst: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc, label, term, pi, m): every instance term with its share and the model's count, or 0."""
-    i = inst.withColumn("ti", F.sum("cnt").over(Window.partitionBy("doc")))
-    labels = F.broadcast(entropy(model, "label").withColumnsRenamed({"total": "tm", "entropy": "hm"}))  # as many rows as labels
-    x = i.crossJoin(labels)
-    m = model.select("label", "term", F.col("cnt").alias("m"))
-    return x.join(m, ["label", "term"], "left").select("doc", "label", "term", "cnt", "ti", "tm", "hm", (F.col("cnt") / F.col("ti")).alias("p"), (F.coalesce("m", F.lit(0)) / F.col("tm")).alias("q"))
+def label_totals(model: DataFrame) -> list[tuple[str, float, float]]:
+    """(label, total, entropy) of a model, on the driver: as many rows as labels, from one aggregate that is combined before its shuffle."""
+    c = F.col("cnt")
+    rows = model.groupBy("label").agg(F.sum(c).alias("t"), F.sum(c * F.log(c)).alias("s")).orderBy("label").collect()
+    return [(r["label"], float(r["t"]), (math.log(r["t"]) - r["s"] / r["t"]) / math.log(r["t"]) if r["t"] > 1 else 0.0) for r in rows]
+
+
+def _compared(inst: DataFrame, model: DataFrame, name: str, value: Callable[[Column, Column, Column, float, float], Column]) -> DataFrame:
+    """(doc, label, name): for each label `value` of the instance's share p, its count, its total and the model's share q, the label's total and
+    entropy; an aggregate over a document's terms."""
+    labels = label_totals(model)
+    side = model.groupBy("term").agg(*[F.sum(F.when(F.col("label") == x, F.col("cnt"))).alias(f"m{i}") for i, (x, _, _) in enumerate(labels)])
+    i = inst.join(inst.groupBy("doc").agg(F.sum("cnt").alias("ti")), "doc").join(side, "term", "left")
+    p = F.col("cnt") / F.col("ti")
+    sums = [F.struct(F.lit(x).alias("label"), value(p, F.col("cnt"), F.col("ti"), F.coalesce(F.col(f"m{k}"), F.lit(0)) / t, t, h).alias(name)) for k, (x, t, h) in enumerate(labels)]
+    if not sums:
+        return inst.select("doc", F.lit("").alias("label"), F.lit(0.0).alias(name)).filter(F.lit(False))
+    return i.groupBy("doc").agg(F.array(*sums).alias("x")).select("doc", F.explode("x").alias("x")).select("doc", "x.label", f"x.{name}")
 
 
-def _smooth(q: Column, base: int | Column) -> Column:
-    return q * (1 - F.col("hm")) + F.col("hm") / base
+def _smooth(q: Column, h: float, base: int | Column) -> Column:
+    return q * (1 - h) + F.lit(h) / base
 
 
 def cross_entropy(inst: DataFrame, model: DataFrame, base: int | Column) -> DataFrame:
     """(doc, label, cross_entropy) with smoothed model shares; `base` is the number of features."""
-    x = _pairs(inst, model)
-    return x.groupBy("doc", "label").agg((-F.sum(F.col("p") * F.log(_smooth(F.col("q"), base)))).alias("cross_entropy"))
+    return _compared(inst, model, "cross_entropy", lambda p, c, ti, q, tm, h: -F.sum(p * F.log(_smooth(q, h, base))))
 
 
 def kl_divergence(inst: DataFrame, model: DataFrame, base: int | Column) -> DataFrame:
     """(doc, label, kl): cross entropy less the instance's entropy under the combined count."""
-    x = _pairs(inst, model)
-    both = F.col("ti") + F.col("tm")
-    s = F.col("cnt") / both
-    return x.groupBy("doc", "label").agg((-F.sum(F.col("p") * F.log(_smooth(F.col("q"), base))) + F.sum(s * F.log(s)) / F.log(F.first(both))).alias("kl"))
+
+    def value(p: Column, c: Column, ti: Column, q: Column, tm: float, h: float) -> Column:
+        s = c / (ti + tm)
+        return -F.sum(p * F.log(_smooth(q, h, base))) + F.sum(s * F.log(s)) / F.log(F.first(ti) + tm)
+
+    return _compared(inst, model, "kl", value)
 
 
 def js_divergence(inst: DataFrame, model: DataFrame, base: int | Column) -> DataFrame:
     """(doc, label, js) in bits; only the instance's half is smoothed.
 
     Of the model's half, a term that the instance lacks adds its share times log2(2), so that part is the share not joined."""
-    x = _pairs(inst, model)
-    p, q = F.col("p"), F.col("q")
-    shared = F.when(q > 0, q * F.log2(q / (0.5 * (p + q)))).otherwise(0.0)
-    sm = _smooth(q, base)
-    own = p * F.log2(p / (0.5 * (p + sm)))
-    return x.groupBy("doc", "label").agg((0.5 * (F.sum(shared) + (1 - F.sum(q)) + F.sum(own))).alias("js"))
+
+    def value(p: Column, c: Column, ti: Column, q: Column, tm: float, h: float) -> Column:
+        shared = F.when(q > 0, q * F.log2(q / (0.5 * (p + q)))).otherwise(0.0)
+        return 0.5 * (F.sum(shared) + (1 - F.sum(q)) + F.sum(p * F.log2(p / (0.5 * (p + _smooth(q, h, base))))))
+
+    return _compared(inst, model, "js", value)
 
 
 def confidences(scores: DataFrame, value: str) -> DataFrame:

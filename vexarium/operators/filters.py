@@ -61,13 +61,14 @@ def mark_unevaluated(raw: DataFrame) -> DataFrame:
 def filter_classes(raw: DataFrame, names: Sequence[str] = LOCAL, by_cve: bool = False) -> DataFrame:
     """`raw` with `new_status`: the verdict on one sample of each class of equal trimmed descriptions holds for all of it.
 
-    The sample is the row of the least id. by_cve keeps classes within a vulnerability. Verdicts are found before the join back,
-    so a filter sees each distinct text once; the class key is a hash of the text and the text itself stays where it is."""
+    The sample is the row of the least id. by_cve keeps classes within a vulnerability. A row's verdict needs nothing but the row, so each
+    class takes the verdict of its sample by one aggregate, combined before the shuffle; of a blank or template text that a third of the rows
+    share, a task sends one row. The verdicts are joined back by the class, a hash, which adaptive execution broadcasts if they are few and
+    splits where a class is large."""
     keyed = raw.withColumn("_class", F.sha2(jtrim("raw_description"), 256))
     key = ["_class", "cve_id"] if by_cve else ["_class"]
-    w = Window.partitionBy(*key)
-    sample = F.min_by(F.struct("status", "source_type", next_status(names).alias("verdict")), "raw_description_id").over(w)
-    return keyed.withColumn("new_status", sample["verdict"]).drop("_class")
+    verdicts = keyed.groupBy(*key).agg(F.min_by(next_status(names), "raw_description_id").alias("new_status"))
+    return keyed.alias("r").join(verdicts.alias("v"), [F.col(f"r.{k}").eqNullSafe(F.col(f"v.{k}")) for k in key], "left").select("r.*", "v.new_status").drop("_class")
 
 
 def run_counts(filtered: DataFrame) -> DataFrame:

@@ -58,33 +58,40 @@ RULES = (
     Rule("generic", ("redhat", "security")),
     Rule("bosch", ("bosch", "security-advisories"), rows="h3"),
     Rule("google_cloud", ("cloud.google", "bulletins"), rows="tr"),
-    Rule("ampere", ("amperecomputing.com/products/product-security",), rows="tr"),
-    *(Rule(n, (f,), rows="tr") for n, f in (("android", "android"), ("cyberark", "cyberark"), ("pandora", "pandorafms"), ("trend_micro", "zerodayinitiative"), ("nvidia_table", "nvidia"))),
-    *(Rule(n, (f,), rows="h3") for n, f in (("autodesk", "autodesk"), ("trustwave", "trustwave"), ("intel", "intel"), ("mozilla", "mozilla"))),
-    Rule("abb", ("abb.com",), "", ("Summary",), ("Date",)),
-    Rule("acronis", ("acronis",), "", ("Description", "Summary"), ("Published",), ("Update",)),
-    Rule("adobe", ("adobe",), "CVE Number", ("Summary",), ("Date Published",), ("Last updated",)),
-    Rule("alias_robotics", ("aliasrobotics",), "", ("description",), single=True),
-    Rule("arista", ("arista",), "", ("Description",), ("Initial release", "Date"), ("Revision",)),
-    Rule("aruba", ("arubanetworks",), "", ("Overview", "Details"), ("Publication Date",), ("Last Update",)),
-    Rule("asustor", ("asustor",), "Detail", ("Detail",), ("Revision",), ("Revision",)),
     Rule("atlassian", ("atlassian",), "CVE", ("Description", "Summary"), ("Advisory Release Date",)),
+    Rule("mend", ("mend.io",), "", ("Overview", "Description"), ("Date",), single=True),
+    Rule("autodesk", ("autodesk",), rows="h3"),
+    Rule("jenkins", ("jenkins.io",), "", ("SECURITY", "Description"), ("Advisory",)),
     Rule("core", ("coresecurity",), "Vulnerability Information", ("Vulnerability Description", "Technical Description"), ("Date published",), ("Date of last update",)),
-    Rule("curl", ("curl",), "", ("VULNERABILITY",), ("Advisory", "TIMELINE"), ("TIMELINE",)),
-    Rule("dotcms", ("dotcms",), "References", ("Description",), ("Date",)),
-    Rule("dragos", ("dragos",), "CVE", ("title", "Description"), ("Date",)),
-    Rule("eaton", ("eaton",), "", ("Overview", "Summary"), ("Revision Control",), ("Revision Control",)),
+    Rule("mozilla", ("mozilla",), rows="h3"),
+    Rule("intel", ("intel",), rows="h3"),
+    Rule("microsoft", ("msrc",), "", ("title", "FAQ"), ("Released",), ("Last updated",), single=True),
+    Rule("trustwave", ("trustwave",), rows="h3"),
+    Rule("trend_micro", ("zerodayinitiative",), rows="tr"),
+    Rule("tibco", ("tibco",), "", ("Description",), ("Original release",), ("Last revised",), single=True),
+    Rule("android", ("android",), rows="tr"),
     Rule("huntr", ("huntr",), "CVE", ("Description",), ("Reported on",), single=True),
-    Rule("jenkins", ("jenkins.io",), "", ("SECURITY", "Description"), ("Advisory",)),
     Rule("jvn", ("jvn",), "", ("Description", "Impact"), ("Published", "公開日"), ("Last Updated", "最終更新日")),
-    Rule("libre_office", ("libreoffice",), "", ("Description",), ("Announced",), ("Updated",), single=True),
-    Rule("mend", ("mend.io",), "", ("Overview", "Description"), ("Date",), single=True),
-    Rule("microsoft", ("msrc",), "", ("title", "FAQ"), ("Released",), ("Last updated",), single=True),
-    Rule("samba", ("samba.org",), "", ("Description",), single=True),
+    Rule("curl", ("curl",), "", ("VULNERABILITY",), ("Advisory", "TIMELINE"), ("TIMELINE",)),
     Rule("snyk", ("snyk.io",), "", ("Overview", "Details"), ("Published",), single=True),
-    Rule("tibco", ("tibco",), "", ("Description",), ("Original release",), ("Last revised",), single=True),
+    Rule("acronis", ("acronis",), "", ("Description", "Summary"), ("Published",), ("Update",)),
     Rule("veritas", ("veritas",), "Issues", ("Summary", "Notes"), ("Revision History",), ("Revision History",)),
+    Rule("adobe", ("adobe",), "CVE Number", ("Summary",), ("Date Published",), ("Last updated",)),
+    Rule("alias_robotics", ("aliasrobotics",), "", ("description",), single=True),
+    Rule("ampere", ("amperecomputing.com/products/product-security",), rows="tr"),
+    Rule("aruba", ("arubanetworks",), "", ("Overview", "Details"), ("Publication Date",), ("Last Update",)),
     Rule("zero_days", ("cybersecurityworks",), "CVE Number", ("Description",), ("Date",), ("Timeline",), single=True),
+    Rule("dragos", ("dragos",), "CVE", ("title", "Description"), ("Date",)),
+    Rule("cyberark", ("cyberark",), rows="tr"),
+    Rule("dotcms", ("dotcms",), "References", ("Description",), ("Date",)),
+    Rule("pandora", ("pandorafms",), rows="tr"),
+    Rule("libre_office", ("libreoffice",), "", ("Description",), ("Announced",), ("Updated",), single=True),
+    Rule("samba", ("samba.org",), "", ("Description",), single=True),
+    Rule("asustor", ("asustor",), "Detail", ("Detail",), ("Revision",), ("Revision",)),
+    Rule("abb", ("abb.com",), "", ("Summary",), ("Date",)),
+    Rule("eaton", ("eaton",), "", ("Overview", "Summary"), ("Revision Control",), ("Revision Control",)),
+    Rule("arista", ("arista",), "", ("Description",), ("Initial release", "Date"), ("Revision",)),
+    Rule("nvidia_table", ("nvidia",), rows="tr"),
     Rule("null", ("mitre.org",)),
     Rule("null", ("nist.gov",)),
 )

@@ -56,19 +56,74 @@ def cpe_fallback(named: DataFrame, dictionary: DataFrame) -> DataFrame:
     return j.select("name", "group_id", F.when(how == "title", F.col("_title_version")).otherwise(F.coalesce("version", F.lit("*"))).alias("version"), how.alias("how"))
 
 
-def word_rules(words: DataFrame, near: int = 30) -> DataFrame:
-    """Corrected classes of classified words (doc_id, pos, word, kind, confidence): kind is NAME, VERSION or OTHER.
+#: A word of class OTHER that holds a digit or one of these may be a version.
+TRIGGERS = ("before", "earlier", "prior", "between", "after", "newer", "older", "through", ">", "=", "<", "version", "v.", "build")
 
-    A name below 0.9 stays only beside another name; OTHER between two names becomes a name; a version below 0.8, or with no name in
-    the `near` words before it, becomes OTHER; links are never names."""
+
+def _title_words(titles: DataFrame) -> DataFrame:
+    """(t, k): each title's words in lower case, and the places (from 1) where a word of it stands first."""
+    t = titles.select(F.filter(F.split(F.lower("title"), r"[ \t\n\r]+"), lambda x: x != "").alias("t")).distinct()
+    return t.select("t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("k")).filter("size(t) > 0 AND k > 0 AND array_position(t, t[k - 1]) = k")
+
+
+def title_matches(words: DataFrame, titles: DataFrame) -> DataFrame:
+    """(word, title): the titles that hold each word, both in lower case, by equality of words."""
+    w = words.select(F.lower("word").alias("word")).distinct()
+    return w.join(_title_words(titles).select(F.expr("t[k - 1]").alias("word"), F.array_join("t", " ").alias("title")), "word")
+
+
+def word_rules(words: DataFrame, titles: DataFrame | None = None, near: int = 30, reach: int = 41) -> DataFrame:
+    """Corrected classes of classified words (doc_id, pos from 1, word, kind, confidence, p_version, p_other, nnp): kind is NAME, VERSION or OTHER.
+
+    Names. A name below 0.9, and an OTHER proper noun (nnp) among the first `reach` words, is looked up in the dictionary's `titles`: it fits
+    a title of one word, or one where its neighbour in the text is its neighbour in the title too; that neighbour becomes a name as well and
+    isn't looked up itself. A doubtful name that fits none gets the likelier of the other two classes. Links become OTHER. A word between two names becomes one.
+
+    Versions. One below 0.8 becomes OTHER. An OTHER word with a digit or a trigger becomes a version up to `near` words after a name, if no
+    version lies between, or after a version with nothing but names and such words between. A word with and/or between two versions becomes one.
+
+    All of it is a fixed number of windows over a document's words. The loops that it stands for take turns in three ways: of a chain of words that each
+    would make the next a name every second does (the others weren't looked up), only the first version or candidate after a name can be near to
+    it, and a version reaches on as long as no plain word comes. tests/test_operators.py holds it against the loops. Without the last three columns no word is
+    a proper noun, and a doubtful name becomes OTHER."""
+    columns = words.columns
+    words = words.withColumns({c: F.lit(v) for c, v in (("p_version", 0.0), ("p_other", 0.0), ("nnp", False)) if c not in columns})
     w = Window.partitionBy("doc_id").orderBy("pos")
-    k = F.col("kind")
-    before, after = F.lag(k).over(w), F.lead(k).over(w)
-    fixed = F.when(F.col("word").startswith("http"), "OTHER").when((k == "NAME") & (F.col("confidence") < 0.9) & ~F.coalesce((before == "NAME") | (after == "NAME"), F.lit(False)), "OTHER").when((k == "OTHER") & (before == "NAME") & (after == "NAME"), "NAME").otherwise(k)
-    x = words.withColumn("_k", fixed)
-    last_name = F.max(F.when(F.col("_k") == "NAME", F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    far = last_name.isNull() | (F.col("pos") - last_name > near)
-    return x.withColumn("kind", F.when((F.col("_k") == "VERSION") & ((F.col("confidence") < 0.8) | far), "OTHER").otherwise(F.col("_k"))).drop("_k")
+    k, low = F.col("kind"), F.lower("word")
+    link = low.contains("http")
+    x = words.withColumns({"_low": low, "_nxt": F.lead(low).over(w), "_prv": F.lag(low).over(w)})
+    if titles is None:
+        x = x.withColumns(dict.fromkeys(("_mn", "_mp", "_m1"), F.lit(False)))
+    else:
+        spots = _title_words(titles)
+        yes = F.lit(True)
+        follow = spots.filter("k < size(t)").select(F.expr("t[k - 1]").alias("_low"), F.expr("t[k]").alias("_nxt"), yes.alias("_mn")).distinct()
+        before = spots.filter("k > 1").select(F.expr("t[k - 2]").alias("_prv"), F.expr("t[k - 1]").alias("_low"), yes.alias("_mp")).distinct()
+        alone = spots.filter("size(t) = 1").select(F.expr("t[0]").alias("_low"), yes.alias("_m1")).distinct()
+        x = x.join(follow, ["_low", "_nxt"], "left").join(before, ["_prv", "_low"], "left").join(alone, "_low", "left").fillna(False, ["_mn", "_mp", "_m1"])
+    again = (k == "NAME") & (F.col("confidence") < 0.9)
+    fresh = (k == "OTHER") & F.col("nnp") & ~low.isin("the", "a", "http") & ~link & (F.col("pos") <= reach)
+    x = x.withColumns({"_again": again, "_fresh": fresh}).withColumn("_c", F.col("_mn") & (F.col("_again") | F.col("_fresh")))
+    x = x.withColumn("_streak", F.sum((~F.col("_c")).cast("int")).over(w))
+    x = x.withColumn("_gives", F.col("_c") & (F.sum(F.col("_c").cast("int")).over(Window.partitionBy("doc_id", "_streak").orderBy("pos")) % 2 == 1))
+    x = x.withColumn("_got", F.coalesce(F.lag("_gives").over(w), F.lit(False)))
+    x = x.withColumns({"_looks": (F.col("_again") | F.col("_fresh")) & ~F.col("_got"), "_found": F.col("_mn") | F.col("_mp") | F.col("_m1")})
+    rest = F.when(F.col("_got"), F.when(link, "OTHER").otherwise("NAME")).when(F.col("_again"), F.when(F.col("_found"), "NAME").when(F.col("p_other") >= F.col("p_version"), "OTHER").otherwise("VERSION")).when(link, "OTHER").when(F.col("_fresh") & F.col("_found"), "NAME").otherwise(k)
+    x = x.withColumn("_k", F.when(F.lead(F.col("_looks") & F.col("_mp")).over(w), "NAME").otherwise(rest))
+    x = x.withColumn("_k", F.when((F.col("_k") != "NAME") & (F.length("word") > 1) & (F.lag("_k").over(w) == "NAME") & (F.lead("_k").over(w) == "NAME"), "NAME").otherwise(F.col("_k")))
+    # Versions.
+    sure = F.when(k == "VERSION", F.col("confidence")).otherwise(F.col("p_version"))
+    x = x.withColumn("_k", F.when((F.col("_k") == "VERSION") & (sure < 0.8), "OTHER").otherwise(F.col("_k")))
+    trigger = low.rlike("[0-9]|" + "|".join(t.replace(".", r"\.") for t in TRIGGERS))
+    x = x.withColumn("_cand", (F.col("_k") == "OTHER") & trigger)
+    plain = (F.col("_k") == "OTHER") & ~F.col("_cand")
+    last = F.last(F.when(~plain, F.struct("pos", "_k")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumns({"_last": last, "_run": F.sum(plain.cast("int")).over(w)})
+    x = x.withColumn("_seed", (F.col("_k") == "VERSION") | (F.col("_cand") & F.coalesce((F.col("_last._k") == "NAME") & (F.col("pos") - F.col("_last.pos") <= near), F.lit(False))))
+    held = F.coalesce(F.max("_seed").over(Window.partitionBy("doc_id", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    x = x.withColumn("_k", F.when(F.col("_seed") | (F.col("_cand") & held), "VERSION").otherwise(F.col("_k")))
+    linked = (F.col("_k") != "VERSION") & low.rlike("and|or") & (F.lag("_k").over(w) == "VERSION") & (F.lead("_k").over(w) == "VERSION")
+    return x.withColumn("kind", F.when(linked, "VERSION").otherwise(F.col("_k"))).select(*columns)
 
 
 def product_islands(words: DataFrame) -> DataFrame:

@@ -134,17 +134,14 @@ def version_products(d: Domain) -> DataFrame:
     return catalog.version_products(d.product, d.version).select("vuln_version_id", "cve_id", "cpe")
 
 
-_WANTED = "SELECT cve_id FROM d_vuln WHERE vuln_id % 3 = 0"
-
-
-@query("nvd_attach", f"SELECT n.cve_id, n.status, coalesce(u.s, '') AS sources FROM d_nvd n LEFT JOIN (SELECT cve_id, string_agg(DISTINCT source_url, ';' ORDER BY source_url) AS s FROM d_nvd_url GROUP BY 1) u ON n.cve_id = u.cve_id WHERE n.cve_id IN ({_WANTED})")
+@query("nvd_attach", f"SELECT n.cve_id, n.status, coalesce(u.s, '') AS sources FROM d_nvd n LEFT JOIN (SELECT cve_id, string_agg(DISTINCT source_url, ';' ORDER BY source_url) AS s FROM d_nvd_url GROUP BY 1) u ON n.cve_id = u.cve_id WHERE n.cve_id IN (SELECT cve_id FROM d_vuln)")
 def nvd_attach(d: Domain) -> DataFrame:
-    return catalog.nvd_attach(d.vulnerability.filter("vuln_id % 3 = 0"), d.nvd, d.nvd_url).select("cve_id", "status", F.array_join("sources", ";").alias("sources"))
+    return catalog.nvd_attach(d.vulnerability, d.nvd, d.nvd_url).select("cve_id", "status", F.array_join("sources", ";").alias("sources"))
 
 
-@query("mitre_attach", f"SELECT cve_id, status, last_modified FROM d_mitre WHERE cve_id IN ({_WANTED})")
+@query("mitre_attach", "SELECT cve_id, status, last_modified FROM d_mitre WHERE cve_id IN (SELECT cve_id FROM d_vuln)")
 def mitre_attach(d: Domain) -> DataFrame:
-    return catalog.mitre_attach(d.vulnerability.filter("vuln_id % 3 = 0"), d.mitre)
+    return catalog.mitre_attach(d.vulnerability, d.mitre)
 
 
 @query("nvd_compare_counts", "SELECT coalesce(status, 'absent') AS status, coalesce(status = 'Analyzed', false) AS in_registry, count(*) AS n FROM d_vuln LEFT JOIN d_nvd USING (cve_id) GROUP BY 1, 2")
@@ -179,11 +176,14 @@ def sourceless_rows(d: Domain) -> DataFrame:
     return catalog.sourceless(d.vulnerability, d.nvd_url).select("vuln_id", "cve_id")
 
 
-@query("exploit_new", "SELECT exploit_id, cve_id FROM d_exploit WHERE cve_id IN (SELECT cve_id FROM d_version GROUP BY cve_id HAVING count(*) = 4) AND exploit_id NOT IN (SELECT exploit_id FROM d_exploit WHERE exploit_id % 2 = 0)")
+# A vulnerability has one row for each registry that knows it: none, one or two.
+_KNOWN = "SELECT cve_id FROM d_nvd UNION ALL SELECT cve_id FROM d_mitre"
+
+
+@query("exploit_new", f"SELECT exploit_id, cve_id FROM d_exploit WHERE cve_id IN (SELECT cve_id FROM ({_KNOWN}) GROUP BY cve_id HAVING count(*) = 1) AND exploit_source NOT IN (SELECT source_url FROM d_stored)".replace("d_stored", "(SELECT exploit_source AS source_url FROM d_exploit WHERE contains(exploit_source, '7'))"))
 def exploit_new(d: Domain) -> DataFrame:
-    # Every vulnerability has four rows here; those of one row each are made by keeping its first version.
-    one = d.version.groupBy("cve_id").agg(F.count("*").alias("n")).filter("n = 4")
-    return catalog.new_exploits(d.exploit, one, d.exploit.filter("exploit_id % 2 = 0")).select("exploit_id", "cve_id")
+    rows = d.nvd.select("cve_id").unionByName(d.mitre.select("cve_id"))
+    return catalog.new_exploits(d.exploit, rows, d.exploit.filter("contains(exploit_source, '7')")).select("exploit_id", "cve_id")
 
 
 @query("exploit_status", "SELECT cve_id, CASE WHEN cve_id IN (SELECT cve_id FROM d_exploit) THEN 'POC' ELSE 'NONE' END AS exploit_status FROM d_vuln")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexarium.operators import catalog, divergence, features
 from vexarium.plans.bindings import Domain
 from vexarium.plans.registry import query
+from vexarium.session import shared_folder
 
 _T = "string_split(lower(text), ' ')"
 _INST = f"SELECT doc, term, count(*) AS cnt FROM (SELECT doc_id AS doc, unnest({_T}) AS term FROM documents) GROUP BY ALL"
@@ -88,7 +84,10 @@ def probabilities(d: Domain) -> DataFrame:
     return scores(d).select("doc", "label", F.round(F.col("v") / F.sum("v").over(Window.partitionBy("doc")), 6).alias("p"))
 
 
-@query("labels_to_threshold", f"SELECT doc, label FROM (SELECT *, sum(p) OVER (PARTITION BY doc ORDER BY p DESC, label ROWS UNBOUNDED PRECEDING) AS c FROM ({_PROB})) WHERE round(c - p, 9) < 0.6")
+THRESHOLD = f"SELECT doc, label FROM (SELECT *, sum(p) OVER (PARTITION BY doc ORDER BY p DESC, label ROWS UNBOUNDED PRECEDING) AS c FROM ({_PROB})) WHERE round(c - p, 9) < 0.6"
+
+
+@query("labels_to_threshold", THRESHOLD)
 def labels_to_threshold(d: Domain) -> DataFrame:
     return divergence.until_threshold(probabilities(d), "p").select("doc", "label")
 
@@ -143,18 +142,13 @@ def cwe_max_children(d: Domain) -> DataFrame:
     return catalog.max_children(d.spark, edges, catalog.roots(edges, nodes))
 
 
-@query("stream_jobs")
+@query("stream_jobs", "SELECT DISTINCT cve_id FROM d_raw")
 def stream_jobs(d: Domain) -> DataFrame:
     """Messages of ids through the job stream into a table by micro-batch; a file for each trigger."""
     from vexarium.sources.sinks import id_messages
     from vexarium.streaming import jobs
 
-    shared = d.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not d.spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    at = os.path.join(shared, f"stream-{os.urandom(8).hex()}") if shared else tempfile.mkdtemp(prefix="stream-")
-    if shared is None:
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    at = shared_folder(d.spark, "stream")
     id_messages(d.raw, 8).write.text(f"{at}/in")
     q = jobs.run_batches(jobs.distinct_jobs(jobs.id_stream(d.spark, f"{at}/in")), lambda b: b.select("cve_id"), f"{at}/out", f"{at}/state")
     q.awaitTermination()

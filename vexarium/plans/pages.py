@@ -46,6 +46,32 @@ def html_sources(d: Domain) -> DataFrame:
     return pages.parse_pages(d.page.select("page_id", k.alias("url"), body.alias("html")))
 
 
+# Fragments of addresses and the parser that the first of the conditions below chooses, in the order in which they are tried.
+_FRAGMENTS = "github.com/advisories tenable.com security blog exploit-db exploits kb.cert packetstorm talosintelligence gentoo bugs news vmware advisories bugzilla anquanke seclists redhat security-updates cve bosch security-advisories cloud.google bulletins atlassian mend.io autodesk jenkins.io coresecurity mozilla intel msrc trustwave zerodayinitiative tibco android huntr jvn curl snyk.io acronis veritas adobe aliasrobotics amperecomputing.com/products/product-security arubanetworks cybersecurityworks dragos cyberark dotcms pandorafms libreoffice samba.org asustor abb.com eaton arista nvidia mitre.org nist.gov plain".split()
+_U = "concat('https://www.', f[1 + page_id % len(f)], '/', f[1 + page_id * 7 % len(f)], '/', f[1 + page_id * 31 % len(f)])"
+_CASES = [
+    ("github.com/advisories", "github_advisory"), ("tenable.com&security&!blog", "tenable_security"), ("tenable.com&!blog", "tenable_cve"), ("exploit-db&exploits", "exploit_db"), ("kb.cert", "cert_notes"), ("packetstorm", "packet_storm"), ("talosintelligence", "talos"),
+    ("gentoo&bugs", "gentoo_bugs"), ("gentoo&security", "gentoo_security"), ("gentoo&news", "null"), ("gentoo&blogs", "null"), ("gentoo", "generic"), ("vmware&advisories", "vmware"), ("bugzilla", "bugzilla"), ("anquanke", "anquanke"), ("seclists", "seclists"),
+    ("redhat&security&security-updates", "redhat_updates"), ("redhat&security&cve", "redhat_cve"), ("redhat&security", "generic"), ("bosch&security-advisories", "bosch"), ("cloud.google&bulletins", "google_cloud"), ("atlassian", "atlassian"), ("mend.io", "mend"), ("autodesk", "autodesk"),
+    ("jenkins.io", "jenkins"), ("coresecurity", "core"), ("mozilla", "mozilla"), ("intel", "intel"), ("msrc", "microsoft"), ("trustwave", "trustwave"), ("zerodayinitiative", "trend_micro"), ("tibco", "tibco"), ("android", "android"), ("huntr", "huntr"), ("jvn", "jvn"), ("curl", "curl"),
+    ("snyk.io", "snyk"), ("acronis", "acronis"), ("veritas", "veritas"), ("adobe", "adobe"), ("aliasrobotics", "alias_robotics"), ("amperecomputing.com/products/product-security", "ampere"), ("arubanetworks", "aruba"), ("cybersecurityworks", "zero_days"), ("dragos", "dragos"),
+    ("cyberark", "cyberark"), ("dotcms", "dotcms"), ("pandorafms", "pandora"), ("libreoffice", "libre_office"), ("samba.org", "samba"), ("asustor", "asustor"), ("abb.com", "abb"), ("eaton", "eaton"), ("arista", "arista"), ("nvidia", "nvidia_table"), ("mitre.org", "null"), ("nist.gov", "null"),
+]
+
+
+def _when(condition: str) -> str:
+    return " AND ".join(f"NOT contains(url, '{c[1:]}')" if c[0] == "!" else f"contains(url, '{c}')" for c in condition.split("&"))
+
+
+@query("parser_routing", f"SELECT page_id, url, CASE {' '.join(f"WHEN {_when(c)} THEN '{n}'" for c, n in _CASES)} ELSE 'generic' END AS parser FROM (SELECT page_id, {_U} AS url FROM pages, (SELECT {_FRAGMENTS} AS f))")
+def parser_routing(d: Domain) -> DataFrame:
+    """Addresses of two or three fragments of known sources each, so that the order of the rules decides."""
+    f = F.array(*map(F.lit, _FRAGMENTS))
+    part = lambda k: F.get(f, (F.col("page_id") * k % len(_FRAGMENTS)).cast("int"))
+    x = d.base("pages").select("page_id", F.concat(F.lit("https://www."), part(1), F.lit("/"), part(7), F.lit("/"), part(31)).alias("url"))
+    return x.select("page_id", "url", pages.parser_name("url").alias("parser"))
+
+
 @query("fix_pages")
 def fix_pages(d: Domain) -> DataFrame:
     return pages.parse_fixes(d.page.withColumn("html", F.concat("html", F.lit("<h2>Resolution</h2><p>Upgrade to 2.0.</p>"))))

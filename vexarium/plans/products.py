@@ -9,6 +9,7 @@ from vexarium.functions import versions
 from vexarium.functions.cvss import severity_class
 from vexarium.operators import cvss, patches, products
 from vexarium.plans.bindings import Domain
+from vexarium.plans.models import THRESHOLD, labels_to_threshold
 from vexarium.plans.registry import query
 
 # ---------------------------------------------------------------- versions and dictionary
@@ -84,28 +85,62 @@ def cpe_fallback(d: Domain) -> DataFrame:
     return products.cpe_fallback(n, d.dictionary).select("group_id", F.nullif("name", F.lit("-")).alias("wanted"), "version", "how")
 
 
-_TOK = "SELECT doc_id, CAST(i AS INT) AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 100) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"
 _KIND = "CASE WHEN length(word) % 5 = 1 THEN 'NAME' WHEN length(word) % 5 = 2 THEN 'VERSION' ELSE 'OTHER' END"
+_TOK = f"""SELECT doc_id, pos, word, lower(word) AS low, {_KIND} AS kind, length(word) % 10 / 10 + 0.05 AS confidence, length(word) % 4 / 10 AS p_version, length(word) % 3 / 10 AS p_other, regexp_matches(word, '^[A-Z]') AS nnp
+FROM (SELECT doc_id, CAST(i AS INT) AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))"""
 
 
 def _classified(d: Domain) -> DataFrame:
-    t = d.base("documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 100)).alias("pos", "word"))
-    return t.select("doc_id", (F.col("pos") + 1).alias("pos"), "word", F.expr(_KIND).alias("kind"), (F.length("word") % 10 / 10 + 0.05).alias("confidence"))
+    t = d.base("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    n = F.length("word")
+    return t.select("doc_id", (F.col("pos") + 1).alias("pos"), "word", F.expr(_KIND).alias("kind"), (n % 10 / 10 + 0.05).alias("confidence"), (n % 4 / 10).alias("p_version"), (n % 3 / 10).alias("p_other"), F.col("word").rlike("^[A-Z]").alias("nnp"))
 
 
 @query("product_islands", f"""SELECT doc_id, island, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE kind = 'NAME') AS name, coalesce(string_agg(word, ';' ORDER BY pos) FILTER (WHERE kind = 'VERSION'), '') AS versions
 FROM (SELECT *, CAST(sum(CASE WHEN kind = 'NAME' AND coalesce(prev, '') <> 'NAME' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island
- FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM (SELECT *, {_KIND} AS kind FROM ({_TOK})))) WHERE island > 0 GROUP BY doc_id, island""")
+ FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM ({_TOK}))) WHERE island > 0 GROUP BY doc_id, island""")
 def product_islands(d: Domain) -> DataFrame:
     return products.product_islands(_classified(d))
 
 
-@query("product_word_rules", f"""SELECT doc_id, pos, CASE WHEN k = 'VERSION' AND (confidence < 0.8 OR last_name IS NULL OR pos - last_name > 30) THEN 'OTHER' ELSE k END AS kind
-FROM (SELECT *, max(CASE WHEN k = 'NAME' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_name
- FROM (SELECT *, CASE WHEN word LIKE 'http%' THEN 'OTHER' WHEN kind = 'NAME' AND confidence < 0.9 AND NOT coalesce(b = 'NAME' OR a = 'NAME', false) THEN 'OTHER' WHEN kind = 'OTHER' AND b = 'NAME' AND a = 'NAME' THEN 'NAME' ELSE kind END AS k
-  FROM (SELECT *, lag(kind) OVER w AS b, lead(kind) OVER w AS a FROM (SELECT *, {_KIND} AS kind, length(word) % 10 / 10 + 0.05 AS confidence FROM ({_TOK})) WINDOW w AS (PARTITION BY doc_id ORDER BY pos))))""")
+# The titles of the dictionary are the documents' first three words; their words and neighbours are looked up by position.
+_TITLES = "SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS title FROM documents"
+_SPOTS = f"SELECT t, k FROM (SELECT t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT list_filter(string_split_regex(lower(title), '[ \\t\\n\\r]+'), lambda x: x <> '') AS t FROM ({_TITLES}))) WHERE list_position(t, t[k]) = k"
+_PASS = {
+    "w0": _TOK,
+    "sp": _SPOTS,
+    "w1": """SELECT *, lead(low) OVER w AS nxt, lag(low) OVER w AS prv FROM w0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
+    "w2": """SELECT *, (low, nxt) IN (SELECT t[k], t[k + 1] FROM sp WHERE k < len(t)) AS m_next, (prv, low) IN (SELECT t[k - 1], t[k] FROM sp WHERE k > 1) AS m_prev, low IN (SELECT t[1] FROM sp WHERE len(t) = 1) AS m_one,
+ kind = 'NAME' AND confidence < 0.9 AS again, kind = 'OTHER' AND nnp AND low NOT IN ('the', 'a', 'http') AND low NOT LIKE '%http%' AND pos <= 41 AS fresh FROM w1""",
+    "w3": "SELECT *, coalesce(m_next, false) AND (again OR fresh) AS c FROM w2",
+    "w4": "SELECT *, pos - sum(CASE WHEN c THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS streak FROM w3",
+    "w5": "SELECT *, c AND row_number() OVER (PARTITION BY doc_id, streak, c ORDER BY pos) % 2 = 1 AS gives FROM w4",
+    "w6": "SELECT *, coalesce(lag(gives) OVER (PARTITION BY doc_id ORDER BY pos), false) AS got FROM w5",
+    "w7": """SELECT *, (again OR fresh) AND NOT got AS looks, coalesce(m_next, false) OR coalesce(m_prev, false) OR m_one AS found FROM w6""",
+    "w8": """SELECT *, CASE WHEN lead(looks AND coalesce(m_prev, false)) OVER (PARTITION BY doc_id ORDER BY pos) THEN 'NAME' WHEN got THEN CASE WHEN low LIKE '%http%' THEN 'OTHER' ELSE 'NAME' END
+ WHEN again THEN CASE WHEN found THEN 'NAME' WHEN p_other >= p_version THEN 'OTHER' ELSE 'VERSION' END WHEN low LIKE '%http%' THEN 'OTHER' WHEN fresh AND found THEN 'NAME' ELSE kind END AS k1 FROM w7""",
+    "w9": """SELECT *, CASE WHEN k1 <> 'NAME' AND length(word) > 1 AND lag(k1) OVER w = 'NAME' AND lead(k1) OVER w = 'NAME' THEN 'NAME' ELSE k1 END AS k2 FROM w8 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
+    "v0": """SELECT doc_id, pos, word, low, CASE WHEN k2 = 'VERSION' AND CASE WHEN kind = 'VERSION' THEN confidence ELSE p_version END < 0.8 THEN 'OTHER' ELSE k2 END AS k FROM w9""",
+    "v1": "SELECT *, k = 'OTHER' AND regexp_matches(low, '[0-9]|before|earlier|prior|between|after|newer|older|through|>|=|<|version|v\\.|build') AS cand FROM v0",
+    "v2": """SELECT *, last_value(CASE WHEN k <> 'OTHER' OR cand THEN pos END IGNORE NULLS) OVER w AS lp, last_value(CASE WHEN k <> 'OTHER' OR cand THEN k END IGNORE NULLS) OVER w AS lk,
+ sum(CASE WHEN k = 'OTHER' AND NOT cand THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM v1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "v3": "SELECT *, k = 'VERSION' OR (cand AND coalesce(lk = 'NAME' AND pos - lp <= 30, false)) AS seed FROM v2",
+    "v4": "SELECT *, CASE WHEN seed OR (cand AND coalesce(bool_or(seed) OVER (PARTITION BY doc_id, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) THEN 'VERSION' ELSE k END AS k3 FROM v3",
+}
+_RULES = "SELECT * FROM (WITH " + ", ".join(f"{n} AS ({q})" for n, q in _PASS.items()) + """ SELECT doc_id, pos, CASE WHEN k3 <> 'VERSION' AND regexp_matches(low, 'and|or') AND lag(k3) OVER w = 'VERSION' AND lead(k3) OVER w = 'VERSION' THEN 'VERSION' ELSE k3 END AS kind
+ FROM v4 WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+
+
+@query("product_word_rules", _RULES)
 def product_word_rules(d: Domain) -> DataFrame:
-    return products.word_rules(_classified(d)).select("doc_id", "pos", "kind")
+    titles = d.base("documents").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("title")).distinct()
+    return products.word_rules(_classified(d), titles).select("doc_id", "pos", "kind")
+
+
+@query("word_title_matches", f"SELECT DISTINCT low AS word, array_to_string(t, ' ') AS title FROM ({_TOK}) JOIN ({_SPOTS}) ON low = t[k]")
+def word_title_matches(d: Domain) -> DataFrame:
+    titles = d.base("documents").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("title")).distinct()
+    return products.title_matches(_classified(d), titles)
 
 
 @query("dictionary_changes", "SELECT count(*) FILTER (WHERE o IS NULL) AS inserted, count(*) FILTER (WHERE o IS NOT NULL AND n IS NOT NULL) AS updated FROM (SELECT DISTINCT group_id, 1 AS o FROM d_dict WHERE length(group_id) % 3 <> 0) FULL JOIN (SELECT DISTINCT group_id, 1 AS n FROM d_dict WHERE length(group_id) % 2 = 0) USING (group_id)")
@@ -168,11 +203,13 @@ _LEVEL = f"""CASE WHEN {_H['pe']} AND (n_impact = 1 OR {_H['re']} OR {_H['id']})
  WHEN {_H['re']} OR {_H['id']} THEN 'LH,N,N' WHEN {_H['wr']} OR {_H['rr']} THEN 'N,LH,N' WHEN {_H['si']} THEN 'N,N,LH' ELSE 'N,N,N' END"""
 _VECTOR = f"""SELECT cve_id, concat(CASE WHEN {_HAS.format('Remote')} OR {_HAS.format('Limited Rmt')} THEN 'N' WHEN {_HAS.format('Local')} THEN 'L' WHEN {_HAS.format('Physical')} THEN 'P' ELSE 'X' END, ',', CASE WHEN {_H['mm']} THEN 'H' ELSE 'L' END, ',X,X,',
  CASE WHEN (NOT {_H['mm']} AND {_H['ce']}) OR {_H['sb']} THEN 'C' ELSE 'U' END, ',', {_LEVEL}) AS vector
-FROM (SELECT cve_id, list(DISTINCT label) AS ls, count(DISTINCT label) FILTER (WHERE noun_group = 'LogicalImpact') AS n_impact FROM d_vdo WHERE confidence > 0.08 GROUP BY cve_id)"""
+FROM (SELECT cve_id, list(DISTINCT label) AS ls, count(DISTINCT label) FILTER (WHERE noun_group = 'LogicalImpact') AS n_impact FROM (SELECT cve_id, label, noun_group FROM d_vdo JOIN ({THRESHOLD}) t USING (label) WHERE t.doc = n) GROUP BY cve_id)"""
 
 
 def _vectors(d: Domain) -> DataFrame:
-    return cvss.vectors(d.vdo.filter("confidence > 0.08"))
+    """Of the labels that are taken until their probabilities reach the threshold."""
+    taken = labels_to_threshold(d).withColumnRenamed("doc", "n")
+    return cvss.vectors(d.vdo.join(taken, ["n", "label"], "left_semi"))
 
 
 @query("cvss_partial_vector", _VECTOR)
@@ -180,13 +217,6 @@ def cvss_partial_vector(d: Domain) -> DataFrame:
     return _vectors(d)
 
 
-@query("cvss_lookup", f"SELECT cve_id, vector, CASE WHEN length(vector) % 5 = 0 THEN -1.0 ELSE length(vector) / 2.0 END AS score, CASE WHEN length(vector) % 5 = 0 THEN 'n/a' WHEN length(vector) / 2.0 < 4 THEN 'LOW' WHEN length(vector) / 2.0 <= 6.5 THEN 'MEDIUM' WHEN length(vector) / 2.0 < 9 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM ({_VECTOR})")
-def cvss_lookup(d: Domain) -> DataFrame:
-    v = _vectors(d)
-    scores = v.select("vector").distinct().filter("length(vector) % 5 <> 0").withColumn("score", F.length("vector") / 2.0)
-    return cvss.lookup(v, scores)
-
-
 _DATASET = "SELECT concat_ws(',', ['N','L','P'][1 + o_orderkey % 3], ['L','H'][1 + o_custkey % 2], 'N', 'R', ['U','C'][1 + o_orderkey % 2], ['H','L','N'][1 + o_custkey % 3], ['N','L','H'][1 + o_orderkey % 3], ['N','H'][1 + o_custkey % 2]) AS \"full\", floor(o_totalprice / 1000) / 10 AS score FROM orders"
 _POS = " AND ".join(f"(string_split(vector, ',')[{i}] = 'X' OR string_split(vector, ',')[{i}] = string_split(\"full\", ',')[{i}] OR (string_split(vector, ',')[{i}] = 'LH' AND string_split(\"full\", ',')[{i}] IN ('L', 'H')))" for i in range(1, 9))
 
@@ -200,6 +230,16 @@ def cvss_match_median(d: Domain) -> DataFrame:
     return cvss.match_median(_vectors(d), data)
 
 
+_MEDIANS = f"SELECT vector, round(median(score), 4) AS score FROM (SELECT DISTINCT vector FROM ({_VECTOR})) JOIN ({_DATASET}) ON {_POS} GROUP BY vector"
+
+
+@query("cvss_lookup", f"SELECT cve_id, vector, coalesce(score, -1.0) AS score, CASE WHEN score IS NULL THEN 'n/a' WHEN score < 4 THEN 'LOW' WHEN score <= 6.5 THEN 'MEDIUM' WHEN score < 9 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM ({_VECTOR}) LEFT JOIN ({_MEDIANS}) USING (vector)")
+def cvss_lookup(d: Domain) -> DataFrame:
+    """The map of vectors to scores is that of the medians of the known vectors that fit."""
+    medians = cvss_match_median(d).filter("n > 0").select("vector", F.col("median_score").alias("score"))
+    return cvss.lookup(_vectors(d), medians)
+
+
 @query("severity_class", "SELECT cve_id, impact_score % 11 AS score, CASE WHEN impact_score % 11 < 4 THEN 'LOW' WHEN impact_score % 11 <= 6.5 THEN 'MEDIUM' WHEN impact_score % 11 < 9 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM d_cvss")
 def severity(d: Domain) -> DataFrame:
     s = F.col("impact_score") % 11

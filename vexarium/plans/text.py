@@ -51,11 +51,6 @@ def bulletin_context(d: Domain) -> DataFrame:
     return pages.bulletin(d.page).select("page_id", "cve_id", "context")
 
 
-@query("parser_routing")
-def parser_routing(d: Domain) -> DataFrame:
-    return d.page.select("page_id", pages.parser_name("url").alias("parser"))
-
-
 _DATES = [r"[12]\d{3}-(?:1[0-2]|0[1-9])-(?:3[01]|0[1-9]|[12]\d)"]
 _NEAR = "substring(t, strpos(lower(t), 'published'), 40)"
 
@@ -92,9 +87,9 @@ def relevance_language(d: Domain) -> DataFrame:
     return d.raw.select("raw_description_id", text.is_relevant("raw_description").alias("relevant"), text.has_han(t).alias("foreign_text"))
 
 
-@query("text_cleanup", "SELECT raw_description_id, lower(regexp_replace(raw_description, '\\s+', '', 'g')) AS squeezed, trim(regexp_replace(regexp_replace(raw_description, '[^\\p{L}]', ' ', 'g'), '\\s+', ' ', 'g')) AS letters FROM d_raw WHERE n_chars < 2000")
+@query("text_cleanup", "SELECT raw_description_id, lower(regexp_replace(raw_description, '\\s+', '', 'g')) AS squeezed, trim(regexp_replace(regexp_replace(raw_description, '[^\\p{L}]', ' ', 'g'), '\\s+', ' ', 'g')) AS letters FROM d_raw")
 def text_cleanup(d: Domain) -> DataFrame:
-    return d.raw.filter("n_chars < 2000").select("raw_description_id", text.without_space("raw_description").alias("squeezed"), text.letters_only("raw_description").alias("letters"))
+    return d.raw.select("raw_description_id", text.without_space("raw_description").alias("squeezed"), text.letters_only("raw_description").alias("letters"))
 
 
 @query("identifier_split", "SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_type, '([A-Z][a-z]+|[a-z]+|[A-Z]+)', 1), lambda x: lower(x)), ' ') AS words FROM part")
@@ -102,14 +97,17 @@ def identifier_split(d: Domain) -> DataFrame:
     return d.base("part").select("p_partkey", F.array_join(text.identifier_words("p_type"), " ").alias("words"))
 
 
-@query("stop_words_removed", "SELECT raw_description_id, array_to_string(list_filter(string_split(lower(raw_description), ' '), lambda w: w NOT IN ('the', 'of', 'and')), ' ') AS words FROM d_raw WHERE n_chars < 500")
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query("stop_words_removed", f"SELECT raw_description_id, array_to_string(list_filter(string_split(lower(raw_description), ' '), lambda w: w NOT IN ({_STOP})), ' ') AS words FROM d_raw")
 def stop_words_removed(d: Domain) -> DataFrame:
-    return d.raw.filter("n_chars < 500").select("raw_description_id", F.array_join(text.remove_words(F.split(F.lower("raw_description"), " "), ["the", "of", "and"]), " ").alias("words"))
+    return d.raw.select("raw_description_id", F.array_join(text.remove_words(F.split(F.lower("raw_description"), " "), text.STOP_WORDS), " ").alias("words"))
 
 
-@query("keyword_window", "SELECT raw_description_id, CASE WHEN strpos(lower(raw_description), 'the') > 0 THEN substring(raw_description, strpos(lower(raw_description), 'the'), 40) ELSE '' END AS near FROM d_raw WHERE n_chars < 2000")
+@query("keyword_window", "SELECT raw_description_id, CASE WHEN strpos(lower(raw_description), 'the') > 0 THEN substring(raw_description, strpos(lower(raw_description), 'the'), 40) ELSE '' END AS near FROM d_raw")
 def keyword_window(d: Domain) -> DataFrame:
-    return d.raw.filter("n_chars < 2000").select("raw_description_id", text.keyword_window("raw_description", "the").alias("near"))
+    return d.raw.select("raw_description_id", text.keyword_window("raw_description", "the").alias("near"))
 
 
 @query("url_host", "SELECT raw_description_id, regexp_extract(source_url, '^https://([^/]+)/', 1) AS host FROM d_raw")
@@ -154,9 +152,13 @@ def purl(d: Domain) -> DataFrame:
     return d.product.select(cpe.purl("vendor", "product_name", v).alias("purl")).distinct()
 
 
-@query("swid", "SELECT DISTINCT concat('<SoftwareIdentity name=\"', product_name, '\" tagId=\"', replace(concat_ws('-', vendor, product_name, version), ' ', ''), '\" version=\"', version, '\"><Entity name=\"', vendor, '\" role=\"softwareCreator\"/></SoftwareIdentity>') AS swid FROM d_product")
+@query("swid", f"""SELECT DISTINCT '<SoftwareIdentity xmlns="http://standards.iso.org/iso/19770/-2/2015/schema.xsd" name="' || p || '" tagId="' || vendor || '.' || replace(p, ' ', '') || CASE WHEN v IN ('*', '') THEN v ELSE '.' || v END
+ || '" version="' || CASE WHEN v = '*' THEN '' ELSE v END || '"><Entity name="' || vendor || '" regid="com.' || vendor || '"><Meta product="' || p || '" colloquialVersion="' || v || '"/><Payload><File name="' || replace(p, ' ', '')
+ || '.exe" size="532712" SHA256:hash="{cpe.PAYLOAD}"/></Payload></SoftwareIdentity>' AS swid
+FROM (SELECT vendor, replace(product_name, '_', ' ') AS p, CASE product_id % 3 WHEN 0 THEN '*' WHEN 1 THEN '' ELSE version END AS v FROM d_product)""")
 def swid(d: Domain) -> DataFrame:
-    return d.product.select(cpe.swid("vendor", "product_name", "version").alias("swid")).distinct()
+    v, p = F.expr("CASE product_id % 3 WHEN 0 THEN '*' WHEN 1 THEN '' ELSE version END"), F.regexp_replace("product_name", "_", " ")
+    return d.product.select(cpe.swid("vendor", p, v).alias("swid")).distinct()
 
 
 @query("cpe_build", "SELECT DISTINCT cpe AS built FROM d_product")
@@ -175,10 +177,3 @@ def lines_changed(d: Domain) -> DataFrame:
 def version_token(d: Domain) -> DataFrame:
     t = d.page.select("page_id", text.strip_tags("html").alias("t"))
     return t.select("page_id", F.regexp_extract("t", text.VERSION_TOKEN, 1).alias("version"), text.valuable_sentence("t", F.size(F.regexp_extract_all("t", F.lit(f"({text.CVE_ID})"), 1))).alias("valuable"))
-
-
-@query("summary_pages")
-def summary_pages(d: Domain) -> DataFrame:
-    from vexarium.sources.readers import summary_pages as urls
-
-    return urls(AS_OF, d.spark)

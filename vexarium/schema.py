@@ -28,7 +28,7 @@ def _s(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-_METRIC = A(_s(cvssData=_s(vectorString=S, baseScore=T.DoubleType(), baseSeverity=S)))
+_METRIC = A(_s(cvssData=_s(vectorString=S, baseScore=T.DoubleType(), baseSeverity=S), impactScore=T.DoubleType(), exploitabilityScore=T.DoubleType()))
 #: A page of the registry's vulnerability feed.
 NVD_FEED = _s(vulnerabilities=A(_s(cve=_s(
     id=S, published=S, lastModified=S, vulnStatus=S, descriptions=A(_s(lang=S, value=S)), metrics=_s(cvssMetricV31=_METRIC, cvssMetricV30=_METRIC),

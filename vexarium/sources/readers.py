@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vexarium import schema
 from vexarium.functions import cpe
+from vexarium.functions.dates import clamp_to_id_year
 
 
 def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 50, **options: str) -> DataFrame:
@@ -35,20 +37,38 @@ def nvd_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nvd_details(spark: SparkSession, path: str) -> DataFrame:
-    """(cve_id, description, vector, score, severity, weakness): the first of each; vector 3.1 before 3.0."""
+    """A row for each record of the feed: the twelve text columns of a detail row (description without line feeds, the first weakness, the first
+    metric of version 3.1, else 3.0; what is missing is empty, and so are advisory, patch and exploit), with `vector` and `weaknesses` beside them."""
     c = spark.read.schema(schema.NVD_FEED).json(path, multiLine=True).select(F.explode("vulnerabilities.cve").alias("c"))
-    m = F.coalesce(F.get("c.metrics.cvssMetricV31", F.lit(0)), F.get("c.metrics.cvssMetricV30", F.lit(0)))["cvssData"]
-    return c.select(F.col("c.id").alias("cve_id"), F.get("c.descriptions.value", F.lit(0)).alias("description"), m["vectorString"].alias("vector"), m["baseScore"].alias("score"), m["baseSeverity"].alias("severity"), F.get(F.get("c.weaknesses.description", F.lit(0))["value"], F.lit(0)).alias("weakness"))
+    m = F.coalesce(F.get("c.metrics.cvssMetricV31", F.lit(0)), F.get("c.metrics.cvssMetricV30", F.lit(0)))
+    given = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    named = F.flatten("c.weaknesses.description")["value"]
+    return c.select(
+        F.col("c.id").alias("cve_id"), F.regexp_replace(F.get("c.descriptions.value", F.lit(0)), "\n", "").alias("description"), F.col("c.published").alias("published"), F.col("c.lastModified").alias("last_modified"),
+        given(m["cvssData"]["baseScore"]).alias("score"), given(m["cvssData"]["baseSeverity"]).alias("severity"), given(m["impactScore"]).alias("impact_score"), given(m["exploitabilityScore"]).alias("exploitability_score"),
+        given(F.get(F.get("c.weaknesses.description", F.lit(0))["value"], F.lit(0))).alias("weakness"), F.lit("").alias("advisory"), F.lit("").alias("patch"), F.lit("").alias("exploit"),
+        m["cvssData"]["vectorString"].alias("vector"), F.coalesce(named, F.array().cast("array<string>")).alias("weaknesses"),
+    )
 
 
 def nvd_sources(spark: SparkSession, path: str) -> DataFrame:
     return nvd_feed(spark, path).select("cve_id", F.explode("sources").alias("source_url")).distinct()
 
 
+def legacy_sources(spark: SparkSession, path: str) -> DataFrame:
+    """(source_url): the distinct references of the feed's older form."""
+    s = "CVE_Items array<struct<cve: struct<references: struct<reference_data: array<struct<url:string>>>>>>"
+    r = spark.read.schema(s).json(path, multiLine=True).select(F.explode("CVE_Items").alias("i"))
+    return r.select(F.explode("i.cve.references.reference_data.url").alias("source_url")).distinct()
+
+
 def vector_rows(details: DataFrame) -> DataFrame:
-    """(cve_id, score, metrics): the eight metric values of vectors such as CVSS:3.1/AV:N/…; rows without one are left out."""
+    """(cve_id, published, score, weaknesses, metrics): the eight metric values of vectors such as CVSS:3.1/AV:N/…; rows without one are left out.
+
+    A publication after the year in the id is set to that year's last day."""
     values = F.regexp_extract_all("vector", F.lit(r"(?:AV|AC|PR|UI|S|C|I|A):([A-Z])"), 1)
-    return details.filter("vector is not null").select("cve_id", "score", values.alias("metrics")).filter(F.size("metrics") == 8)
+    at = clamp_to_id_year(F.col("published").cast("timestamp_ntz"), "cve_id")
+    return details.filter("vector is not null").select("cve_id", at.alias("published"), "score", "weaknesses", values.alias("metrics")).filter(F.size("metrics") == 8)
 
 
 def mitre_records(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
@@ -88,20 +108,23 @@ def _advisory(text: str) -> dict[str, list[str] | str]:
     return out
 
 
-def advisories(spark: SparkSession, path: str) -> DataFrame:
-    """(cve_id, id, details, published, modified, path): a row for each id among the aliases; of an id's files the last path stays."""
+def advisories(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame:
+    """(cve_id, id, details, published, modified, path): a row for each id among the aliases; of an id's files the last path stays.
+
+    A file may hold several documents, parted by lines of three hyphens."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for at, raw in zip(pdf["path"], pdf["content"]):
-                a = _advisory(bytes(raw).decode("utf-8", "replace"))
-                get = lambda k: str(a.get(k, ""))
-                aliases = a.get("aliases", [])
-                rows += [(c, get("id"), get("details"), get("published"), get("modified"), at) for c in (aliases if isinstance(aliases, list) else [aliases]) if "CVE-" in c]
+                for text in re.split(r"(?m)^---\s*$", bytes(raw).decode("utf-8", "replace")):
+                    a = _advisory(text)
+                    get = lambda k, a=a: str(a.get(k, ""))
+                    aliases = a.get("aliases", [])
+                    rows += [(c, get("id"), get("details"), get("published"), get("modified"), at) for c in (aliases if isinstance(aliases, list) else [aliases]) if "CVE-" in c]
             yield pd.DataFrame(rows, columns=["cve_id", "id", "details", "published", "modified", "path"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml").option("recursiveFileLookup", True).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
     x = files.mapInPandas(parse, "cve_id string, id string, details string, published string, modified string, path string")
     return x.groupBy("cve_id").agg(*[F.max_by(c, "path").alias(c) for c in ("id", "details", "published", "modified")], F.max("path").alias("path"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexarium.functions import cpe
@@ -54,5 +56,29 @@ def id_messages(ids: DataFrame, per_message: int = 1000) -> DataFrame:
     return n.groupBy(bucket.alias("b")).agg(F.to_json(F.array_sort(F.collect_list("cve_id"))).alias("value")).select("value")
 
 
-def feature_matrix(features: DataFrame, path: str) -> None:
-    features.write.mode("overwrite").parquet(path)
+def product_dictionary(entries: DataFrame, path: str, computed: str, parts: int = 8) -> None:
+    """Dictionary files of (group_id, vendor, product_name, common_title, version, title, update, cpe, platform), in `parts` shares of the groups."""
+    v = F.struct("title", "version", "update", F.col("cpe").alias("cpeID"), "platform")
+    g = entries.groupBy("group_id", "vendor", "product_name", "common_title").agg(F.map_from_entries(F.collect_list(F.struct("version", v))).alias("versions"))
+    entry = F.struct("vendor", F.col("product_name").alias("product"), F.col("group_id").alias("groupID"), F.col("common_title").alias("commonTitle"), "versions")
+    documents(g.select("group_id", entry.alias("e")), path, parts, "group_id", lambda: F.struct(F.lit(computed).alias("compTime"), F.lit(computed).alias("refreshTime"), F.map_from_entries(F.collect_list(F.struct("group_id", "e"))).alias("products")))
+
+
+def documents(rows: DataFrame, path: str, parts: int, key: str, whole: Callable[[], Column]) -> None:
+    """One JSON document a file, of the `parts` shares of the rows by a hash of `key`; `whole` folds a share into its document."""
+    share = F.pmod(F.xxhash64(key), F.lit(parts)).alias("share")
+    rows.groupBy(share).agg(F.to_json(whole()).alias("value")).write.mode("overwrite").partitionBy("share").text(path)
+
+
+def arff(features: DataFrame, path: str, relation: str = "features") -> None:
+    """(doc_id, label, terms map of counts) as a sparse ARFF matrix: the header in `path`/header, the rows in `path`/data.
+
+    Attributes are numbered by their order; their list, which the format puts before the rows, is a sorted table and not one of the driver's."""
+    names = features.select(F.explode(F.map_keys("terms")).alias("term")).distinct()
+    numbered = names.select("term", F.row_number().over(Window.orderBy("term")).alias("k"))
+    labels = features.groupBy().agg(F.array_sort(F.collect_set("label")).alias("x")).select(F.concat(F.lit("@attribute Label {"), F.array_join("x", ","), F.lit("}")).alias("value"), F.lit(0).alias("k"))
+    head = labels.unionByName(numbered.select(F.concat(F.lit("@attribute "), "term", F.lit(" numeric")).alias("value"), "k")).unionByName(features.sparkSession.range(1).select(F.lit(f"@relation {relation}").alias("value"), F.lit(-1).alias("k")))
+    head.orderBy("k").select("value").write.mode("overwrite").text(f"{path}/header")
+    cells = features.select("doc_id", "label", F.explode("terms").alias("term", "n")).join(numbered, "term")
+    sparse = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda c: F.concat_ws(" ", c["k"].cast("string"), c["n"].cast("string"))), ",")
+    cells.groupBy("doc_id", "label").agg(sparse.alias("s")).select(F.concat(F.lit("{0 "), "label", F.lit(","), "s", F.lit("}")).alias("value")).write.mode("overwrite").text(f"{path}/data")

@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def id_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """(cve_id, received) from a folder of text files whose lines are JSON arrays of ids."""
+    """(cve_id, received) from a folder of text files whose lines are JSON arrays of ids; a message is received when its file was written. Empty ids are dropped."""
     s = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return s.select(F.explode(F.from_json("value", "array<string>")).alias("cve_id"), F.current_timestamp().alias("received")).filter(F.col("cve_id") != "")
+    return s.select(F.explode(F.from_json("value", "array<string>")).alias("cve_id"), F.col("_metadata.file_modification_time").alias("received")).filter(F.col("cve_id") != "")
 
 
 def version_stream(spark: SparkSession, path: str) -> DataFrame:
