@@ -78,6 +78,30 @@ def remove_words(words: Column, stop: list[str] | tuple[str, ...] = STOP_WORDS)
     return F.filter(words, lambda w: ~w.isin(*stop))
 
 
+def _platforms(text: str | None) -> list[str]:
+    """The versions of a text, each with the capitalised words right before it; in order, once each."""
+    out: dict[str, None] = {}
+    for s in re.split(r"\n|[.] ", text or ""):
+        for m in re.finditer(VERSION_TOKEN, s):
+            start, first = s.rindex(m.group()), -1
+            for i in range(start - 1, -1, -1):
+                if s[i] in ":;*,.\\/='":
+                    break
+                if s[i].isupper():
+                    first = i
+                if s[i] == " " and first != i + 1 and i != start - 1:
+                    break
+            if first >= 0:
+                out[s[first : start + len(m.group())]] = None
+    return list(out)
+
+
+@F.pandas_udf("array<string>")
+def platform_versions(x: pd.Series) -> pd.Series:
+    """Products with versions, such as Widget Server 1.2; a backward scan from each version, so it runs in Python."""
+    return x.map(_platforms)
+
+
 def csv_safe(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), r"[ '|\"…\[\]]", " ")
 

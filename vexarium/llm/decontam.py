@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexarium.llm.common import BROADCAST_BYTES, Memo, materialise, maybe_broadcast, word_hash, words
+from vexarium.llm.common import BROADCAST_BYTES, Memo, materialise, maybe_broadcast, tidy, word_hash, words
 
 N, THETA = 3, 0.6
 
@@ -138,7 +138,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n:
         by = items.select("gram", "h").distinct().toPandas()
         known = {m: np.sort(by.loc[by["gram"] == m, "h"].to_numpy(np.int64)) for m in (n, *short)}
         known = {m: h if len(h) else np.array([-1], np.int64) for m, h in known.items()}
-    hits = base.mapInPandas(_doc_shingles(n, known, short), "doc_id bigint, dkey bigint, h bigint, pos int")
+    hits = base.mapInPandas(tidy(_doc_shingles(n, known, short)), "doc_id bigint, dkey bigint, h bigint, pos int")
     if known is None:
         hits = hits.join(items.select("h").distinct(), "h", "left_semi")
     hits = materialise(hits, "bench-hits")
@@ -157,7 +157,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n:
     # A pair's matches, no more than the document has words, in order of position. Length bound: too few distinct ones in all of the document can't fill a window.
     pairs = match.groupBy(*doc, *item, "size", "span").agg(F.sort_array(F.collect_set("m")).alias("m"))
     pairs = pairs.filter(F.size(F.array_distinct(F.transform("m", lambda x: x["h"]))) >= need)
-    found = pairs.mapInPandas(_windows, "doc_id bigint, dkey bigint, item_id bigint, ikey bigint, size int, matched int, start int")
+    found = pairs.mapInPandas(tidy(_windows), "doc_id bigint, dkey bigint, item_id bigint, ikey bigint, size int, matched int, start int")
     return found.filter(F.col("matched") >= need)
 
 

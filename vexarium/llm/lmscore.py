@@ -9,9 +9,10 @@ The vocabulary grows with the corpus: D distinct words give D ** (2/3) ids, CLAS
 its spelling, log P(w | h) = log P(UNKNOWN | h) + log P(letters of w), where the letters follow an interpolated trigram model of bytes that
 is counted over all words without an id.
 
-Word counts cover the whole corpus. Training covers every position of it: each task runs noise-contrastive estimation (a
-binary choice between the true word and noise drawn from the unigram distribution, normaliser fixed at one) over its own texts from
-the same start, and the parameters of all tasks are averaged, each weighted by the positions it saw. A further round starts from there.
+Word counts cover the whole corpus. Training covers every position of it: the texts are dealt to shards by a hash, so what a shard holds, its order
+and its noise are the corpus's own and don't follow the input's partitions. Each shard runs noise-contrastive estimation (a
+binary choice between the true word and noise drawn from the unigram distribution, normaliser fixed at one) over its texts from
+the same start, and the parameters of all shards are averaged, each weighted by the positions it saw. A further round starts from there.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from vexarium.llm.common import materialise, words
 
 CLASS, CLASSES, DIM, CONTEXT = 64, 64, 16, 2  # the least number of words of a class, and of classes; id 0 is any word that is spelled out, 1 the start of a text
 NOISE, BATCH, LEARN, RATE, ROUNDS, SEED = 16, 32768, 8192, 0.05, 1, 11
+SHARD_WORDS, SHARDS = 4_000_000, 1024  # about as many words in a shard, and no more shards than this, each then larger
 UNKNOWN, START = 0, 1
 SMOOTH = 4.0  # the weight of the next shorter context of a letter
 # Codes of the bytes that words() leaves, 0 for the end of a word.
@@ -52,6 +54,7 @@ class LogBilinear:
     cbias: np.ndarray
     pos: np.ndarray
     spell: np.ndarray | None = None
+    n_words: int = 0  # of the corpus that the model was started from
 
     @property
     def size(self) -> int:
@@ -78,7 +81,7 @@ class LogBilinear:
         return out
 
     def copy(self) -> LogBilinear:
-        return LogBilinear(self.index, self.unigram, self.vec.copy(), self.bias.copy(), self.cvec.copy(), self.cbias.copy(), self.pos.copy(), self.spell)
+        return LogBilinear(self.index, self.unigram, self.vec.copy(), self.bias.copy(), self.cvec.copy(), self.cbias.copy(), self.pos.copy(), self.spell, self.n_words)
 
     def context(self, flow: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The predicted vectors at the positions `at` of a flow."""
@@ -293,7 +296,8 @@ def start(texts: DataFrame) -> LogBilinear:
         taken += m
     top = sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
     cells = letter_counts(counts.filter(F.col("n") < least)).toPandas()
-    return begin(top, sum(n * m for n, m in by_count if n < least), k, spelling(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)))
+    model = begin(top, sum(n * m for n, m in by_count if n < least), k, spelling(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)))
+    return replace(model, n_words=sum(n * m for n, m in by_count))
 
 
 def encode(docs: DataFrame, model: LogBilinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,14 +319,20 @@ def encode(docs: DataFrame, model: LogBilinear, id_col: str = "doc_id", text_col
 
 
 def train(encoded: DataFrame, model: LogBilinear, rounds: int = ROUNDS) -> LogBilinear:
-    """The model after `rounds` rounds of training on all of `encoded`; without any words, as it was."""
+    """The model after `rounds` rounds of training on all of `encoded`; without any words, as it was.
+
+    The same rows give the same model, whatever their order and partitions. A shard's rows are chosen by their id and text, so copies of a text are spread."""
     from pyspark import TaskContext
 
+    shards = int(np.clip(-(-model.n_words // SHARD_WORDS), 1, SHARDS))
+    rank = F.xxhash64("doc_id", "ids")
+    encoded = encoded.select("ids", rank.alias("rank")).repartition(shards, "rank").sortWithinPartitions("rank", "ids")
+
     for number in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(replace(model, index={}, spell=None))
 
         def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # Noise and order differ by task and round, the same when a task is repeated; later rounds take smaller steps.
+            # Noise and order differ by shard and round, the same when a task is repeated; later rounds take smaller steps.
             m, rng, seen = shared.value.copy(), np.random.default_rng([SEED, number, TaskContext.get().partitionId()]), 0
             for pdf in batches:
                 flow, at, _ = _encoded(pdf["ids"])
@@ -339,7 +349,7 @@ def train(encoded: DataFrame, model: LogBilinear, rounds: int = ROUNDS) -> LogBi
             break
         n, k = model.size, len(model.cbias)
         cut = [got[a:b, :DIM].copy() for a, b in ((0, n), (n, n + k), (n + k, None))]
-        model = LogBilinear(model.index, model.unigram, cut[0], got[:n, DIM].copy(), cut[1], got[n : n + k, DIM].copy(), cut[2], model.spell)
+        model = LogBilinear(model.index, model.unigram, cut[0], got[:n, DIM].copy(), cut[1], got[n : n + k, DIM].copy(), cut[2], model.spell, model.n_words)
     return model
 
 

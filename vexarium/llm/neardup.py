@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vexarium.llm.common import Memo, materialise, maybe_broadcast, word_hash, words
+from vexarium.llm.common import Memo, materialise, maybe_broadcast, tidy, word_hash, words
 
 K, B, CHUNKS, R = 32, 16, 8, 15
 LEAST = 0.5  # the Jaccard similarity of near copies
@@ -154,7 +154,7 @@ def hamming_pairs(sig_table: DataFrame, k: int = K, chunks: int = CHUNKS, radius
     # hashes of their ids, are one. No bucket is gathered: it is counted by a window, which spills.
     own = Window.partitionBy("key")
     h = F.xxhash64("id")
-    keyed = sig_table.mapInPandas(keys, "key bigint, id bigint").select("id", F.count("*").over(own).alias("n"), F.bit_xor(h).over(own).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(own).alias("s"))
+    keyed = sig_table.mapInPandas(tidy(keys), "key bigint, id bigint").select("id", F.count("*").over(own).alias("n"), F.bit_xor(h).over(own).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(own).alias("s"))
     member = keyed.filter("n > 1").select(F.xxhash64("n", "x", "s").alias("bucket"), "n", "id").distinct()
     # The block of an id in its bucket, and the cells (pairs of blocks) that it is searched in.
     blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
@@ -224,7 +224,7 @@ def confirmed(roots: DataFrame, sets: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["id", "root"]).astype("int64")
 
     kept = sets.join(roots.select(F.col("root").alias("id")).distinct(), "id").select(F.col("id").alias("root"), F.col("grams").alias("kept"))
-    held = materialise(roots.join(sets, "id").join(kept, "root").select("id", "root", "grams", "kept").mapInPandas(alike, "id bigint, root bigint, near boolean"), "near-held")
+    held = materialise(roots.join(sets, "id").join(kept, "root").select("id", "root", "grams", "kept").mapInPandas(tidy(alike), "id bigint, root bigint, near boolean"), "near-held")
     rest = held.filter("not near").join(sets, "id").groupBy("root").applyInPandas(regroup, "id bigint, root bigint")
     return held.filter("near").select("id", "root").unionByName(rest)
 
@@ -250,7 +250,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, chunks: int, r
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[keep], "dkey": pdf["dkey"].to_numpy()[keep], "sig": [sigs[i] for i in keep]})
 
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null").withColumn("dkey", F.xxhash64("text"))
-    signed = materialise(base.mapInPandas(sign, "doc_id bigint, dkey bigint, sig binary"), "near-sigs")
+    signed = materialise(base.mapInPandas(tidy(sign), "doc_id bigint, dkey bigint, sig binary"), "near-sigs")
     # Each distinct signature once, under its least id; further signatures of an id get numbers far above all ids.
     heads = signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     nth, far = F.row_number().over(Window.partitionBy("doc_id").orderBy("sig")), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "sig"), 2)
@@ -270,7 +270,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, chunks: int, r
         # Bigrams of the candidates alone.
         wanted = materialise(heads.join(ids, "id", "left_semi").select("doc_id").distinct(), "near-wanted")
         own = base.select("doc_id", "text").join(maybe_broadcast(wanted, 16), "doc_id", "left_semi")
-        own = own.mapInPandas(with_grams, "doc_id bigint, sig binary, long binary, grams binary").join(heads, ["doc_id", "sig"])
+        own = own.mapInPandas(tidy(with_grams), "doc_id bigint, sig binary, long binary, grams binary").join(heads, ["doc_id", "sig"])
         sets.append(materialise(own.groupBy("id").agg(F.min(F.struct("sig", "long", "grams")).alias("x")).select("id", "x.long", "x.grams"), "near-grams"))
         return sets[0].select("id", F.col("long").alias("sig"))
 

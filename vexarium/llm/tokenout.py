@@ -15,8 +15,6 @@ All blocks of a batch are coded in lockstep, a numpy lane for each block, so the
 from __future__ import annotations
 
 import base64
-import re
-import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexarium.llm.common import Memo
+from vexarium.llm.common import tidy
 from vexarium.llm.exactdedup import golomb_decode, golomb_encode
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,56 +35,27 @@ INC, STEP, LIMIT = 2, 32, 1024
 MASK = np.int64((1 << 48) - 1)
 
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_WS = "\t-\r \x85\xa0  -     　"
-_TWO = re.compile(f"[{_WS}][{_WS}]")
-_CHUNKS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
 
 class Tokenizer:
-    """Byte-level BPE with a memo of chunks. White space always begins a new piece, so the chunks between may be coded apart."""
+    """Byte-level BPE of whole texts; ids fit 16 bits."""
 
     def __init__(self, path: str = TOKENIZER):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        whole, single = self.encoding.encode_ordinary, self.encoding._core_bpe.encode_single_piece
-
-        self.line = array("H", whole("\n")).tobytes()
-
-        def spaced(s: str) -> bytes:  # a space and letters are one piece, which needs no splitting; the marks after them are another
-            if s.isalpha():
-                return array("H", single(b" " + s.encode())).tobytes()
-            head = s.rstrip(string.punctuation)
-            if head.isalpha():
-                return self.spaced[head] + self.plain[s[len(head) :]]
-            return array("H", whole(" " + s)).tobytes()
-
-        self.plain, self.spaced = Memo(lambda s: array("H", whole(s)).tobytes()), Memo(spaced, 500_000)
+        self.encoding = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint16)
-        if _TWO.search(text):
-            return np.frombuffer(b"".join(map(self.plain.__getitem__, _CHUNKS.findall(text))), np.uint16)
-        # White space stands alone here: a space joins the word after it, a line feed is a piece by itself.
-        parts: list[bytes] = []
-        for k, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if k:
-                parts.append(self.line)
-            if first:
-                parts.append(self.plain[first])
-            parts.extend(map(self.spaced.__getitem__, rest))
-        return np.frombuffer(b"".join(parts), np.uint16)
+        return np.frombuffer(array("H", self.encoding.encode_ordinary(text)), np.uint16) if text else np.zeros(0, np.uint16)
 
 
 @cache
 def _tokenizer(path: str) -> Tokenizer:
-    """One for each worker process, so its memo serves all the tasks that the worker runs."""
+    """One for each worker process, for all the tasks that it runs."""
     return Tokenizer(path)
 
 
@@ -367,7 +336,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield _flush(ids, streams, shard, first, block, lanes)[0]
 
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(f, SCHEMA)
+    return base.mapInPandas(tidy(f), SCHEMA)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexarium.llm.common import materialise, words
+from vexarium.llm.common import materialise, tidy, words
 
 GRADES = 4
 SAMPLE_ROWS = 20_000  # the bound on labelled rows used for fitting, taken in the order of a hash of their ids
@@ -161,14 +161,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     cells = [f"{kind}{k}" for kind in ("good", "bad") for k in range(FOLDS)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = [Counter() for _ in cells]
+        seen: Counter = Counter()  # a feature's counts in the cells, side by side in one number; a sample's are below 2 ** 32
+
+        def out() -> pd.DataFrame:
+            n = list(seen.values())
+            got = pd.DataFrame({"f": list(seen)} | {c: [x >> 32 * i & 0xFFFFFFFF for x in n] for i, c in enumerate(cells)}).astype(dict.fromkeys(cells, "int64"))
+            seen.clear()
+            return got
+
         for pdf in batches:
             for t, y, k in zip(pdf["text"], pdf["toxic"], pdf["fold"]):
-                seen[y * FOLDS + k].update(features(t).keys())
-        keys = list(set().union(*seen))
-        yield pd.DataFrame({"f": keys} | {c: [s[k] for k in keys] for c, s in zip(cells, seen)}).astype(dict.fromkeys(cells, "int64"))
-
-    counts = sample.mapInPandas(count, "f binary, " + ", ".join(f"{c} bigint" for c in cells)).groupBy("f").agg(*[F.sum(c).alias(c) for c in cells])
+                one = 1 << 32 * (y * FOLDS + k)
+                for x in features(t):
+                    seen[x] += one
+                if len(seen) > 100_000:
+                    yield out()
+        yield out()
+
+    counts = sample.mapInPandas(tidy(count), "f binary, " + ", ".join(f"{c} bigint" for c in cells)).groupBy("f").agg(*[F.sum(c).alias(c) for c in cells])
     totals = {(r["toxic"], r["fold"]): r["n"] for r in sample.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
     n = [sum(v for (y, _), v in totals.items() if y == kind) for kind in (0, 1)]
     if not all(n):
@@ -197,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 out.append((int(y), int(k), [index[x] for x in f], list(map(math.log1p, f.values()))))
             yield pd.DataFrame(out, columns=["y", "fold", "i", "v"])
 
-    rows = sample.mapInPandas(vectors, "y int, fold int, i array<int>, v array<double>").toPandas()
+    rows = sample.mapInPandas(tidy(vectors), "y int, fold int, i array<int>, v array<double>").toPandas()
     y, fold_of = rows["y"].to_numpy(np.int64), rows["fold"].to_numpy()
 
     def fit(view: int, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[dict[int, float]]]:
@@ -233,7 +243,7 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "severity": np.round(p @ np.arange(GRADES), 6), "p_toxic": np.round(bad, 6), "grade": p.argmax(axis=1), "rejected": (bad >= model.reject_at) & ~empty})
 
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(f, "doc_id bigint, severity double, p_toxic double, grade int, rejected boolean")
+    return base.mapInPandas(tidy(f), "doc_id bigint, severity double, p_toxic double, grade int, rejected boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:

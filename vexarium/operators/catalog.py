@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexarium.functions.dates import hour_gap
@@ -48,15 +48,50 @@ def time_gaps(vulnerability: DataFrame, registry: DataFrame, at: str) -> DataFra
     return vulnerability.select("cve_id", "created_date").join(registry.select("cve_id", F.col(at).alias("_at")), "cve_id").select("cve_id", hour_gap("created_date", "_at").alias("timegap"))
 
 
+def attach_verdicts(rows: DataFrame, verdicts: DataFrame, column: str, default: str | None = None) -> DataFrame:
+    """`rows` (cve_id, ...) with the verdict of an outside service from (cve_id, `column`), a row an id at most; else the default."""
+    j = rows.join(verdicts.select("cve_id", column), "cve_id", "left")
+    return j if default is None else j.fillna(default, [column])
+
+
+def assign_weaknesses(rows: DataFrame, verdicts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cve_id, node): the weaknesses that an outside service named for each id in `verdicts` (cve_id, node), as far as the forest has them."""
+    return verdicts.join(rows.select("cve_id").distinct(), "cve_id", "left_semi").join(nodes.select("node"), "node", "left_semi").select("cve_id", "node").distinct()
+
+
+def pages_to_read(pages: DataFrame) -> DataFrame:
+    """(site, page) of the listing pages that are read, from (site, page, ids): paging stops at a page without ids, and before one that shares an id
+    with an earlier page. Where each id occurs first decides, so pages are never compared with each other."""
+    seen = Window.partitionBy("site", "id").orderBy("page")
+    ids = pages.select("site", "page", F.explode("ids").alias("id")).distinct().withColumn("_again", F.row_number().over(seen) > 1)
+    again = ids.groupBy("site", "page").agg(F.bool_or("_again").alias("_again"))
+    stop = pages.select("site", "page").join(again, ["site", "page"], "left").filter(F.coalesce("_again", F.lit(True))).groupBy("site").agg(F.min("page").alias("_stop"))
+    return pages.join(stop, "site", "left").filter("_stop is null OR page < _stop").select("site", "page")
+
+
+def ordered_products(products: DataFrame) -> DataFrame:
+    """Products by falling id, then by platform id; a range sort, not a single task."""
+    return products.orderBy(F.desc("cve_id"), F.asc("cpe"))
+
+
 def source_types(rows: DataFrame, types: DataFrame, url: str = "source_url") -> DataFrame:
-    """`rows` with the type of their host from (host, type), else other."""
-    return rows.withColumn("_host", host(url)).join(F.broadcast(types.select(F.col("host").alias("_host"), F.col("type").alias("looked_up_type"))), "_host", "left").withColumn("looked_up_type", F.coalesce("looked_up_type", F.lit("other"))).drop("_host")
+    """`rows` with the type of their host from (host, type), else other. Whether the types are broadcast is left to their measured size."""
+    return rows.withColumn("_host", host(url)).join(types.select(F.col("host").alias("_host"), F.col("type").alias("looked_up_type")), "_host", "left").withColumn("looked_up_type", F.coalesce("looked_up_type", F.lit("other"))).drop("_host")
 
 
 def admit_urls(pages: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Pages that aren't media files and begin with a prefix of the whitelist (prefix)."""
     ok = pages.filter(~F.lower("url").rlike(r"\.(css|js|gif|jpg|png|mp3|mp4|zip|gz)$"))
-    return ok.join(F.broadcast(whitelist), F.startswith(F.lower(ok["url"]), F.lower(whitelist["prefix"])), "left_semi")
+    w = whitelist.select(F.lower("prefix").alias("_prefix")).filter("_prefix is not null").distinct()
+    # By equality: each address with its beginnings of the lengths that prefixes have, a few dozen at most, gathered from the whitelist alone.
+    sizes = F.array_sort(F.collect_set(F.length("_prefix")))
+    lengths = w.agg(sizes.alias("x")).first()["x"]
+    low, own = F.lower("url"), F.col("_own")
+    if not lengths:
+        return ok.filter(F.lit(False))
+    heads = ok.withColumn("_own", F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(F.length(low) >= n, F.substring(low, F.lit(1), n)))))
+    hit = heads.select("url", F.explode(own).alias("_prefix")).join(w, "_prefix", "left_semi").select("url").distinct()
+    return ok.join(hit, "url", "left_semi")
 
 
 def sourceless(vulnerability: DataFrame, urls: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ _ID = r"CVE-\d{4}-\d{4,5}"
 _GHSA = r"GHSA-\w{4}-\w{4}-\w{4}"
 MULTI_CVE = rf"^(?:{_ID}, {_GHSA}|{_ID}, (?:{_GHSA}|{_ID}), and \d more)$"
 
+REMOTE_TOKENS = 4097
+
 #: A filter's name -> predicate that a good row fulfils; all read `raw_description` and `cve_id`.
 FILTERS: dict[str, Callable[[], Column]] = {
     "BLANK": lambda: jtrim("raw_description") != "",
@@ -22,8 +24,8 @@ FILTERS: dict[str, Callable[[], Column]] = {
     "MULTI_CVE": lambda: ~jtrim("raw_description").rlike(MULTI_CVE),
     "SIZE": lambda: F.char_length(jtrim("raw_description")) <= 1000,
     "SIMPLE": lambda: F.lit(True),
-    # The verdict of a remote model, joined in as a column by the caller; no verdict passes.
-    "REMOTE": lambda: F.coalesce(F.col("remote_verdict"), F.lit(True)),
+    # The verdict of a remote model, joined in as a column by the caller beside the text's number of tokens: too long a text fails, and no verdict passes.
+    "REMOTE": lambda: (F.coalesce(F.col("remote_tokens"), F.lit(0)) <= REMOTE_TOKENS) & F.coalesce(F.col("remote_verdict"), F.lit(True)),
 }
 LOCAL = ("BLANK", "SELF_ID", "INTEGER", "MULTI_CVE", "SIZE")
 SCOPES = {"LOCAL": LOCAL, "REMOTE": ("REMOTE",), "ALL": (*LOCAL, "REMOTE")}

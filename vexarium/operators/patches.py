@@ -19,9 +19,23 @@ def commit_rows(commits: DataFrame) -> DataFrame:
     return commits.select("cve_id", "repo", "sha", "commit_date", abridge("message").alias("message"), diff_body("diff").alias("uni_diff"), lines_changed("diff").alias("lines_changed"))
 
 
-def commit_timeline(commits: DataFrame, most: int = 11) -> DataFrame:
-    """(repo, n_commits, timeline): all commits of a repository by time, or the first, the next most - 2, and the last."""
+def upsert_commits(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """`stored` after `incoming` by sha: a known commit takes the new date, message, diff and counts and keeps its id and repository, an unknown one is
+    added. Of several incoming rows of a commit the latest by (commit_date, message) counts. One join by sha; both sides have the same columns."""
+    rest = [c for c in stored.columns if c != "sha"]
+    latest = incoming.groupBy("sha").agg(F.max_by(F.struct(*rest), F.struct("commit_date", "message")).alias("_n"))
+    j = stored.select("sha", F.struct(*rest).alias("_o")).join(latest, "sha", "full_outer")
+    kept = {"cve_id", "repo"}
+    return j.select("sha", *[(F.coalesce(F.col(f"_o.{c}"), F.col(f"_n.{c}")) if c in kept else F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}"))).alias(c) for c in rest])
+
+
+def commit_timeline(commits: DataFrame, most: int = 11, newest_first: bool = False) -> DataFrame:
+    """(repo, n_commits, timeline): all commits of a repository by time, or the first, the next most - 2, and the last.
+
+    The elapsed form goes back from the newest: most=8, newest_first=True."""
     xs = commits.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("commit_date", "sha"))).alias("xs"))
+    if newest_first:
+        xs = xs.withColumn("xs", F.reverse("xs"))
     n = F.size("xs")
     chosen = F.when(n <= most, F.col("xs")).otherwise(F.concat(F.slice("xs", 1, most - 1), F.slice("xs", n, 1)))
     return xs.select("repo", n.alias("n_commits"), F.array_join(F.transform(chosen, lambda x: x["sha"]), ";").alias("timeline"))

@@ -25,9 +25,16 @@ def latest_run(update: DataFrame, start: str, end: str) -> DataFrame:
     return update.filter(inside).groupBy("vuln_id").agg(F.max("run_id").alias("run_id"), F.max("run_date_time").alias("run_date_time"))
 
 
-def is_reportable(description: str = "description", labels: str | None = "vdo_labels") -> Column:
-    """Neither reserved nor rejected, at least 50 bytes long, and characterised."""
+def plain_list(x: Column | str, sep: str = ";") -> Column:
+    """As distinct_list, but an item for each row."""
+    return F.array_join(F.array_sort(F.collect_list(x)), sep)
+
+
+def is_reportable(description: str = "description", labels: str | None = "vdo_labels", status: str | None = None) -> Column:
+    """Neither reserved nor rejected, by text and by status (2), at least 50 bytes long, and characterised."""
     d = F.col(description)
+    if status:
+        return is_reportable(description, labels) & (F.col(status) != 2)
     ok = d.isNotNull() & ~d.like("%** RESERVED ** This candidate%") & ~d.like("%** REJECT ** DO NOT USE%") & (F.octet_length(d) >= 50)
     return ok & F.col(labels).isNotNull() if labels else ok
 
@@ -45,19 +52,38 @@ class AggregateInputs:
     exploits: DataFrame
 
 
-def daily_aggregate(t: AggregateInputs, start: str, end: str, require_labels: bool = True) -> DataFrame:
+def daily_aggregate(t: AggregateInputs, start: str, end: str, require_labels: bool = True, distinct: bool = True) -> DataFrame:
     """One row for each vulnerability of the range and each of its exploits, with its lists of labels, links, scores and products.
 
-    Every list is distinct and ordered by itself, so items of two lists don't pair."""
+    Every list is distinct and ordered by itself, so items of two lists don't pair; with distinct=False all lists but the links have an item a row.
+    Only the rows of the range's reportable vulnerabilities are gathered: their ids reduce every side first. Where vulnerabilities have a status_id, 2 is left out."""
+    wanted = latest_run(t.runs, start, end).join(t.vulnerabilities, "vuln_id").filter(is_reportable(labels=None, status="status_id" if "status_id" in t.vulnerabilities.columns else None))
+    ids = wanted.select("cve_id").distinct()
+    t = replace(t, **{k: getattr(t, k).join(ids, "cve_id", "left_semi") for k in ("vdo", "urls", "cvss", "products")})
+    return _aggregate(t, wanted, require_labels, distinct_list if distinct else plain_list)
+
+
+_links = distinct_list
+
+
+def _aggregate(t: AggregateInputs, wanted: DataFrame, require_labels: bool, distinct_list: Callable[..., Column]) -> DataFrame:
     vdo = t.vdo.groupBy("cve_id").agg(distinct_list("label").alias("vdo_labels"), distinct_list(number_text("confidence")).alias("vdo_label_confidences"), distinct_list("noun_group").alias("vdo_noun_groups"))
-    urls = t.urls.groupBy("cve_id").agg(distinct_list("source_url").alias("urls"))
+    urls = t.urls.groupBy("cve_id").agg(_links("source_url").alias("urls"))
     cvss = t.cvss.groupBy("cve_id").agg(distinct_list("severity").alias("base_severities"), distinct_list(number_text("severity_confidence")).alias("severity_confidences"), distinct_list(number_text("impact_score")).alias("impact_scores"))
     products = t.products.groupBy("cve_id").agg(distinct_list(F.col("product_id").cast("string")).alias("product_ids"), distinct_list("cpe").alias("cpes"), distinct_list("version").alias("versions"))
-    x = latest_run(t.runs, start, end).join(t.vulnerabilities, "vuln_id")
+    x = wanted
     for side in (vdo, urls, cvss, products):
         x = x.join(side, "cve_id", "left")
     exploits = t.exploits.select("cve_id", F.col("exploit_date").alias("exploit_publish_date"), F.col("exploit_source").alias("exploit_url"))
-    return x.filter(is_reportable(labels="vdo_labels" if require_labels else None)).join(exploits, "cve_id", "left")
+    if require_labels:
+        x = x.filter("vdo_labels is not null")
+    return x.join(exploits, "cve_id", "left")
+
+
+def run_averages(history: DataFrame) -> DataFrame:
+    """One row over run_history (total, added, updated, nvd_gap, mitre_gap): averages to two digits, and the last run's total."""
+    mean = lambda c: F.round(F.avg(c), 2).alias(f"avg_{c}")
+    return history.agg(*map(mean, ("added", "updated", "nvd_gap", "mitre_gap")), F.max_by("total", "run_id").alias("total"))
 
 
 def incremental(aggregate: DataFrame, seen: DataFrame) -> DataFrame:

@@ -62,10 +62,10 @@ def filter_custom_scope(d: Domain) -> DataFrame:
     return d.raw.withColumn("status", F.lit(0)).select("raw_description_id", filters.next_status(names).alias("new_status"))
 
 
-@query("filter_remote_verdict", "SELECT raw_description_id, CAST(CASE WHEN source_type = 'user' OR raw_description_id % 11 <> 3 THEN 2 ELSE 3 END AS INT) AS new_status FROM d_raw")
+@query("filter_remote_verdict", "SELECT raw_description_id, CAST(CASE WHEN source_type = 'user' OR (raw_description_id % 11 <> 3 AND coalesce(n_chars // 4, 0) <= 4097) THEN 2 ELSE 3 END AS INT) AS new_status FROM d_raw")
 def filter_remote_verdict(d: Domain) -> DataFrame:
     verdicts = F.when(F.col("raw_description_id") % 11 == 3, False).when(F.col("raw_description_id") % 11 == 4, True)
-    return d.raw.withColumn("status", F.lit(0)).withColumn("remote_verdict", verdicts).select("raw_description_id", filters.next_status(filters.choose("REMOTE")).alias("new_status"))
+    return d.raw.withColumn("status", F.lit(0)).withColumn("remote_verdict", verdicts).withColumn("remote_tokens", F.expr("n_chars DIV 4")).select("raw_description_id", filters.next_status(filters.choose("REMOTE")).alias("new_status"))
 
 
 @query("filter_run_counts", f"SELECT count(*) AS num_in, count(DISTINCT {_TRIM}) AS num_distinct, count(*) FILTER (WHERE source_type = 'user' OR ({_ALL})) AS num_passed FROM d_raw")
