@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CVE_ID = "CVE-[0-9]+-[0-9]+"
 VERSION_TOKEN = r"(\d+\.(?:\d+\.)*\d+)"
@@ -96,7 +100,7 @@ def _platforms(text: str | None) -> list[str]:
     return list(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def platform_versions(x: pd.Series) -> pd.Series:
     """Products with versions, such as Widget Server 1.2; a backward scan from each version, so it runs in Python."""
     return x.map(_platforms)
