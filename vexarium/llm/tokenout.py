@@ -62,7 +62,6 @@ def _tokenizer(path: str) -> Tokenizer:
 #: The starting weights of a state, and its counter, as three fields of FIELD bits.
 FIELD = 16
 _INIT = np.array([sum(w << FIELD * e for e, w in enumerate((STEP * (s >> 3 > 0), STEP * ((s >> 1) & 3 > 0 and not s & 1), STEP))) for s in range(32)], np.int64)
-_NEXT = np.array([min(b + 1, 3) for b in range(4)] + [max(b - 1, 1) for b in range(4)], np.int32)
 _ONE = (1 << FIELD) - 1
 # Which of a group's 16 counts, four to a 64-bit word, come before the i-th; the counts of a group sum to less than 2 ** 16.
 _BEFORE = np.frombuffer((np.tril(np.ones((WIDE, WIDE), np.int16), -1) * np.int16(-1)).astype("<i2").tobytes(), np.uint64).reshape(WIDE, WIDE // 4)
@@ -120,7 +119,7 @@ class _Model:
         for table, i, v, a in ((self.one, self.i1, self.v1, self.a1), (self.two, self.i2, self.v2, self.a2)):
             b = v & 3
             hit = (a == narrow) & (b > 0)
-            table[i] = np.where(hit | (b > 1), v & ~3, x4) | _NEXT.take(b + 4 * ~hit)
+            table[i] = np.where(hit | (b > 1), v & ~3, x4) | np.where(hit, np.minimum(b + 1, 3), np.maximum(b - 1, 1))
         at = self.at_id[:n] + x
         self.low[at] = self.low.take(at) + np.int16(INC)
         self.top[:n] += self.later.take(x >> 4, axis=0)
@@ -137,7 +136,7 @@ class _Model:
     def excluded(self, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids that orders 1 and 2 predicted, and their order-0 counts, which are left out of order 0."""
         base = self.at_id.take(j)
-        return [(a[j], np.where(has[j], self.low.take(base + a[j]), 0).astype(np.int32)) for a, has in ((self.a2, self.has2), (self.a1, self.has1))]
+        return [(x := a.take(j), self.low.take(base + x).astype(np.int32) * has.take(j)) for a, has in ((self.a2, self.has2), (self.a1, self.has1))]
 
 
 def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,14 +150,13 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     n, steps = len(blocks), max((len(b) for b in blocks), default=0)
     x = np.zeros((n, steps), np.int16)
     heads, sizes, lens = [], np.zeros(n, np.int64), np.array([len(blocks[i]) for i in order], np.int64)
-    seen, rank = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int16)
+    rank = np.zeros(1 << 16, np.int16)  # read at a block's own ids only
     for lane, i in enumerate(order):
         ids = blocks[i]
-        seen[:] = 0
-        seen[ids] = 1
-        alphabet = np.flatnonzero(seen)
+        alphabet = np.sort(ids, kind="stable")  # by radix
+        alphabet = alphabet[np.append(True, alphabet[1:] != alphabet[:-1])[: len(ids)]]
         rank[alphabet] = np.arange(len(alphabet))
-        x[lane, : len(ids)] = rank[ids]
+        x[lane, : len(ids)] = rank.take(ids)
         sizes[lane] = len(alphabet)
         data, k = golomb_encode(alphabet.astype(np.uint64), 16)
         heads.append(len(ids).to_bytes(2, "little") + len(alphabet).to_bytes(2, "little") + bytes([k]) + len(data).to_bytes(3, "little") + data)
@@ -182,12 +180,12 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         ra[:] = r * ((m.w >> event * FIELD) & _ONE)
         j = miss.nonzero()[0]
         if len(j):
-            y = s[j]
-            cum, total = m.before(j, y), m.total[j]
+            y = s.take(j)
+            cum, total = m.before(j, y), m.total.take(j)
             for a, gone in m.excluded(j):
                 total -= gone
                 cum -= gone * (a < y)
-            r = _divide(ra[j], np.maximum(total, 1))
+            r = _divide(ra.take(j), np.maximum(total, 1))
             lo[j] += r * cum
             ra[j] = r * m.low.take(m.at_id.take(j) + y)
         m.update(k, s, event)
@@ -203,8 +201,8 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
             j = (ra < 1 << 32).nonzero()[0]
             if not len(j):
                 break
-            v = lo[j]
-            out[j, pos[j]] = v >> 32
+            v = lo.take(j)
+            out[j, pos.take(j)] = v >> 32
             pos[j] += 1
             lo[j] = (v << 16) & MASK
             ra[j] <<= 16
