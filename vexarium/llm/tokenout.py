@@ -302,6 +302,13 @@ def _flush(ids: list, streams: list[np.ndarray | None], shard: int, first: int,
     return pd.DataFrame(rows, columns=["shard", "block", "doc_ids", "starts", "sizes", "n_tokens", "crc", "payload"]), first + len(blocks)
 
 
+def _packed(docs: DataFrame, tokens: int) -> DataFrame:
+    """`docs` in partitions large enough for `tokens` tokens each, of about two bytes or more, and no fewer than two a core: small files
+    would leave most lanes of a task empty. Larger partitions stay as they are, and nothing is shuffled."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.coalesce(max(size // (2 * tokens), 2 * docs.sparkSession.sparkContext.defaultParallelism))
+
+
 SCHEMA = "shard int, block int, doc_ids array<bigint>, starts array<int>, sizes array<int>, n_tokens int, crc bigint, payload binary"
 
 
@@ -334,7 +341,7 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield _flush(ids, streams, shard, first, block, lanes)[0]
 
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInPandas(tidy(f), SCHEMA)
+    return _packed(base, block * lanes).mapInPandas(tidy(f), SCHEMA)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
