@@ -375,3 +375,11 @@ def test_word_rules_are_the_loops(spark):
         want += [(d, r["pos"], k) for r, k in zip(mine, loop_rules(mine, titles))]
     got = products.word_rules(spark.createDataFrame(rows), spark.createDataFrame([(t,) for t in titles], "title string")).select("doc_id", "pos", "kind").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_platforms_are_the_capitalised_words_before_a_version(spark):
+    from vexarium.functions.text import platform_versions
+
+    rows = [("fixed in Widget Server 1.2.3 and later",), ("no product 1.2",), (None,), ("Alpha 2.0. Beta 3.1\nAlpha 2.0",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(platform_versions("t")).collect()]
+    assert got == [["Widget Server 1.2.3"], [], [], ["Alpha 2.0", "Beta 3.1"]]
