@@ -546,6 +546,63 @@ def test_the_vocabulary_grows_with_the_words():
     assert [lmscore.side(n) for n in (10, 280_729, 899_189, 10**9)] == [64, 66, 97, 1000]
 
 
+def zipf_model(k, n):
+    """A model of k classes of k words with larger vectors, and a flow of n words by Zipf's law with all their positions."""
+    size, rng = k * k, np.random.default_rng(k)
+    m = lmscore.begin([(b"%d" % i, size // i) for i in range(1, size - 1)], size // 9, k)
+    m.vec *= 5
+    m.cvec *= 5
+    flow, at, _ = lmscore._flow([rng.choice(size, n, p=m.unigram).astype(np.int32)])
+    return m, flow, at
+
+
+def test_normalisers_of_frequent_pairs():
+    m, flow, at = zipf_model(70, 20_000)
+    known = m.pair_sums()
+    assert all(x.shape == (lmscore.HEAD, lmscore.HEAD) for x in known)
+    vec, bias, cvec, cbias = (x.astype(float) for x in (m.vec, m.bias, m.cvec, m.cbias))
+    q = vec[flow[at - 1]] * m.pos[0] + vec[flow[at - 2]] * m.pos[1]
+    s, c = q @ cvec.T + cbias, flow[at] // 70
+    want = s[np.arange(len(s)), c] - np.log(np.exp(s).sum(axis=1))
+    within = np.einsum("ij,ikj->ik", q, vec.reshape(70, 70, -1)[c]) + bias.reshape(70, 70)[c]
+    want += within[np.arange(len(s)), flow[at] % 70] - np.log(np.exp(within).sum(axis=1))
+    head = (flow[at - 1] < lmscore.HEAD) & (flow[at - 2] < lmscore.HEAD)
+    assert 0.1 < head.mean() < 0.9
+    assert np.abs(m.log_probs(flow, at, known) - want).max() < 1e-3 and np.abs(m.log_probs(flow, at) - want).max() < 1e-3
+    m.vec *= 1000  # products would leave the range of a float
+    assert m.pair_sums() == (None, None)
+
+
+def test_noise_of_many_classes_at_once():
+    rng = np.random.default_rng(6)
+    lens = np.array([1, 2, 3, 4, 5, 8, 9, 31, 64, 65, 200])
+    starts = np.cumsum(lens) - lens
+    draw = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
+    q, r, b, grad = draw(lens.sum(), lmscore.DIM), draw(len(lens), lmscore.NOISE, lmscore.DIM), draw(len(lens), lmscore.NOISE), draw(lens.sum(), lmscore.DIM)
+    want = grad.copy()
+    got = lmscore._noise_within(q, starts, lens, r, b, grad)
+    for i, (a, n) in enumerate(zip(starts, lens)):
+        taken, back = lmscore._noise(q[a : a + n], r[i], b[i])
+        want[a : a + n] -= back
+        assert np.allclose(got[i], taken, atol=1e-4)
+    assert np.allclose(grad, want, atol=1e-4)
+
+
+def test_work_for_a_word_grows_less_than_the_vocabulary(monkeypatch):
+    m, flow, at = zipf_model(313, 1 << 16)  # the vocabulary of about 30 million distinct words
+    sizes, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *args, **named: sizes.append(np.size(x)) or exp(x, *args, **named))
+    m.learn(flow, at, np.random.default_rng(1))
+    assert len(sizes) < 50 * len(at) / lmscore.LEARN  # not one for each of the classes of a batch
+    sizes.clear()
+    m.log_probs(flow, at)
+    assert max(sizes) <= 1 << 18  # what stays in a CPU's cache
+    known = m.pair_sums()
+    sizes.clear()
+    m.log_probs(flow, at, known)
+    assert sum(sizes) < 0.75 * len(at) * 2 * 313
+
+
 # ---------------------------------------------------------------- pipeline
 
 

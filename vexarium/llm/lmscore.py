@@ -31,6 +31,7 @@ from vexarium.llm.common import materialise, words
 
 CLASS, CLASSES, DIM, CONTEXT = 64, 64, 16, 2  # the least number of words of a class, and of classes; id 0 is any word that is spelled out, 1 the start of a text
 NOISE, BATCH, LEARN, RATE, ROUNDS, SEED = 16, 32768, 8192, 0.05, 1, 11
+HEAD, LARGEST, CELLS, ALONE = 2048, 80.0, 1 << 17, 64  # ids whose pairs' normalisers a task computes beforehand; exp of it is a float; numbers of a step of the other normalisers; rows of a class that is computed by itself
 SHARD_WORDS, SHARDS = 4_000_000, 1024  # about as many words in a shard, and no more shards than this, each then larger
 UNKNOWN, START = 0, 1
 SMOOTH = 4.0  # the weight of the next shorter context of a letter
@@ -85,36 +86,69 @@ class LogBilinear:
 
     def context(self, flow: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The predicted vectors at the positions `at` of a flow."""
-        q = self.vec[flow[at - 1]] * self.pos[0]
+        q = self.vec.take(flow[at - 1], axis=0)
+        q *= self.pos[0]
         for j in range(1, CONTEXT):
-            q += self.vec[flow[at - 1 - j]] * self.pos[j]
+            x = self.vec.take(flow[at - 1 - j], axis=0)
+            x *= self.pos[j]
+            q += x
         return q
 
-    def log_probs(self, flow: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Normalised log P of the words at the positions `at` given the CONTEXT words before each."""
+    def log_probs(self, flow: np.ndarray, at: np.ndarray, known: tuple[np.ndarray | None, np.ndarray | None] = (None, None)) -> np.ndarray:
+        """Normalised log P of the words at the positions `at` given the CONTEXT words before each; `known` is of pair_sums()."""
         out = np.empty(len(at), np.float32)
+        classes, own = np.hstack([self.cvec, self.cbias[:, None]]), np.hstack([self.vec, self.bias[:, None]])
         for k in range(0, len(at), BATCH):
             part = at[k : k + BATCH]
             target = flow[part]
             order = np.argsort((target // self.width).astype(np.int16), kind="stable")
-            target, q = target[order], self.context(flow, part[order])
+            target, part = target[order], part[order]
             cls = target // self.width
-            s = q @ self.cvec.T
-            s += self.cbias
-            got = s[np.arange(len(s)), cls]
-            np.exp(s, out=s)
-            lp = got - np.log(s.sum(axis=1))
+            q = np.ones((len(part), DIM + 1), np.float32)
+            q[:, :DIM] = self.context(flow, part)
+            x = classes.take(cls, axis=0)
+            x += own.take(target, axis=0)
+            lp = np.einsum("ij,ij->i", q, x)
             edges = np.searchsorted(cls, np.arange(len(self.cbias) + 1))
-            for c in np.unique(cls):
+            lp -= self.log_sums(flow, part, q, classes, known[0])
+            for c in np.flatnonzero(np.diff(edges)):
                 a, b, lo = edges[c], edges[c + 1], c * self.width
-                s = q[a:b] @ self.vec[lo : lo + self.width].T
-                s += self.bias[lo : lo + self.width]
-                got = s[np.arange(b - a), target[a:b] - lo]
-                np.exp(s, out=s)
-                lp[a:b] += got - np.log(s.sum(axis=1))
+                lp[a:b] -= self.log_sums(flow, part[a:b], q[a:b], own[lo : lo + self.width], None if c else known[1])
             out[k + order] = lp
         return out
 
+    def log_sums(self, flow: np.ndarray, at: np.ndarray, q: np.ndarray, rows: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+        """log of the sum of exp(q . r + b) over `rows` (r, b), for the contexts q, each with a one at its end, of the positions `at`."""
+        z = np.empty(len(q), np.float32)
+        if known is not None:
+            first, second = flow[at - 1], flow[at - 2]
+            rest = np.flatnonzero((first >= len(known)) | (second >= len(known)))
+            z[:] = known[np.minimum(first, len(known) - 1), np.minimum(second, len(known) - 1)]
+            z[rest] = self.log_sums(flow, at[rest], q[rest], rows, None)
+            return z
+        step, one = max(1, CELLS // len(rows)), np.ones(len(rows), np.float32)
+        for k in range(0, len(q), step):  # few enough to stay in a CPU's cache
+            s = q[k : k + step] @ rows.T
+            np.exp(s, out=s)
+            np.matmul(s, one, out=z[k : k + step])
+        return np.log(z, out=z)
+
+    def pair_sums(self) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """log_sums() of the classes, and of the words of the first class, for all contexts of two of the HEAD most frequent ids.
+
+        q is a sum over the two words, so exp(q . r) is a product of a factor of each, and all sums are one matrix product of the factors. None
+        where factors are so large that it might leave the range of a float."""
+        out = []
+        for r, b in ((self.cvec, self.cbias), (self.vec[: self.width], self.bias[: self.width])):
+            first, second = ((self.vec[:HEAD] * p) @ r.T for p in self.pos)
+            first += b
+            if max(np.abs(first).max(), np.abs(second).max()) < LARGEST / 2:
+                sums = np.exp(first, out=first) @ np.exp(second, out=second).T
+                out.append(np.log(sums, out=sums))
+            else:
+                out.append(None)
+        return out[0], out[1]
+
     def learn(self, flow: np.ndarray, at: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
         """One pass of minibatch NCE over the positions `at` of a flow, in place, with AdaGrad steps.
 
@@ -133,8 +167,12 @@ class LogBilinear:
             part = part[np.argsort((flow[part] // width).astype(np.int16), kind="stable")]
             target = flow[part]
             cls = target // width
-            n, q = np.float32(len(part)), self.context(flow, part)
-            rc, rt = self.cvec[cls], self.vec[target]
+            heard = [flow[part - 1 - j] for j in range(CONTEXT)]
+            n, said = np.float32(len(part)), [self.vec.take(h, axis=0) for h in heard]
+            q = said[0] * self.pos[0]
+            for x, p in zip(said[1:], self.pos[1:]):
+                q += x * p
+            rc, rt = self.cvec.take(cls, axis=0), self.vec.take(target, axis=0)
             # P(the true one is taken for noise), for both factors
             gc = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, rc) + (self.cbias - clog)[cls]))
             gt = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, rt) + (self.bias - wlog)[target]))
@@ -150,38 +188,35 @@ class LogBilinear:
             present = np.flatnonzero(np.diff(edges))
             drawn = np.searchsorted(wcdf, low[present, None] + rng.random((len(present), NOISE)) * cuni[present, None])
             drawn = np.clip(drawn, present[:, None] * width, present[:, None] * width + width - 1)
-            against = []
-            for c, ids in zip(present, drawn):
-                a, b = edges[c], edges[c + 1]
-                taken, back = _noise(q[a:b], self.vec[ids], self.bias[ids] - wlog[ids])
-                grad[a:b] -= back
-                against.append(taken)
+            against = _noise_within(q, edges[present], np.diff(edges)[present], self.vec.take(drawn, axis=0), self.bias[drawn] - wlog[drawn], grad)
             # Sums and steps are of the words of this batch alone, whatever the size of the vocabulary.
-            heard = [flow[part - 1 - j] for j in range(CONTEXT)]
-            drawn, against = drawn.ravel(), np.concatenate(against)
+            drawn, against = drawn.ravel(), against.reshape(-1, DIM + 1)
             used[:] = False
             for ids in (target, drawn, *heard):
                 used[ids] = True
             own = np.flatnonzero(used)
             place[own] = np.arange(len(own), dtype=np.int32)
-            d_vec, d_bias = _sums(place[target], gt[:, None] * q, len(own)), np.bincount(place[target], gt, len(own))
-            d_vec -= _sums(place[drawn], against[:, :DIM], len(own))
-            d_bias -= np.bincount(place[drawn], against[:, DIM], len(own))
-            d_pos = np.empty_like(self.pos)
-            for j, h in enumerate(heard):
-                d_pos[j] = np.einsum("ij,ij->j", grad, self.vec[h])
-                d_vec += _sums(place[h], grad * self.pos[j], len(own))
-            every = slice(None)
-            for x, d, sq, rows in zip((self.vec, self.bias, self.cvec, self.cbias, self.pos), (d_vec, d_bias, d_cvec, d_cbias, d_pos), squares, (own, own, every, every, every)):
+            d_bias = np.bincount(place[target], gt, len(own)) - np.bincount(place[drawn], against[:, DIM], len(own))
+            d_pos = np.array([np.einsum("ij,ij->j", grad, x) for x in said])
+            d_vec = _sums(place[np.concatenate([target, drawn, *heard])], np.concatenate([gt[:, None] * q, -against[:, :DIM], *(grad * p for p in self.pos)]), len(own))
+            every = np.arange(n_classes)
+            for x, d, sq, rows in zip((self.vec, self.bias, self.cvec, self.cbias, self.pos), (d_vec, d_bias, d_cvec, d_cbias, d_pos), squares, (own, own, every, every, every[:CONTEXT])):
                 d = (d / n).astype(np.float32)
-                sq[rows] += d * d
-                x[rows] += rate * d / np.sqrt(sq[rows])
+                total = sq.take(rows, axis=0)
+                total += d * d
+                sq[rows] = total
+                d *= rate
+                d /= np.sqrt(total, out=total)
+                d += x.take(rows, axis=0)
+                x[rows] = d
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """The sum of the rows of `values` for each of `size` row numbers."""
-    cells = rows[:, None] * DIM + np.arange(DIM)
-    return np.bincount(cells.ravel(), values.ravel(), size * DIM).reshape(size, DIM)
+    rows, out = rows.astype(np.intp), np.empty((DIM, size))
+    for x, column in zip(out, np.ascontiguousarray(values.T, np.float64)):
+        x[:] = np.bincount(rows, column, size)
+    return np.ascontiguousarray(out.T)
 
 
 def _noise(q: np.ndarray, r: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +230,34 @@ def _noise(q: np.ndarray, r: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.
     return np.hstack([s.T @ q, s.sum(axis=0)[:, None]]), s @ r
 
 
+def _noise_within(q: np.ndarray, starts: np.ndarray, lens: np.ndarray, r: np.ndarray, b: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """_noise() for classes, whose `lens` rows of q begin at `starts`, each against its own r and b; what goes back is taken off `grad`.
+
+    Small classes of about the same length are computed at once, filled up with rows that count for nothing."""
+    out = np.empty((*r.shape[:2], DIM + 1), np.float32)
+    for i in np.flatnonzero(lens > ALONE):
+        rows = slice(starts[i], starts[i] + lens[i])
+        out[i], back = _noise(q[rows], r[i], b[i])
+        grad[rows] -= back
+    width = ALONE
+    while width:
+        i = np.flatnonzero((lens <= width) & (lens > width // 2))
+        if len(i):
+            inside = np.arange(width) < lens[i, None]
+            at = np.where(inside, starts[i, None] + np.arange(width), 0)
+            x, y = q.take(at, axis=0), r[i]
+            s = x @ y.transpose(0, 2, 1)
+            s += b[i, None]
+            np.negative(s, out=s)
+            np.exp(s, out=s)
+            s += 1
+            np.divide(inside[:, :, None], s, out=s)
+            out[i, :, :DIM], out[i, :, DIM] = s.transpose(0, 2, 1) @ x, s.sum(axis=1)
+            grad[at[inside]] -= (s @ y)[inside]
+        width //= 2
+    return out
+
+
 def _trigrams(joined: bytes) -> np.ndarray:
     """The cell of each letter of words that are joined by two blanks, and of the end of each, by its code and those of the two before."""
     c = _CODE[np.frombuffer(b"  " + joined + b" ", np.uint8)]
@@ -358,11 +421,14 @@ def score(encoded: DataFrame, model: LogBilinear) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(replace(model, index={}, spell=None))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, known, seen = shared.value, (None, None), 0
         for pdf in batches:
             flow, at, lens = _encoded(pdf["ids"])
+            before, seen = seen, seen + len(at)
+            if before < HEAD * HEAD // 4 <= seen:  # enough positions to be worth it
+                known = m.pair_sums()
             owner = np.repeat(np.arange(len(lens)), lens)
-            lp = np.bincount(owner, m.log_probs(flow, at), minlength=len(lens)) + pdf["spelled"].to_numpy()
+            lp = np.bincount(owner, m.log_probs(flow, at, known), minlength=len(lens)) + pdf["spelled"].to_numpy()
             unknown = np.bincount(owner, flow[at] == UNKNOWN, minlength=len(lens)).astype(np.int64)
             perplexity = pd.Series(np.round(np.exp(-lp / np.maximum(lens, 1)), 4), index=pdf.index).where(lens > 0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": lens, "unknown": unknown, "log_prob": np.round(lp, 4), "perplexity": perplexity})
