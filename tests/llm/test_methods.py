@@ -7,6 +7,7 @@ import os
 import random
 import re
 import string
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -279,6 +280,44 @@ def test_tokenizer_agrees_with_the_library(text):
     assert TOKENS.encode(text).tolist() == TOKENS.encoding.encode_ordinary(text)
 
 
+BLANKS = " \t\n\x0b\x0c\r\x85\u00a0\u1680\u2000\u2007\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@given(st.lists(st.lists(st.sampled_from([*BLANKS, "  ", "\n\n", "\x1c", "\x1f", "\u180e", "\u200b", "the", "'ll", "é", "7", "?", "<|none|>"]), max_size=12).map("".join) | st.none(), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_runs_of_blanks_split_as_by_the_library(texts):
+    assert [x.tolist() for x in TOKENS.encode_all(texts)] == [TOKENS.encoding.encode_ordinary(t or "") for t in texts]
+
+
+def test_tokenizer_is_cheaper_than_the_look_ahead():
+    rng, took = random.Random(4), {TOKENS.encode: [], TOKENS.encoding.encode_ordinary: []}
+    text = prose(30_000, rng)
+    for _ in range(7):
+        for f, each in took.items():
+            began = time.thread_time()
+            f(text)
+            each.append(time.thread_time() - began)
+    ours, library = map(min, took.values())
+    assert ours < 0.9 * library
+
+
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=300), min_size=1, max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_order_0_below_against_counts(rows):
+    x = np.zeros((len(rows), max(map(len, rows))), np.int16)
+    for lane, r in enumerate(rows):
+        x[lane, : len(r)] = r
+    got = tokenout.below(x, np.full(len(rows), 10))
+    for lane, r in enumerate(rows):
+        assert got[lane, : len(r)].tolist() == [y + tokenout.INC * sum(z < y for z in r[:t]) for t, y in enumerate(r)]
+
+
+def test_blocks_keep_their_bytes():
+    rng = np.random.default_rng(3)
+    blocks = [(rng.zipf(1.2, n) % 50_000).astype(np.uint16) for n in (4096, 4095, 700, 1)] + [np.tile(np.arange(9), 400).astype(np.uint16), np.zeros(0, np.uint16)]
+    assert hashlib.sha256(b"".join(tokenout.encode_lanes(blocks))).hexdigest() == "2b0f0700f84a44b1027535caa7f3e0aed3573f3ac88aa51cac85a7dae3c10f82"
+
+
 def test_token_blocks_round_trip_and_damage(spark):
     texts = [prose(RNG.randint(0, 400)) + RNG.choice(["", "\n\n ", "  é漢🙂 1,234.5 it's"]) for _ in range(60)] + [None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)

@@ -9,6 +9,7 @@ never move. There are as many owners as the rows need for OWNER_ROWS each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +31,18 @@ def golomb_encode(values: np.ndarray, universe_bits: int = FP_BITS) -> tuple[byt
     n = len(values)
     if n == 0:
         return b"", 0
-    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    k = int(max(0, np.floor(np.log2(max(1.0, 0.69 * float(gaps.mean()))))))
+    gaps = values.astype(np.uint64)
+    gaps[1:] -= gaps[:-1].copy()
+    k = int(max(0, math.floor(math.log2(max(1.0, 0.69 * float(gaps.mean()))))))
     k = min(k, universe_bits - 1)
-    while int((gaps >> np.uint64(k)).sum()) > 64 * n:  # a skewed list: keep the unary part short
+    while int((q := gaps >> np.uint64(k)).sum()) > 64 * n:  # a skewed list: keep the unary part short
         k += 1
-    q = (gaps >> np.uint64(k)).astype(np.int64)
-    ends = np.cumsum(q + 1) - 1
-    unary = np.ones(int(ends[-1]) + 1, np.uint8)
-    unary[ends] = 0
-    shifts = np.arange(k, dtype=np.uint64)[::-1]
-    low = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()
-    return np.packbits(np.concatenate([unary, low])).tobytes(), k
+    ends = np.cumsum(q.astype(np.int64) + 1) - 1
+    unary = int(ends[-1]) + 1
+    bits = np.ones(unary + n * k, np.uint8)
+    bits[ends] = 0
+    bits[unary:].reshape(n, k)[:] = (gaps[:, None] >> np.arange(k, dtype=np.uint64)[::-1]) & np.uint64(1)
+    return np.packbits(bits).tobytes(), k
 
 
 def golomb_decode(data: bytes, n: int, k: int) -> np.ndarray:

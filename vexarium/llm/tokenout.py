@@ -9,19 +9,22 @@ ids, or after the previous id, with a confidence. Order 0 predicts by the counts
 mixed by weights learned in the block for each state of the two confidences and their agreement; ids that orders 1 and 2
 predicted are excluded from order 0. The weights and counts drive a 48-bit range coder with carries.
 
-All blocks of a batch are coded in lockstep, a numpy lane for each block, so the Python cost is per step and not per token.
+All blocks of a batch are coded in lockstep, a numpy lane for each block, so the Python cost is per step and not per token. The
+encoder has the ids beforehand, so it takes what order 0 has below each of them from one pass over the batch; the decoder keeps sums.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from array import array
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,13 @@ MASK = np.int64((1 << 48) - 1)
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+# Without the look-ahead, which the library runs slowly, only a run of blanks before a text splits otherwise: its last blank goes with that
+# text. Texts are cut there instead. These are the library's blanks; Python and RE2 have others by \s.
+_PLAIN = _PATTERN.replace(r"\s+(?!\S)|", "")
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_CUT = re.compile(f"(?<={_BLANK})(?={_BLANK}[^{_BLANK[1:]})")
+
+
 class Tokenizer:
     """Byte-level BPE of whole texts; ids fit 16 bits."""
 
@@ -44,13 +54,30 @@ class Tokenizer:
         import tiktoken
 
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(ranks.values()) >= 1 << 16:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.encoding = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # Without any special token, the library looks for an empty one at every byte. This one is never allowed, so it is text.
+        self.plain = tiktoken.Encoding("plain", pat_str=_PLAIN, mergeable_ranks=self.ranks, special_tokens={"<|none|>": 1 << 16})
+
+    @cached_property
+    def encoding(self):
+        """The library's own, which `encode` agrees with."""
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        texts = list(texts)
+        runs = pc.match_substring_regex(pa.array(texts, pa.large_string()), _BLANK + "{2}").to_pylist()
+        for text, run in zip(texts, runs):
+            yield np.concatenate([self._ids(x) for x in _CUT.split(text)]) if run else self._ids(text or "")
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(array("H", self.encoding.encode_ordinary(text)), np.uint16) if text else np.zeros(0, np.uint16)
+        return next(self.encode_all([text]))
 
 
 @cache
@@ -63,13 +90,13 @@ def _tokenizer(path: str) -> Tokenizer:
 FIELD = 16
 _INIT = np.array([sum(w << FIELD * e for e, w in enumerate((STEP * (s >> 3 > 0), STEP * ((s >> 1) & 3 > 0 and not s & 1), STEP))) for s in range(32)], np.int64)
 _ONE = (1 << FIELD) - 1
-# Which of a group's 16 counts, four to a 64-bit word, come before the i-th; the counts of a group sum to less than 2 ** 16.
-_BEFORE = np.frombuffer((np.tril(np.ones((WIDE, WIDE), np.int16), -1) * np.int16(-1)).astype("<i2").tobytes(), np.uint64).reshape(WIDE, WIDE // 4)
-_FOLD = np.uint64(0x0001000100010001)
+_EACH = np.int64(1 | 1 << FIELD | 1 << 2 * FIELD)
+# The encoder counts lesser ids one by one in as many positions, which fit a byte, and by table before; it prepares so many lanes, and so many steps, at once.
+NEAR, TOGETHER, SLAB = 128, 16, 16
 
 
 class _Model:
-    """The adaptive state of n lanes, the same for coding and decoding. A prediction is packed as id * 4 + confidence.
+    """The adaptive state of n lanes, for decoding. A prediction is packed as id * 4 + confidence.
 
     Order 0 keeps the counts of the ids, `low`, and for each group of WIDE ids the sum of the groups before it, `top`. The tables are
     as wide as the largest alphabet of the lanes, which bounds the memory that a step touches."""
@@ -82,14 +109,13 @@ class _Model:
         sums = low.reshape(n, self.groups, WIDE).sum(2, dtype=np.int16)
         self.top = np.cumsum(sums, axis=1, dtype=np.int16) - sums
         self.low = low.reshape(-1)
-        self.words = self.low.view(np.uint64).reshape(-1, WIDE // 4)
         self.later = (np.arange(self.groups)[None, :] > np.arange(self.groups)[:, None]).astype(np.int16) * np.int16(INC)
         self.total = sizes.astype(np.int32)
         self.one, self.two = np.zeros(n * self.stride, np.int16), np.zeros(n * SYMBOLS, np.int16)
         self.weights = np.tile(_INIT, n)
         self.c1, self.c2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         lane = np.arange(n, dtype=np.int64)
-        self.at_state, self.at_id, self.at_pair, self.at_group = lane * 32, lane * self.stride, lane * SYMBOLS, lane * self.groups
+        self.at_state, self.at_id, self.at_pair = lane * 32, lane * self.stride, lane * SYMBOLS
 
     def predict(self, n: int) -> None:
         c1 = self.c1[:n]
@@ -127,12 +153,6 @@ class _Model:
         self.c2[:n] = self.c1[:n]
         self.c1[:n] = x
 
-    def before(self, j: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How much the ids less than y have in order 0 of the lanes j."""
-        w = self.words.take((self.at_id.take(j) + y) >> 4, axis=0) & _BEFORE.take(y & 15, axis=0)
-        part = ((w[:, 0] + w[:, 1] + w[:, 2] + w[:, 3]) * _FOLD) >> np.uint64(48)
-        return self.top.reshape(-1).take(self.at_group.take(j) + (y >> 4)) + part.astype(np.int64)
-
     def excluded(self, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids that orders 1 and 2 predicted, and their order-0 counts, which are left out of order 0."""
         base = self.at_id.take(j)
@@ -144,73 +164,134 @@ def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a / b).astype(np.int64)
 
 
+def below(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How much the lesser ids have in order 0 before each id: 1 each, and INC for each time that one came. A row for each lane; `sizes`
+    are the sizes of the alphabets."""
+    n, steps = x.shape
+    parts = -(-steps // NEAR)
+    full = np.zeros((n, parts, NEAR), np.int16)
+    full.reshape(n, -1)[:, :steps] = x
+    near = np.ascontiguousarray(full.transpose(2, 0, 1)).reshape(NEAR, -1)
+    count, less = np.zeros(near.shape, np.uint8), np.empty(near.shape, bool)
+    for d in range(1, NEAR):
+        np.less(near[:-d], near[d:], out=less[d:])
+        count[d:] += less[d:].view(np.uint8)
+    sums = np.empty((n, parts * NEAR), np.int16)
+    for lane in range(n):
+        wide = int(sizes[lane]) + 1
+        at = (full[lane] + np.arange(0, parts * wide, wide)[:, None]).ravel()
+        came = np.bincount(at + (wide + 1), minlength=parts * wide)[: parts * wide].astype(np.int16).reshape(parts, wide)  # by the next part and id
+        sums[lane] = came.cumsum(0, dtype=np.int16).cumsum(1, dtype=np.int16).ravel().take(at)
+    sums += count.reshape(NEAR, n, parts).transpose(1, 2, 0).reshape(n, -1)
+    return sums[:, :steps] * np.int16(INC) + x
+
+
 def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's ids (at most BLOCK of them) as bytes: the block's alphabet, Golomb coded, then the range coder's words."""
+    """Each block's ids (at most BLOCK of them) as bytes: the block's alphabet, Golomb coded, then the range coder's words.
+
+    `table` holds, for each id of a lane, its order-0 count and order 1's prediction side by side, then order 2's predictions. Empty ones
+    have the ids -2 and -1, which differ and have counts of 0 before the lane's first."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n, steps = len(blocks), max((len(b) for b in blocks), default=0)
-    x = np.zeros((n, steps), np.int16)
     heads, sizes, lens = [], np.zeros(n, np.int64), np.array([len(blocks[i]) for i in order], np.int64)
+    xs, less = np.zeros((steps + 2, n), np.int16), np.zeros((steps, n), np.int16)  # xs: after two steps of id 0
     rank = np.zeros(1 << 16, np.int16)  # read at a block's own ids only
-    for lane, i in enumerate(order):
-        ids = blocks[i]
-        alphabet = np.sort(ids, kind="stable")  # by radix
-        alphabet = alphabet[np.append(True, alphabet[1:] != alphabet[:-1])[: len(ids)]]
-        rank[alphabet] = np.arange(len(alphabet))
-        x[lane, : len(ids)] = rank.take(ids)
-        sizes[lane] = len(alphabet)
-        data, k = golomb_encode(alphabet.astype(np.uint64), 16)
-        heads.append(len(ids).to_bytes(2, "little") + len(alphabet).to_bytes(2, "little") + bytes([k]) + len(data).to_bytes(3, "little") + data)
-    x = np.ascontiguousarray(x.T)
-    m = _Model(sizes)
-    low, rng = np.zeros(n, np.int64), np.full(n, MASK, np.int64)
-    out, pos = np.zeros((n, 2 * steps + 4), np.uint16), np.zeros(n, np.int64)
+    for first in range(0, n if steps else 0, TOGETHER):
+        own = slice(first, min(first + TOGETHER, n))
+        x = np.zeros((own.stop - first, steps), np.int16)
+        for lane in range(first, own.stop):
+            ids = blocks[order[lane]]
+            alphabet = np.sort(ids, kind="stable")  # by radix
+            alphabet = alphabet[np.append(True, alphabet[1:] != alphabet[:-1])[: len(ids)]]
+            rank[alphabet] = np.arange(len(alphabet))
+            x[lane - first, : len(ids)] = rank.take(ids)
+            sizes[lane] = len(alphabet)
+            data, k = golomb_encode(alphabet.astype(np.uint64), 16)
+            heads.append(len(ids).to_bytes(2, "little") + len(alphabet).to_bytes(2, "little") + bytes([k]) + len(data).to_bytes(3, "little") + data)
+        xs[2:, own], less[:, own] = x.T, below(x, sizes[own]).T
+    lanes = np.arange(n, dtype=np.int64)
+    ends = 2 * np.cumsum(sizes + 2)
+    at_id, pairs = ends - 2 * sizes, int(ends[-1]) if n else 0
+    table = np.empty(pairs + n * SYMBOLS, np.int16)
+    table[:pairs:2], table[1:pairs:2], table[pairs:] = 1, -2 << 2, -1 << 2
+    table[at_id - 4] = table[at_id - 2] = 0
+    at_pair, at_state, weights = pairs + lanes * SYMBOLS, lanes * 32, np.tile(_INIT, n)
+    at = np.empty((SLAB, 3, n), np.int64)  # order 1, order 2, count
+    low, rng = np.zeros(n), np.full(n, float(MASK))  # whole numbers below 2 ** 49, exact in doubles
+    size = 2 * steps + 4
+    out, pos = np.zeros(n * size, np.uint16), lanes * size
+    sizes = sizes.astype(np.int32)
     active = np.searchsorted(-lens, -np.arange(steps), side="left")  # lanes longer than t
     for t in range(steps):
+        u = t % SLAB
+        if not u:
+            s, c1, c2 = (xs[t + 2 - d : min(t + SLAB, steps) + 2 - d] for d in range(3))
+            at[: len(s), 0] = at_id + (c1 * 2 + 1)
+            at[: len(s), 1] = at_pair + (((c1.astype(np.uint32) * np.uint32(40503) + c2.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(7)) & np.uint32(SYMBOLS - 1))
+            at[: len(s), 2] = at_id + s * 2
+            packed = s << 2
         k = int(active[t])
-        m.predict(k)
-        s = x[t, :k]
-        two = m.has2 & (s == m.a2)
-        one = m.has1 & (s == m.a1) & ~two
-        miss = ~(one | two)
-        event = one + 2 * miss
-        s = s.astype(np.int64)
-        lo, ra = low[:k], rng[:k]
-        r = _divide(ra, m.sum)
-        lo += r * np.where(two, 0, np.where(one, m.w0, m.w01))
-        ra[:] = r * ((m.w >> event * FIELD) & _ONE)
-        j = miss.nonzero()[0]
-        if len(j):
-            y = s.take(j)
-            cum, total = m.before(j, y), m.total.take(j)
-            for a, gone in m.excluded(j):
-                total -= gone
-                cum -= gone * (a < y)
-            r = _divide(ra.take(j), np.maximum(total, 1))
-            lo[j] += r * cum
-            ra[j] = r * m.low.take(m.at_id.take(j) + y)
-        m.update(k, s, event)
+        i, x4, lo, ra = at[u, :, :k], packed[u, :k], low[:k], rng[:k]
+        got = table.take(i)
+        v, f = got[:2], got[2]  # the predictions of orders 1 and 2, the count of the id
+        b = v & 3
+        hit = ((v ^ x4) - np.int16(1)).view(np.uint16) < 3
+        same = (v[0] ^ v[1]).view(np.uint16) < 4
+        gone = table.take(at_id[:k] + ((v >> 1) & ~1))  # order-0 counts of the ids that orders 1 and 2 predicted
+        gone[0] *= ~same
+        state = at_state[:k] + (b[1] * 8 + b[0] * 2 + same)
+        w = weights.take(state)
+        known = hit[0] | hit[1]
+        shift = (2 * FIELD - ((known.view(np.int8) + hit[1]) * np.int8(FIELD))).astype(np.int64)  # 0 for order 2, FIELD for order 1, else 2 * FIELD
+        sums = w * _EACH
+        total = (sums >> 2 * FIELD) & _ONE
+        r = np.floor(ra / total)
+        lo += r * (((sums << FIELD) >> shift) & _ONE)
+        ra[:] = r * ((w >> shift) & _ONE)
+        w += STEP << shift
+        big = (total > LIMIT - STEP).nonzero()[0]
+        if len(big):
+            w[big] = ((w.take(big) + _EACH) >> 1) & (_EACH * (_ONE >> 1))
+        weights[state] = w
+        # Order 0 narrows the range again where nothing was hit, elsewhere it is all of 1.
+        miss = ~known
+        rest = (sizes[:k] + np.int32(INC * t) - gone[0] - gone[1]) * miss + known
+        gone *= v < x4
+        r = np.floor(ra / rest)
+        lo += r * ((less[t, :k] - gone[0] - gone[1]) * miss)
+        ra[:] = r * (f * miss + known)
+        # A hit confirms, a miss takes confidence off or, at the least, replaces.
+        new = x4 + np.int16(1) + np.minimum(b, 2) * hit
+        v -= new + np.int16(1)
+        v *= (b > 1) & ~hit
+        v += new
+        f += np.int16(INC)
+        table[i] = got
         over = (lo > MASK).nonzero()[0]
         if len(over):
-            lo[over] &= MASK
-            at = pos[over] - 1
-            while len(over):
-                out[over, at] += 1
-                more = out[over, at] == 0
-                over, at = over[more], at[more] - 1
+            lo[over] -= MASK + 1
+            q = pos[over] - 1
+            while len(q):
+                out[q] += 1
+                q = q[out[q] == 0] - 1
         for _ in range(2):
             j = (ra < 1 << 32).nonzero()[0]
             if not len(j):
                 break
-            v = lo.take(j)
-            out[j, pos.take(j)] = v >> 32
-            pos[j] += 1
-            lo[j] = (v << 16) & MASK
-            ra[j] <<= 16
+            e, q = lo.take(j), pos.take(j)
+            top = np.floor(e * 2.0**-32)
+            out[q] = top.astype(np.uint16)
+            pos[j] = q + 1
+            lo[j] = (e - top * 2.0**32) * 2.0**16
+            ra[j] = ra.take(j) * 2.0**16
     done: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
-        v, p = int(low[lane]), int(pos[lane])
-        out[lane, p : p + 3] = [v >> 32, v >> 16 & 0xFFFF, v & 0xFFFF]
-        done[i] = heads[lane] + (out[lane, : p + 3].astype("<u2").tobytes() if len(blocks[i]) else b"")
+        if len(blocks[i]):
+            v, p = int(low[lane]), int(pos[lane])
+            out[p : p + 3] = [v >> 32, v >> 16 & 0xFFFF, v & 0xFFFF]
+            done[i] = heads[lane] + out[lane * size : p + 3].astype("<u2").tobytes()
+        else:
+            done[i] = bytes(8)
     return done
 
 
@@ -321,8 +402,8 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tok, shard, first = _tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         ids, streams, size = [], [], 0
         for pdf in batches:
-            for i, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                s = None if text is None else tok.encode(text)
+            for i, text, s in zip(pdf["doc_id"].astype("Int64"), pdf["text"], tok.encode_all(pdf["text"])):
+                s = None if text is None else s
                 ids.append(None if i is pd.NA else int(i))
                 streams.append(s)
                 size += 0 if s is None else len(s)
