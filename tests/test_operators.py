@@ -377,6 +377,24 @@ def test_word_rules_are_the_loops(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_word_rules_move_no_words_and_join_many_titles(spark):
+    rng = random.Random(5)
+    vocabulary = ["Apache", "Tomcat", "Server", "Web", "the", "http://x", "1.2", "before", "and", "or", "x", "flaw", "v.2"]
+    titles = ["Apache Tomcat Server", "Web Server", "Tomcat", "server web apache", "x server x"]
+    rows, want = [], []
+    for d in range(100):
+        mine = [{"doc_id": d, "pos": pos, "word": (w := rng.choice(vocabulary)), "kind": rng.choice(["NAME", "VERSION", "OTHER"]), "confidence": rng.choice([0.5, 0.95]), "p_version": rng.choice([0.1, 0.85]), "p_other": rng.choice([0.2, 0.4]), "nnp": w[0].isupper()} for pos in range(1, rng.choice([1, 12, 60]) + 1)]
+        rows += mine
+        want += [(d, r["pos"], k) for r, k in zip(mine, loop_rules(mine, titles))]
+    known, words = spark.createDataFrame([(t,) for t in titles], "title string"), spark.createDataFrame(rows)
+    by_shuffle = products.word_rules(words, known, keep=("doc_id", "pos", "kind"), pairs=0)
+    in_order = products.word_rules(words.coalesce(1), known, keep=("doc_id", "pos", "kind"), in_order=True)
+    for got in (by_shuffle, in_order):
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = in_order._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_platforms_are_the_capitalised_words_before_a_version(spark):
     from vexarium.functions.text import platform_versions
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vexarium.functions import cpe
 from vexarium.functions.versions import in_range, is_version, parts
@@ -72,7 +77,104 @@ def title_matches(words: DataFrame, titles: DataFrame) -> DataFrame:
     return w.join(_title_words(titles).select(F.expr("t[k - 1]").alias("word"), F.array_join("t", " ").alias("title")), "word")
 
 
-def word_rules(words: DataFrame, titles: DataFrame | None = None, near: int = 30, reach: int = 41) -> DataFrame:
+#: Pairs of the dictionary's words that are sent to every worker, at 8 bytes each; more are joined by shuffle.
+PAIRS = 8_000_000
+_KINDS = ("NAME", "VERSION", "OTHER")
+_NAME, _VERSION, _OTHER = range(3)
+_BITS = ("again", "fresh", "link", "other_likelier", "unsure", "unlikely", "trigger", "link_word", "long", "next_fits", "before_fits", "alone")
+
+
+def _mix(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
+    """64 bits for each pair of 64-bit hashes."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64) + np.uint64(salt)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _rules(doc: np.ndarray, pos: np.ndarray, kind: np.ndarray, bits: np.ndarray, h: np.ndarray, known: np.ndarray | None, near: int) -> np.ndarray:
+    """Corrected kinds of whole documents, one after another in the order of positions; the windows of word_rules as array operations."""
+    n = len(doc)
+    at = np.arange(n)
+    first = np.ones(n, bool)
+    first[1:] = doc[1:] != doc[:-1]
+    last = np.append(first[1:], True)
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    bit = {name: bits >> i & 1 == 1 for i, name in enumerate(_BITS)}
+
+    def prev(x: np.ndarray, none: int | bool) -> np.ndarray:
+        return np.where(first, none, np.roll(x, 1))
+
+    def following(x: np.ndarray, none: int | bool) -> np.ndarray:
+        return np.where(last, none, np.roll(x, -1))
+
+    asks = bit["again"] | bit["fresh"]
+    if known is None:
+        mn, mp, m1 = (bit[x] for x in ("next_fits", "before_fits", "alone"))
+    else:
+        mn, mp, m1 = (np.zeros(n, bool) for _ in range(3))
+        for out, who, salt in ((mn, asks & ~last, 1), (mp, asks & ~first, 2), (m1, asks, 3)):
+            i = np.flatnonzero(who)
+            out[i] = _among(known, _mix(h[i - 1], h[i], 2) if salt == 2 else _mix(h[i], h[i + 1], 1) if salt == 1 else _mix(h[i], 0, 3))
+    c = mn & asks
+    turn = at - np.maximum.accumulate(np.where(~c, at, np.where(first, at - 1, -1)))
+    got = prev(c & (turn % 2 == 1), False)
+    found = mn | mp | m1
+    looks = asks & ~got
+    doubt = np.where(found, _NAME, np.where(bit["other_likelier"], _OTHER, _VERSION))
+    k = np.where(got, np.where(bit["link"], _OTHER, _NAME), np.where(bit["again"], doubt, np.where(bit["link"], _OTHER, np.where(bit["fresh"] & found, _NAME, kind))))
+    k = np.where(following(looks & mp, False), _NAME, k)
+    k = np.where((k != _NAME) & bit["long"] & (prev(k, -1) == _NAME) & (following(k, -1) == _NAME), _NAME, k)
+    k = np.where((k == _VERSION) & np.where(kind == _VERSION, bit["unsure"], bit["unlikely"]), _OTHER, k)
+    cand = (k == _OTHER) & bit["trigger"]
+    plain = (k == _OTHER) & ~cand
+    seen = prev(np.maximum.accumulate(np.where(~plain, at, -1)), -1)
+    close = (seen >= start) & (k[seen] == _NAME) & (pos - pos[seen] <= near)
+    seed = (k == _VERSION) | (cand & close)
+    held = prev(np.maximum.accumulate(np.where(seed, at, -1)), -1) >= np.maximum.accumulate(np.where(plain | first, at, 0))
+    k = np.where(seed | (cand & held), _VERSION, k)
+    linked = (k != _VERSION) & bit["link_word"] & (prev(k, -1) == _VERSION) & (following(k, -1) == _VERSION)
+    return np.where(linked, _VERSION, k).astype(np.int8)
+
+
+def _title_pairs(titles: DataFrame) -> DataFrame:
+    """(what, a, b): hashes of the titles' words and followers (1), predecessors and words (2), and of titles of one word (3)."""
+    s = _title_words(titles)
+    h = lambda at: F.xxhash64(F.get("t", F.col("k") + at))
+    rows = F.array(
+        F.when(F.col("k") < F.size("t"), F.struct(F.lit(1).alias("what"), h(-1).alias("a"), h(0).alias("b"))),
+        F.when(F.col("k") > 1, F.struct(F.lit(2).alias("what"), h(-2).alias("a"), h(-1).alias("b"))),
+        F.when(F.size("t") == 1, F.struct(F.lit(3).alias("what"), h(-1).alias("a"), F.lit(0).cast("bigint").alias("b"))),
+    )
+    return s.select(F.explode(rows).alias("x")).filter("x is not null").select("x.*").distinct()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.Table]:
+    """Whole documents of adjacent rows, `least` rows or more at once but for the last."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < least:
+            continue
+        d = b.column("_doc").to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(d[1:] != d[:-1])
+        if len(cut):
+            yield pa.Table.from_batches([*held[:-1], b.slice(0, cut[-1] + 1)])
+            held = [b.slice(cut[-1] + 1)]
+            rows = held[0].num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def word_rules(words: DataFrame, titles: DataFrame | None = None, near: int = 30, reach: int = 41, in_order: bool = False, keep: tuple[str, ...] | None = None, pairs: int = PAIRS) -> DataFrame:
     """Corrected classes of classified words (doc_id, pos from 1, word, kind, confidence, p_version, p_other, nnp): kind is NAME, VERSION or OTHER.
 
     Names. A name below 0.9, and an OTHER proper noun (nnp) among the first `reach` words, is looked up in the dictionary's `titles`: it fits
@@ -85,45 +187,55 @@ def word_rules(words: DataFrame, titles: DataFrame | None = None, near: int = 30
     All of it is a fixed number of windows over a document's words. The loops that it stands for take turns in three ways: of a chain of words that each
     would make the next a name every second does (the others weren't looked up), only the first version or candidate after a name can be near to
     it, and a version reaches on as long as no plain word comes. tests/test_operators.py holds it against the loops. Without the last three columns no word is
-    a proper noun, and a doubtful name becomes OTHER."""
-    columns = words.columns
-    words = words.withColumns({c: F.lit(v) for c, v in (("p_version", 0.0), ("p_other", 0.0), ("nnp", False)) if c not in columns})
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    a proper noun, and a doubtful name becomes OTHER.
+
+    The windows run as array operations over blocks of whole documents. Words that come `in_order`, as an explode of texts gives them (a
+    document's words adjacent and by position), aren't shuffled; others are, once. Titles are compared by 64-bit hashes of their words: up to `pairs` pairs
+    are sent to every worker, more are joined by shuffle. `keep` names the columns that are returned, all by default."""
+    keep = tuple(words.columns) if keep is None else keep
+    col = lambda c, v: F.col(c) if c in words.columns else F.lit(v)
     k, low = F.col("kind"), F.lower("word")
     link = low.contains("http")
-    x = words.withColumns({"_low": low, "_nxt": F.lead(low).over(w), "_prv": F.lag(low).over(w)})
-    if titles is None:
-        x = x.withColumns(dict.fromkeys(("_mn", "_mp", "_m1"), F.lit(False)))
-    else:
-        spots = _title_words(titles)
-        yes = F.lit(True)
-        follow = spots.filter("k < size(t)").select(F.expr("t[k - 1]").alias("_low"), F.expr("t[k]").alias("_nxt"), yes.alias("_mn")).distinct()
-        before = spots.filter("k > 1").select(F.expr("t[k - 2]").alias("_prv"), F.expr("t[k - 1]").alias("_low"), yes.alias("_mp")).distinct()
-        alone = spots.filter("size(t) = 1").select(F.expr("t[0]").alias("_low"), yes.alias("_m1")).distinct()
-        x = x.join(follow, ["_low", "_nxt"], "left").join(before, ["_prv", "_low"], "left").join(alone, "_low", "left").fillna(False, ["_mn", "_mp", "_m1"])
-    again = (k == "NAME") & (F.col("confidence") < 0.9)
-    fresh = (k == "OTHER") & F.col("nnp") & ~low.isin("the", "a", "http") & ~link & (F.col("pos") <= reach)
-    x = x.withColumns({"_again": again, "_fresh": fresh}).withColumn("_c", F.col("_mn") & (F.col("_again") | F.col("_fresh")))
-    x = x.withColumn("_streak", F.sum((~F.col("_c")).cast("int")).over(w))
-    x = x.withColumn("_gives", F.col("_c") & (F.sum(F.col("_c").cast("int")).over(Window.partitionBy("doc_id", "_streak").orderBy("pos")) % 2 == 1))
-    x = x.withColumn("_got", F.coalesce(F.lag("_gives").over(w), F.lit(False)))
-    x = x.withColumns({"_looks": (F.col("_again") | F.col("_fresh")) & ~F.col("_got"), "_found": F.col("_mn") | F.col("_mp") | F.col("_m1")})
-    rest = F.when(F.col("_got"), F.when(link, "OTHER").otherwise("NAME")).when(F.col("_again"), F.when(F.col("_found"), "NAME").when(F.col("p_other") >= F.col("p_version"), "OTHER").otherwise("VERSION")).when(link, "OTHER").when(F.col("_fresh") & F.col("_found"), "NAME").otherwise(k)
-    x = x.withColumn("_k", F.when(F.lead(F.col("_looks") & F.col("_mp")).over(w), "NAME").otherwise(rest))
-    x = x.withColumn("_k", F.when((F.col("_k") != "NAME") & (F.length("word") > 1) & (F.lag("_k").over(w) == "NAME") & (F.lead("_k").over(w) == "NAME"), "NAME").otherwise(F.col("_k")))
-    # Versions.
-    sure = F.when(k == "VERSION", F.col("confidence")).otherwise(F.col("p_version"))
-    x = x.withColumn("_k", F.when((F.col("_k") == "VERSION") & (sure < 0.8), "OTHER").otherwise(F.col("_k")))
-    trigger = low.rlike("[0-9]|" + "|".join(t.replace(".", r"\.") for t in TRIGGERS))
-    x = x.withColumn("_cand", (F.col("_k") == "OTHER") & trigger)
-    plain = (F.col("_k") == "OTHER") & ~F.col("_cand")
-    last = F.last(F.when(~plain, F.struct("pos", "_k")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumns({"_last": last, "_run": F.sum(plain.cast("int")).over(w)})
-    x = x.withColumn("_seed", (F.col("_k") == "VERSION") | (F.col("_cand") & F.coalesce((F.col("_last._k") == "NAME") & (F.col("pos") - F.col("_last.pos") <= near), F.lit(False))))
-    held = F.coalesce(F.max("_seed").over(Window.partitionBy("doc_id", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    x = x.withColumn("_k", F.when(F.col("_seed") | (F.col("_cand") & held), "VERSION").otherwise(F.col("_k")))
-    linked = (F.col("_k") != "VERSION") & low.rlike("and|or") & (F.lag("_k").over(w) == "VERSION") & (F.lead("_k").over(w) == "VERSION")
-    return x.withColumn("kind", F.when(linked, "VERSION").otherwise(F.col("_k"))).select(*columns)
+    p_version, p_other = col("p_version", 0.0), col("p_other", 0.0)
+    told = {
+        "again": (k == "NAME") & (F.col("confidence") < 0.9), "fresh": (k == "OTHER") & col("nnp", False) & ~low.isin("the", "a", "http") & ~link & (F.col("pos") <= reach), "link": link, "other_likelier": p_other >= p_version,
+        "unsure": F.col("confidence") < 0.8, "unlikely": p_version < 0.8, "trigger": low.rlike("[0-9]|" + "|".join(t.replace(".", r"\.") for t in TRIGGERS)), "link_word": low.contains("and") | low.contains("or"), "long": F.length("word") > 1,
+    }
+    flags = sum((F.coalesce(x.cast("int"), F.lit(0)) * (1 << _BITS.index(n)) for n, x in told.items()), F.lit(0))
+    rest = [F.col(c) for c in keep if c != "kind"]
+    number = F.when(k == "NAME", _NAME).when(k == "VERSION", _VERSION).otherwise(_OTHER).cast("tinyint")
+    x = words.select(*rest, F.xxhash64("doc_id").alias("_doc"), F.col("pos").cast("bigint").alias("_pos"), number.alias("_kind"), flags.alias("_bits"), F.xxhash64(low).alias("_h"))
+    known = None
+    if titles is not None:
+        wanted = _title_pairs(titles).persist()
+        if wanted.count() <= pairs:
+            t = wanted.toArrow()
+            what, a, b = (t.column(c).to_numpy() for c in ("what", "a", "b"))
+            known = words.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([_mix(a[what == i], b[what == i], i) for i in (1, 2, 3)])))
+        else:
+            w = Window.partitionBy("_doc").orderBy("_pos")
+            x = x.withColumns({"_nxt": F.lead("_h").over(w), "_prv": F.lag("_h").over(w)})
+            for i, (left, right, name) in enumerate((("_h", "_nxt", "next_fits"), ("_prv", "_h", "before_fits"), ("_h", None, "alone")), 1):
+                one = wanted.filter(F.col("what") == i).select(F.col("a").alias(left), *([F.col("b").alias(right)] if right else []), F.lit(1 << _BITS.index(name)).alias("_hit"))
+                x = x.join(one, [left, *([right] if right else [])], "left").withColumn("_bits", F.col("_bits") + F.coalesce("_hit", F.lit(0))).drop("_hit")
+            x = x.drop("_nxt", "_prv")
+            in_order = False
+        if known is not None:
+            wanted.unpersist()
+    if not in_order:
+        x = x.repartition("_doc").sortWithinPartitions("_doc", "_pos")
+    kept = [c for c in keep if c != "kind"]
+
+    def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs_ = None if known is None else known.value
+        for t in _blocks(batches):
+            new = _rules(*(t.column(c).to_numpy() for c in ("_doc", "_pos", "_kind", "_bits", "_h")), pairs_, near)
+            out = t.select(kept).append_column("_kind", pa.array(new, pa.int8()))
+            yield from out.to_batches(max_chunksize=50_000)
+
+    fields = T.StructType([*(T.StructField(c, x.schema[c].dataType) for c in kept), T.StructField("_kind", T.ByteType())])
+    name = F.get(F.array(*map(F.lit, _KINDS)), F.col("_kind").cast("int"))
+    return x.mapInArrow(correct, fields).select(*[name.alias("kind") if c == "kind" else c for c in keep])
 
 
 def product_islands(words: DataFrame) -> DataFrame:

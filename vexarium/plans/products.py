@@ -133,8 +133,8 @@ _RULES = "SELECT * FROM (WITH " + ", ".join(f"{n} AS ({q})" for n, q in _PASS.it
 
 @query("product_word_rules", _RULES)
 def product_word_rules(d: Domain) -> DataFrame:
-    titles = d.base("documents").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("title")).distinct()
-    return products.word_rules(_classified(d), titles).select("doc_id", "pos", "kind")
+    titles = d.base("documents").select(F.substring_index("text", " ", 3).alias("title")).distinct()
+    return products.word_rules(_classified(d), titles, in_order=True, keep=("doc_id", "pos", "kind"))
 
 
 @query("word_title_matches", f"SELECT DISTINCT low AS word, array_to_string(t, ' ') AS title FROM ({_TOK}) JOIN ({_SPOTS}) ON low = t[k]")
