@@ -395,6 +395,16 @@ def test_word_rules_move_no_words_and_join_many_titles(spark):
     assert "Exchange" not in plan and "Window" not in plan
 
 
+def test_documents_stay_small_as_rows_grow(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(id AS string) AS k", "repeat('x', 200) AS item")
+    for n, most in ((2, 1 << 20), (40, 2000)):
+        sinks.documents(rows, str(tmp_path / str(n)), 2, "k", lambda: F.struct(F.collect_list("item").alias("xs")), most=most)
+        files = list((tmp_path / str(n)).rglob("*.txt"))
+        assert len(files) >= n and (n == 2 or max(f.stat().st_size for f in files) < 20 * most)
+        back = spark.read.schema("xs array<string>").json(str(tmp_path / str(n)), multiLine=True)
+        assert back.selectExpr("sum(size(xs))").first()[0] == 400
+
+
 def test_platforms_are_the_capitalised_words_before_a_version(spark):
     from vexarium.functions.text import platform_versions
 

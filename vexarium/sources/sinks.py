@@ -64,10 +64,20 @@ def product_dictionary(entries: DataFrame, path: str, computed: str, parts: int
     documents(g.select("group_id", entry.alias("e")), path, parts, "group_id", lambda: F.struct(F.lit(computed).alias("compTime"), F.lit(computed).alias("refreshTime"), F.map_from_entries(F.collect_list(F.struct("group_id", "e"))).alias("products")))
 
 
-def documents(rows: DataFrame, path: str, parts: int, key: str, whole: Callable[[], Column]) -> None:
-    """One JSON document a file, of the `parts` shares of the rows by a hash of `key`; `whole` folds a share into its document."""
+#: Bytes of JSON that a document holds on average, whatever the number of rows.
+DOCUMENT_BYTES = 8 << 20
+
+
+def documents(rows: DataFrame, path: str, parts: int, key: str, whole: Callable[[], Column], most: int = DOCUMENT_BYTES) -> None:
+    """One JSON document a file, of shares of the rows by a hash of `key`; `whole` folds a share into its document.
+
+    There are `parts` shares, or as many as keep a share at `most` bytes on average: the rows are measured first, so no task that writes or reads a
+    document holds more of a larger table."""
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0] or 0
+    parts = max(parts, -(-size // most))
     share = F.pmod(F.xxhash64(key), F.lit(parts)).alias("share")
-    rows.groupBy(share).agg(F.to_json(whole()).alias("value")).write.mode("overwrite").partitionBy("share").text(path)
+    x = rows.select("*", share).repartition(parts, "share")
+    x.groupBy("share").agg(F.to_json(whole()).alias("value")).write.mode("overwrite").partitionBy("share").text(path)
 
 
 def arff(features: DataFrame, path: str, relation: str = "features") -> None:
