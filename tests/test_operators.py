@@ -405,6 +405,19 @@ def test_documents_stay_small_as_rows_grow(spark, tmp_path):
         assert back.selectExpr("sum(size(xs))").first()[0] == 400
 
 
+def test_divergences_move_rare_terms_only(spark):
+    from vexarium.operators import divergence
+
+    docs = spark.createDataFrame([(1, "a a b c"), (2, "b zz"), (1, "a d"), (3, ""), (4, None)], "doc int, text string")
+    inst = divergence.document_histogram(docs, lambda t: F.split(t, " "))
+    assert sorted(map(tuple, inst.select("doc", "term", "cnt", "ti").collect())) == [(1, "a", 3, 6), (1, "b", 1, 6), (1, "c", 1, 6), (1, "d", 1, 6), (2, "b", 1, 2), (2, "zz", 1, 2), (3, "", 1, 1)]
+    assert inst._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    model = spark.createDataFrame([("x", "a", 5), ("x", "b", 2), ("x", "", 1), ("y", "b", 4), ("y", "c", 1), ("y", "d", 1)], "label string, term string, cnt bigint")
+    for f in (divergence.cross_entropy, divergence.kl_divergence, divergence.js_divergence):
+        want = sorted((r[0], r[1], round(r[2], 9)) for r in f(inst, model, 100).collect())
+        assert len(want) == 6 and want == sorted((r[0], r[1], round(r[2], 9)) for r in f(inst.drop("ti"), model, 100, frequent=2).collect())
+
+
 def test_platforms_are_the_capitalised_words_before_a_version(spark):
     from vexarium.functions.text import platform_versions
 
