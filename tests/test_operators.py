@@ -418,6 +418,25 @@ def test_divergences_move_rare_terms_only(spark):
         assert len(want) == 6 and want == sorted((r[0], r[1], round(r[2], 9)) for r in f(inst.drop("ti"), model, 100, frequent=2).collect())
 
 
+def test_page_trees_are_freed_and_rows_sent_in_parts(spark, monkeypatch):
+    import gc
+
+    from vexarium.functions.dom import Node
+
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(20):
+            assert pages.parse_page("generic", "<div><p>CVE-2021-0001 allows attack</p><ul><li>x</li></ul></div>")
+            assert pages.parse_fix_page("u", "<h2>Fix</h2><p>Upgrade.</p>") == ["Upgrade."]
+        assert not any(isinstance(x, Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
+    monkeypatch.setattr(pages, "SEND_CHARS", 10)
+    d = spark.createDataFrame([(i, "https://x", f"<p>CVE-2021-{i:04d} allows attack</p>") for i in range(150)], "page_id bigint, url string, html string")
+    assert sorted(r["cve_id"] for r in pages.parse_pages(d).collect()) == [f"CVE-2021-{i:04d}" for i in range(150)]
+
+
 def test_platforms_are_the_capitalised_words_before_a_version(spark):
     from vexarium.functions.text import platform_versions
 
