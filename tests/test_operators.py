@@ -437,6 +437,19 @@ def test_page_trees_are_freed_and_rows_sent_in_parts(spark, monkeypatch):
     assert sorted(r["cve_id"] for r in pages.parse_pages(d).collect()) == [f"CVE-2021-{i:04d}" for i in range(150)]
 
 
+def test_ngrams_are_counted_by_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", " \t", "One", "a  b\na b a", *("".join(rng.choice(["a", "B", "ü", "Σas ", " ", "\x0b", "\u00a0"]) for _ in range(60)) for _ in range(40))]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    want = sorted(map(tuple, features.ngrams(d, "text").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()))
+    assert len(want) > 200
+    for chars in (100, 10**6):
+        monkeypatch.setattr(features, "BLOCK_CHARS", chars)
+        x = features.ngram_counts(d, "text")
+        assert sorted(map(tuple, x.collect())) == want
+        assert x._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+
+
 def test_platforms_are_the_capitalised_words_before_a_version(spark):
     from vexarium.functions.text import platform_versions
 
