@@ -450,6 +450,20 @@ def test_ngrams_are_counted_by_blocks(spark, monkeypatch):
         assert x._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
 
 
+def test_hashed_ngrams_are_those_of_the_library(spark):
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+
+    rng = random.Random(7)
+    texts = ["", " \t", "One", "a  b\na b a", "x" * 5003, *("".join(rng.choice(["a", "B", "üß", "日本", "Wörd ", "longer ", " ", "\u00a0"]) for _ in range(60)) for _ in range(40)), None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2)
+    got = {r["doc_id"]: r["tf"] for r in features.hashed_ngrams(d, 64).collect()}
+    x = RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\s+").transform(d.filter("text is not null"))
+    for n in (1, 2, 3):
+        x = HashingTF(inputCol=f"g{n}", outputCol=f"t{n}", numFeatures=64).transform(NGram(n=n, inputCol="w", outputCol=f"g{n}").transform(x))
+    want = {r["doc_id"]: [*r["t1"].toArray(), *r["t2"].toArray(), *r["t3"].toArray()] for r in x.collect()}
+    assert {i: list(v.toArray()) for i, v in got.items()} == want and len(want) == len(texts) - 1
+
+
 def test_platforms_are_the_capitalised_words_before_a_version(spark):
     from vexarium.functions.text import platform_versions
 
